@@ -3,18 +3,126 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dup
+from . import fertility, fingerprint, html_extract, line_dedup, mixing, near_dup, packing, toxicity, url_filter, warc
 from .common import table
 
+#: Path rules of op10: verdict, host, path.
+PATH_RULES = (
+    url_filter.PathRule("allow", "com"),
+    url_filter.PathRule("block", "example.com", "/en/"),
+    url_filter.PathRule("allow", "www.example.com", "/en/"),
+    url_filter.PathRule("block", "net", "/es/"),
+    url_filter.PathRule("block", "net", "/fr/"),
+)
+
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_minhash_near_dedup": op8_minhash_near_dedup}
+def op1_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
+def op3_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fertility.judge(table(spark, sf_dir, "documents"))
+    return found.drop("lang")
+
+
+def op4_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, ~toxicity.held_out())
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
+def op5_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_lines", "n_deleted")
+
+
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), PATH_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_template_extraction,
+        op2_order_minhash,
+        op3_tokenizer_fertility,
+        op4_nearest_toxicity,
+        op5_hierarchical_packing,
+        op6_weighted_fair_mix,
+        op7_line_dedup,
+        op8_minhash_near_dedup,
+        op9_warc_archive,
+        op10_url_filter,
+    )
+}
+
+#: The patterns of op10 in one condition.
+_ANY_PATTERN = " OR ".join(f"regexp_matches(low, '{p.pattern}')" for p in url_filter.PATTERNS)
 
 ORACLES = {
+    "op6_weighted_fair_mix": r"""
+WITH RECURSIVE z AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+g AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY source),
+w AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS cap, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM g),
+b AS (SELECT 1.5::DOUBLE * sum(source_size) AS budget FROM w),
+level(i, x) AS (
+  SELECT 0, (SELECT budget FROM b) / (SELECT sum(weight) FROM w)
+  UNION ALL
+  SELECT i + 1, ((SELECT budget FROM b) - (SELECT coalesce(sum(cap), 0) FROM w WHERE cap <= weight * x)) / (SELECT sum(weight) FROM w WHERE cap > weight * x)
+  FROM level WHERE i < 60
+), t AS (SELECT source, source_size, least(cap, weight * (SELECT max(x) FROM level)) AS target FROM w),
+o AS (SELECT *, ('0x' || substr(md5('17:' || doc_id || ':' || size), 1, 15))::BIGINT AS ord FROM z),
+s AS (SELECT o.doc_id, o.source, o.size, t.source_size, t.target, o.ord, sum(o.size) OVER (PARTITION BY o.source ORDER BY ord, doc_id, o.size ROWS UNBOUNDED PRECEDING) AS sent FROM o JOIN t ON t.source IS NOT DISTINCT FROM o.source),
+f AS (SELECT s.* EXCLUDE (sent), epoch, sent + epoch * source_size AS sent FROM s, (VALUES (0), (1)) e(epoch)),
+c AS (SELECT *, sum(size) OVER (ORDER BY sent / target, source NULLS LAST, epoch, ord, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM f WHERE sent - size < target),
+k AS (SELECT doc_id, sum(greatest(0, least(size, (SELECT round(sum(target)) FROM t) - upto + size))) AS got FROM c GROUP BY doc_id)
+SELECT s.doc_id, s.size, s.source_size, s.target, coalesce(k.got, 0)::BIGINT AS taken FROM s LEFT JOIN k ON k.doc_id = s.doc_id
+""",
+    "op7_line_dedup": r"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
+l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM d WHERE text <> ''
+), n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
+c AS (
+  SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id, text ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS upto FROM n WHERE words > 0
+), r AS (
+  SELECT doc_id, text, pos, array_agg(line) OVER s AS run, max(pos) OVER s AS run_end, sum(words) OVER s AS total
+  FROM c WINDOW s AS (PARTITION BY doc_id, text ORDER BY upto RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), o AS (
+  SELECT doc_id, text, pos, run_end, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, pos) AS nth FROM r WHERE total >= 50
+), gone AS (
+  SELECT DISTINCT l.doc_id, l.text, l.pos FROM l JOIN o ON o.doc_id = l.doc_id AND o.text = l.text AND o.nth > 1 AND l.pos BETWEEN o.pos AND o.run_end
+), t AS (
+  SELECT l.doc_id, l.text, string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS kept, count(*) AS n_lines, count(gone.pos) AS n_deleted
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.text = l.text AND gone.pos = l.pos GROUP BY l.doc_id, l.text
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.kept, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id AND t.text = d.text
+""",
     "op8_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -36,5 +144,35 @@ reach AS (
 )
 SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(r) AS component_id, s.doc_id = min(r) AS kept
 FROM s JOIN reach ON reach.doc_id = s.doc_id GROUP BY s.doc_id, s.sh
+""",
+    "op9_warc_archive": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, payload_bytes, d.payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest AND payload_bytes >= 100
+""",
+    "op10_url_filter": rf"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']), {{'h': '', 'p': ''}}) AS u FROM pages),
+b AS (
+  SELECT page_id, translate(u.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, u.p AS path,
+    translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM a
+), r(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+m AS (
+  SELECT b.page_id, b.host, b.path, b.low, r.h || r.p AS rule, r.verdict,
+    row_number() OVER (PARTITION BY b.page_id, b.low ORDER BY length(r.h || r.p) DESC NULLS LAST) AS nth
+  FROM b LEFT JOIN r ON (b.host = r.h OR ends_with(b.host, '.' || r.h)) AND starts_with(b.path, r.p)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {_ANY_PATTERN} THEN 'block' ELSE 'allow' END) AS verdict FROM m WHERE nth = 1
 """,
 }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
