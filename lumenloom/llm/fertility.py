@@ -6,7 +6,7 @@ the most that so many tokens can have). Prose of a language stays in narrow band
 (noise, lists of symbols, other scripts, broken encodings, repetition) leaves them.
 
 Bands hold for one language and one power of two of words: the median plus and minus `widths` times the distance to the
-5 % and 95 % quantiles (and at least `slack` of the median), over all documents that pass the base
+5 % and 95 % quantiles (and at least `slack` of the median, more for short texts), over all documents that pass the base
 rules. Groups under `least_rows` use their language's band, such small languages the band of
 all documents; where even that is smaller, nothing is rejected.
 
@@ -41,6 +41,7 @@ class Fertility:
     folder: str | None = None  # of the vocabulary files; the public ones by default
     widths: float = 4.0
     slack: float = 0.12
+    short_slack: float = 1.0
     least_rows: int = 50
     min_words: int = 10
     max_repeat_percent: int = 20
@@ -139,10 +140,12 @@ def judge(docs: DataFrame, how: Fertility = Fertility()) -> DataFrame:
     langs = levels.filter("size is null and lang is not null").withColumnsRenamed({c: f"{c}_l" for c in names}).drop("n", "size")
     whole = levels.filter("lang is null").select(*[F.col(c).alias(f"{c}_a") for c in names])
     joined = rows.join(bands, ["lang", "size"], "left").join(langs, "lang", "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
+    # A short text varies more.
+    slack = how.slack + how.short_slack / F.sqrt(F.greatest("n_words", F.lit(1)))
     inside = F.lit(True)
     for c in names:
         q = F.coalesce(f"{c}_b", f"{c}_l", f"{c}_a")
-        low = q[1] - F.greatest(how.widths * (q[1] - q[0]), how.slack * q[1])
-        high = q[1] + F.greatest(how.widths * (q[2] - q[1]), how.slack * q[1], F.lit(0.02))
+        low = q[1] - F.greatest(how.widths * (q[1] - q[0]), slack * q[1])
+        high = q[1] + F.greatest(how.widths * (q[2] - q[1]), slack * q[1], 0.25 * slack)
         inside &= q.isNull() | F.col(c).between(low, high)
     return joined.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *names, "base_failed", "kept")

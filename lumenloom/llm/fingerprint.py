@@ -28,8 +28,8 @@ from .common import mix64, parts_for, range_bounds, range_part, small_batches
 @dataclass(frozen=True)
 class Fingerprint:
     k: int = 8  # bytes: a k-mer is one 64-bit number
-    m: int = 24
-    l: int = 3  # noqa: E741
+    m: int = 32
+    l: int = 2  # noqa: E741
     part_docs: int = 4000
 
 

@@ -111,7 +111,8 @@ def mix_sized(sized: DataFrame, how: Mix = Mix()) -> DataFrame:
     by_range = offers.groupBy("range").agg(F.sum("size").alias("words"))
     upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     by_range = by_range.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).select(F.col("range").alias("r"), "before")
-    budget = goals.agg(F.round(F.sum("target")).cast("long").alias("budget"))
+    words = F.sum("source_size")
+    budget = goals.agg(F.least(F.floor(words * F.lit(how.percent) / 100), words * how.epochs).cast("long").alias("budget"))
     by_range = by_range.crossJoin(F.broadcast(budget))  # one row
     # At most 3 * slices + 1 rows: broadcast.
     dealt = offers.join(F.broadcast(by_range), F.col("range") == F.col("r")).drop("r")

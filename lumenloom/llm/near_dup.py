@@ -6,7 +6,8 @@ its leader only (a line per member, never all pairs). Pairs are compared signatu
 signature batch and dropped once the posterior chance that their similarity reaches the
 threshold is under `miss`; survivors are verified exactly on the full sets. Verified links are
 joined into components. Buckets that still hold several components get another leader, and
-finally every remaining pair between different components, so no link depends on a leader.
+finally every remaining pair between different components is compared (in large buckets block by
+block, where only links leave a group), so no link depends on a leader.
 
 Defined results: null, empty or blank text: empty set, linked with nothing, its own component.
 Fewer than `k` words: the whole sequence is the one shingle. Rows with equal doc_id are one
@@ -39,6 +40,7 @@ class NearDup:
     rows: int = 5
     miss: float = 1e-6
     star_rounds: int = 2
+    block: int = 400
 
     @property
     def size(self) -> int:
@@ -172,6 +174,64 @@ def verify(pairs: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
     return with_b.join(texts("a"), "a").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
+def by_blocks(members: DataFrame, sketches: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
+    """Links (a, b) between different components within large buckets (band, key, n, doc_id, comp), enough to join
+    what belongs together. A bucket is dealt into blocks, and each two blocks of it meet in one group: pairs are
+    compared there, by signature and then exactly, and only links leave it. A pair is looked at in the first bucket
+    that it shares."""
+    blocks = F.ceil(F.col("n") / F.lit(how.block)).cast("int")
+    own = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "doc_id", "comp")
+    facts = sketches.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "signature", "bands")
+    rows = dealt.join(facts.join(texts, "doc_id"), "doc_id")
+    share = how.percent / 100
+    step = max(how.size // 5, 1)
+    gates = [(n, least_matches(n, share, how.miss)) for n in range(step, how.size + 1, step)]
+
+    def run(group: pa.Table) -> pa.Table:
+        column = lambda name: group.column(name).to_pylist()
+        ids, comp, block = column("doc_id"), column("comp"), np.array(column("block"))
+        first, second, band = group.column("i")[0].as_py(), group.column("j")[0].as_py(), group.column("band")[0].as_py()
+        signatures = np.frombuffer(b"".join(column("signature")), np.uint32).reshape(-1, how.size)
+        bands, sizes = np.array(column("bands")), np.array(column("n_shingles"))
+        memo, texts_, sets = WordHash(), group.column("text"), {}
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_set(texts_[k].as_py(), how.k, memo)
+            return sets[k]
+
+        out = []
+        right = np.flatnonzero(block == second)
+        for k in np.flatnonzero(block == first).tolist():
+            alive = right[right > k] if first == second else right
+            alive = alive[(np.minimum(sizes[alive], sizes[k]) * 100 >= np.maximum(sizes[alive], sizes[k]) * how.percent)]
+            if len(alive):
+                alive = alive[(bands[alive] == bands[k]).argmax(axis=1) == band]
+            seen, done = np.zeros(len(ids), np.int64), 0
+            for n, least in gates:
+                seen[alive] += (signatures[alive, done:n] == signatures[k, done:n]).sum(axis=1)
+                alive, done = alive[seen[alive] >= least], n
+            for o in alive[np.argsort(-seen[alive], kind="stable")].tolist():
+                x, y = root(comp[k]), root(comp[o])
+                if x == y:
+                    continue
+                both = np.intersect1d(full(k), full(o), assume_unique=True).size
+                if 100 * both >= how.percent * (len(full(k)) + len(full(o)) - both):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((min(ids[k], ids[o]), max(ids[k], ids[o])))
+        cols = list(zip(*out)) or [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def connect(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b). Each round, every node
     points its neighbours at the smallest it knows, and pointers are shortened; the rounds
@@ -205,8 +265,11 @@ def components(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     classes = materialize(classes.filter("rep is not null"), "classes")
     reps = base.select("doc_id", "n_shingles", "signature", "bands", "set_key").join(classes.withColumnRenamed("set_key", "k"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("k")), "left_semi").dropDuplicates(["doc_id"])
     buckets = reps.filter("n_shingles > 1").select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    members = materialize(buckets.join(shared.select("band", "key"), ["band", "key"]), "buckets")
+    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = buckets.join(shared, ["band", "key"])
+    # A text that others were made from shares more buckets with them than they do with each other: it leads.
+    score = members.groupBy("doc_id").agg(F.sum("n").alias("score"))
+    members = materialize(members.join(score, "doc_id"), "buckets")
     sketches = base.select("doc_id", "n_shingles", "signature").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sketches = materialize(sketches, "candidates")
     texts = docs.join(sketches.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -214,19 +277,25 @@ def components(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     links, tested, comps = None, None, None
     for turn in range(how.star_rounds + 1):
         now = members.withColumn("comp", F.col("doc_id")) if comps is None else (
-            members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "band", "key", F.coalesce("component", "doc_id").alias("comp"))
+            members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "band", "key", "n", "score", F.coalesce("component", "doc_id").alias("comp"))
         )
         if turn:
             open_ = now.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "key")
             now = materialize(now.join(open_, ["band", "key"]), "open")
         if turn < how.star_rounds:  # one leader for each bucket, another each round
-            order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h") if turn else F.lit(0).alias("h"), F.col("doc_id").alias("id"), F.col("comp").alias("c"))
+            order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h") if turn else (-F.col("score")).alias("h"), F.col("doc_id").alias("id"), F.col("comp").alias("c"))
             lead = now.groupBy("band", "key").agg(F.min(order).alias("lead")).select("band", "key", F.col("lead.id").alias("l"), F.col("lead.c").alias("lc"))
             pairs = now.join(lead, ["band", "key"]).filter("comp <> lc")
             pairs = pairs.select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")).distinct()
-        else:  # what no leader settled: every pair between different components
-            other = now.select("band", "key", F.col("doc_id").alias("o"), F.col("comp").alias("oc"))
-            pairs = now.join(other, ["band", "key"]).filter("doc_id < o and comp <> oc").select(F.col("doc_id").alias("a"), F.col("o").alias("b")).distinct()
+        else:  # what no leader settled: in small buckets every pair between different components
+            few = now.filter(F.col("n") <= how.block // 4)
+            other = few.select("band", "key", F.col("doc_id").alias("o"), F.col("comp").alias("oc"))
+            pairs = few.join(other, ["band", "key"]).filter("doc_id < o and comp <> oc").select(F.col("doc_id").alias("a"), F.col("o").alias("b")).distinct()
+            many = now.filter(F.col("n") > how.block // 4)
+            if not many.isEmpty():
+                found = materialize(by_blocks(many, base, texts, how), "links")
+                links = found if links is None else links.union(found)
+                comps = connect(links)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")

@@ -99,7 +99,7 @@ o AS (SELECT *, ('0x' || substr(md5('17:' || doc_id || ':' || size), 1, 15))::BI
 s AS (SELECT o.doc_id, o.source, o.size, t.source_size, t.target, o.ord, sum(o.size) OVER (PARTITION BY o.source ORDER BY ord, doc_id, o.size ROWS UNBOUNDED PRECEDING) AS sent FROM o JOIN t ON t.source IS NOT DISTINCT FROM o.source),
 f AS (SELECT s.* EXCLUDE (sent), epoch, sent + epoch * source_size AS sent FROM s, (VALUES (0), (1)) e(epoch)),
 c AS (SELECT *, sum(size) OVER (ORDER BY sent / target, source NULLS LAST, epoch, ord, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM f WHERE sent - size < target),
-k AS (SELECT doc_id, sum(greatest(0, least(size, (SELECT round(sum(target)) FROM t) - upto + size))) AS got FROM c GROUP BY doc_id)
+k AS (SELECT doc_id, sum(greatest(0, least(size, (SELECT 150 * sum(source_size) // 100 FROM t) - upto + size))) AS got FROM c GROUP BY doc_id)
 SELECT s.doc_id, s.size, s.source_size, s.target, coalesce(k.got, 0)::BIGINT AS taken FROM s LEFT JOIN k ON k.doc_id = s.doc_id
 """,
     "op7_line_dedup": r"""

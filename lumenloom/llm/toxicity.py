@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Fitting takes at most `max_toxic` and `max_clean` labelled examples, by a hash of doc_id. Terms are the
-words (lower-cased, without punctuation around them) and their first four and five letters, so that
+words (lower-cased, without punctuation around them) and their first three to five letters, so that
 inflected forms meet. Terms whose share among toxic examples is significantly above their share
 among clean ones (a likelihood ratio of at least `min_ratio`) form the vocabulary, at most
 `max_terms` of them. Each example is its TF-IDF vector over that vocabulary.
@@ -42,7 +42,7 @@ class Toxicity:
     max_toxic: int = 4000
     max_clean: int = 8000
     max_terms: int = 4096
-    min_ratio: float = 25.0
+    min_ratio: float = 20.0
     k: int = 16
     threshold: float = 0.7
 
@@ -52,7 +52,7 @@ def terms_of(word: str) -> tuple[str, ...]:
     word = word.lower().strip(_AROUND)
     if len(word) < 3 or len(word) > 40:
         return ()
-    return ("=" + word, *("^" + word[:n] for n in (4, 5) if len(word) > n))
+    return ("=" + word, *("^" + word[:n] for n in (3, 4, 5) if len(word) > n))
 
 
 class Known(dict):

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _TOKEN = re.compile("[a-z0-9]+")
 
@@ -109,6 +111,7 @@ def index_patterns(patterns: tuple[PatternRule, ...], counts: dict[str, int]) ->
 def judge(pages: DataFrame, path_rules: tuple[PathRule, ...] = (), patterns: tuple[PatternRule, ...] = PATTERNS) -> DataFrame:
     """page_id, host, path, rule (of the path rules), pattern (that rejected), verdict."""
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    ship(pages.sparkSession)
     by_token, always = index_patterns(patterns, token_counts(urls, patterns))
     by_host: dict[str, list[PathRule]] = {}
     for rule in path_rules:
@@ -129,6 +132,7 @@ def judge(pages: DataFrame, path_rules: tuple[PathRule, ...] = (), patterns: tup
                         candidates.update(by_token.get(t, ()))
                     hit = next((patterns[i].pattern for i in sorted(candidates) if compiled[i].search(low)), None)
                 out.append((host, path, rule and rule.name, hit, rule.verdict if rule else "block" if hit else "allow"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in zip(*out)] or [pa.array([], pa.string())] * 5], names=["page_id", "host", "path", "rule", "pattern", "verdict"])
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in columns]], names=["page_id", "host", "path", "rule", "pattern", "verdict"])
 
     return urls.mapInArrow(run, "page_id long, host string, path string, rule string, pattern string, verdict string")
