@@ -46,8 +46,10 @@ def bm25(chunks: DataFrame, tokens: Counter, s: Settings = Settings(), limit: in
     terms = sorted(tokens)
     if not terms:
         return chunks.select("chunk_id", F.lit(0.0).alias("raw")).limit(0)
-    found = chunks.select("chunk_id", tx.tokenize(F.col("text")).alias("tokens"))
-    tf = [F.size(F.filter("tokens", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    # One generated row, so that tokens are made once and not again for each use.
+    found = chunks.select("chunk_id", F.explode(F.array(tx.tokenize(F.col("text")))).alias("tokens"))
+    same = lambda t: lambda x: x == F.lit(t)
+    tf = [F.size(F.filter("tokens", same(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = found.select("chunk_id", F.size("tokens").alias("dl"), *tf)
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.filter(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
@@ -155,10 +157,11 @@ def identifier_boost(text: Column, terms: list[str]) -> Column:
         return F.lit(0.0)
     names = F.transform(tx.code_identifiers(text), F.lower)
     exact, part = F.lit(0), F.lit(0)
+    holds = lambda forms: lambda n: F.exists(forms, lambda f: n.contains(f))
     for t in terms:
         forms = tx.stems(F.lit(t))
         same = F.arrays_overlap(names, forms)
-        within = F.exists(names, lambda n, forms=forms: F.exists(forms, lambda f: n.contains(f)))
+        within = F.exists(names, holds(forms))
         exact = exact + F.when(same, 1).otherwise(0)
         part = part + F.when(~same & within, 1).otherwise(0)
     raw = (0.08 * exact + 0.03 * part) / len(terms)
