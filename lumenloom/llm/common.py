@@ -20,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch, so that a batch of long texts stays small in a Python worker.
 BATCH_ROWS = 512
 
+#: Shuffle partitions at most; beyond, partitions grow and are worked off in a stream.
+MOST_PARTS = 10_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -98,24 +101,36 @@ def by_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
     return run
 
 
-def range_bounds(df: DataFrame, key: str, parts: int) -> list:
+def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most parts - 1 values of an integer key that cut df into ranges of about equal
     row counts. One aggregate; what reaches the driver is bounded by parts."""
     if parts < 2:
         return []
     shares = [i / parts for i in range(1, parts)]
-    got = df.agg(F.percentile_approx(key, shares, 20_000).alias("b")).first()["b"] or []
+    got = df.agg(F.percentile_approx(key, shares, 5 * MOST_PARTS).alias("b")).first()["b"] or []
     return sorted({x for x in got if x is not None})
 
 
-def range_part(key: Column, bounds: list) -> Column:
-    """How many bounds are below key: its range's number; null is in range 0. Values equal
-    to a bound share the range that ends at it."""
+def range_part(key: Column, bounds: list[int], cells: int = 4096) -> Column:
+    """How many bounds are below key: its range's number; null is in range 0. Values equal to a bound
+    share the range that ends at it. A grid over the bounds says where to look."""
     if not bounds:
         return F.lit(0)
-    array = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.coalesce(F.size(F.filter(array, lambda b: b < key)), F.lit(0))
+    low, high = bounds[0], bounds[-1]
+    width = max(-(-(high - low + 1) // cells), 1)
+    starts, at = [], 0
+    for cell in range((high - low) // width + 2):
+        while at < len(bounds) and bounds[at] < low + cell * width:
+            at += 1
+        starts.append(at)
+    numbers = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731  one literal once folded
+    cell = F.floor((key - low) / width).cast("int")
+    start = F.element_at(numbers(starts), cell + 1).cast("int")
+    end = F.element_at(numbers(starts), cell + 2).cast("int")
+    near = F.slice(numbers(bounds), start + 1, end - start)
+    return F.when(key.isNull() | (key <= low), 0).when(key > high, len(bounds)).otherwise(start + F.size(F.filter(near, lambda b: b < key)))
 
 
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part), 1)
+    """Partitions of about per_part rows, at most MOST_PARTS."""
+    return min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part), 1), MOST_PARTS)

@@ -30,7 +30,7 @@ class Fingerprint:
     k: int = 8  # bytes: a k-mer is one 64-bit number
     m: int = 32
     l: int = 2  # noqa: E741
-    part_docs: int = 4000
+    part_docs: int = 1000
 
 
 def _factors(m: int) -> np.ndarray:

@@ -210,7 +210,8 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, how: Extraction = Extraction()) -> DataFrame:
-    """host, classes: array of (tokens in order, kinds) of the valid classes by occurrence vector, the widest first."""
+    """host, classes: the tokens in order of each class by occurrence vector; those in most pages and with most tokens come first and
+    keep their places where another is not nested with them."""
     found = occurrences(pages).groupBy("host", "token", "kind").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("place").alias("place"))
     found = found.filter(F.col("pages") >= how.least_pages)
     found = materialize(found.withColumn("place", F.col("place") / F.col("pages")), "tokens")
@@ -219,7 +220,7 @@ def templates(pages: DataFrame, how: Extraction = Extraction()) -> DataFrame:
     often = often.filter((F.col("kind") != "t") | (F.col("pages") >= how.text_share * F.col("all_pages")) & (F.col("pages") >= how.text_pages))
     # A token's class: pages and vector. The tokens of a class are few: each is in half of the host's pages.
     classes = often.groupBy("host", "vector", "pages").agg(F.sort_array(F.collect_list(F.struct("place", "token", "kind"))).alias("t")).filter(F.size("t") >= how.least_tokens)
-    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("less"), F.col("t.token").alias("tokens"), F.col("t.kind").alias("kinds")))).alias("classes")).select("host", F.expr("transform(classes, c -> c.tokens)").alias("classes"))
+    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("less"), (-F.size("t")).alias("short"), F.col("t.token").alias("tokens"), F.col("t.kind").alias("kinds")))).alias("classes")).select("host", F.expr("transform(classes, c -> c.tokens)").alias("classes"))
 
 
 def template_places(sequence: list[int], classes: list[list[int]]) -> set[int]:

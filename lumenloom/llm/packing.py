@@ -41,7 +41,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Packing:
     tiers: tuple[int, ...] = (256, 512, 1024, 2048)
     end_id: int = 1
-    group_docs: int = 4000
+    group_docs: int = 1500
     steps: int = 8
     ranks_path: str | None = None  # the public byte_bpe_50k ranks by default
     pattern: str | None = None
@@ -123,7 +123,8 @@ def pack(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     ranks_path, pattern = how.ranks_path or public_path("byte_bpe_50k.tiktoken"), how.pattern or public_pattern()
-    groups = parts_for(spark, docs.count(), how.group_docs)
+    n = docs.count()
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // how.group_docs))
     end = how.end_id.to_bytes(4, "little")
 
     def flush(group: int, rows: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
@@ -154,5 +155,5 @@ def pack(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
 
     group = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(groups)).cast("int")
     dealt = docs.select(group.alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = dealt.repartition(groups, "g").sortWithinPartitions("g", "doc_id", "text")
+    dealt = dealt.repartition(parts_for(spark, n, how.group_docs), "g").sortWithinPartitions("g", "doc_id", "text")
     return dealt.mapInArrow(run, SCHEMA)

@@ -42,7 +42,7 @@ MANIFEST = "part int, file string, records long, bytes long, sha256 string"
 class Warc:
     roll_bytes: int = 64_000_000
     revisit_bytes: int = 100
-    part_pages: int = 4000
+    part_pages: int = 1500
     level: int = 6
     date: str = "2024-01-01T00:00:00Z"
 
