@@ -2,13 +2,13 @@
 
 Fitting takes at most `max_toxic` and `max_clean` labelled examples, by a hash of doc_id. Terms are the
 words (lower-cased, without punctuation around them) and their first three to five letters, so that
-inflected forms meet. Terms whose share among toxic examples is significantly above their share
+inflected forms meet, and each of these again where it comes at least 2, 4 or 8 times. Terms whose share among toxic examples is significantly above their share
 among clean ones (a likelihood ratio of at least `min_ratio`) form the vocabulary, at most
 `max_terms` of them. Each example is its TF-IDF vector over that vocabulary.
 
 Scoring finds each document's `k` nearest examples exactly, with an inverted index that knows for
-each term the highest weight in every block of examples: blocks are visited by falling upper bound
-until none can hold a nearer example. Neighbours vote with weight 1 / (0.05 + distance); votes are
+each term the highest weight in every block of examples: the blocks of highest
+bound set a floor, and only blocks whose bound reaches it are scored. Neighbours vote with weight 1 / (0.05 + distance); votes are
 calibrated to probabilities by isotonic regression on leave-one-out votes of the examples, weighted
 to the label shares of all training rows. A text without a known term gets the share of toxic
 ones among examples without a known term.
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 BLOCK = 64
+#: Blocks scored to find the floor.
+FIRST = 4
 _AROUND = ".,;:!?|\"'()[]{}<>*#-_…«»“”„¡¿"
 
 
@@ -55,25 +57,44 @@ def terms_of(word: str) -> tuple[str, ...]:
     return ("=" + word, *("^" + word[:n] for n in (3, 4, 5) if len(word) > n))
 
 
+#: Occurrences from which a term counts as another one: cosines see directions only, so how often must be part of it.
+LEVELS = (1, 2, 4, 8)
+
+
+def leveled(text: str | None) -> set[str]:
+    """The terms of a text, each with the levels that its count reaches."""
+    counts: Counter = Counter()
+    for word, n in Counter((text or "").split()).items():
+        for t in terms_of(word):
+            counts[t] += n
+    return {f"{t}@{level}" for t, n in counts.items() for level in LEVELS if n >= level}
+
+
 class Known(dict):
-    """word -> numbers of its known terms; stops learning when full."""
+    """word -> its terms that have a known level; stops learning when full."""
 
     def __init__(self, vocabulary: dict[str, int], limit: int = 400_000):
         super().__init__()
-        self.vocabulary, self.limit = vocabulary, limit
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        value = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
+        self.levels: dict[str, list[tuple[int, int]]] = {}
+        for name, number in vocabulary.items():
+            term, _, level = name.rpartition("@")
+            self.levels.setdefault(term, []).append((int(level), number))
+        self.limit = limit
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        value = tuple(t for t in terms_of(word) if t in self.levels)
         if len(self) < self.limit:
             self[word] = value
         return value
 
-    def counts(self, text: str | None) -> Counter:
-        found: Counter = Counter()
-        if text:
-            for numbers in filter(None, map(self.__getitem__, text.split())):
-                found.update(numbers)
-        return found
+    def known(self, text: str | None) -> list[int]:
+        """Numbers of the known terms of a text."""
+        if not text:
+            return []
+        counts: Counter = Counter()
+        for terms in filter(None, map(self.__getitem__, text.split())):
+            counts.update(terms)
+        return sorted(number for t, n in counts.items() for level, number in self.levels[t] if n >= level)
 
 
 @dataclass
@@ -85,38 +106,49 @@ class Model:
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     ids: list = field(default_factory=list)
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int8))
-    postings: list = field(default_factory=list)  # per term: example numbers, weights, start of each block
+    postings: list = field(default_factory=list)  # per term: example numbers, weights, blocks
     highest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # term x block
     share: float = 0.0
     without: float = 0.0
     votes: np.ndarray = field(default_factory=lambda: np.zeros(0))
     chances: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.fromiter(sorted(counts), np.int64, len(counts))
-        w = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * self.idf[terms]
+    def vector(self, known: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        terms = np.array(known, np.int64)
+        w = self.idf[terms]
         return terms, w / np.sqrt((w * w).sum())
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples (ties by number) and their cosines: exact."""
+        """The k nearest examples (ties by number) and their cosines: exact. The blocks of highest bound set a
+        floor under the k-th cosine; every block whose bound reaches it is then scored, the others can't hold a nearer one."""
         bound = weights @ self.highest[terms]
-        best_n, best_s, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best_n) >= k and bound[block] < floor - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                numbers, values, starts = self.postings[t]
-                at = slice(starts[block], starts[block + 1])
-                scores[numbers[at] - block * BLOCK] += w * values[at]
-            if block == but // BLOCK and but >= 0:
-                scores[but % BLOCK] = 0
-            hit = np.flatnonzero(scores > 0)
-            best_n, best_s = np.concatenate([best_n, hit + block * BLOCK]), np.concatenate([best_s, scores[hit]])
-            order = np.lexsort((best_n, -np.round(best_s, 9)))[:k]
-            best_n, best_s = best_n[order], best_s[order]
-            floor = best_s[-1] if len(best_s) else 0.0
-        return best_n, best_s
+        first = np.argpartition(-bound, FIRST)[:FIRST] if len(bound) > FIRST else np.arange(len(bound))
+        chosen = np.zeros(len(bound), bool)
+        chosen[first] = True
+        scores = self._scores(terms, weights, chosen)
+        if but >= 0:
+            scores[but] = 0
+        if len(bound) > FIRST:
+            best = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+            more = (bound >= best - 1e-9) & (bound > 0) & ~chosen
+            if more.any():
+                scores += self._scores(terms, weights, more)
+                if but >= 0:
+                    scores[but] = 0
+        hit = np.flatnonzero(scores > 1e-12)
+        order = np.lexsort((hit, -np.round(scores[hit], 9)))[:k]
+        return hit[order], scores[hit][order]
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """The cosines of the examples in the chosen blocks; 0 for others."""
+        scores, whole = np.zeros(len(self.ids)), chosen.all()
+        for t, w in zip(terms.tolist(), weights.tolist()):
+            numbers, values, blocks = self.postings[t]
+            if not whole:
+                held = chosen[blocks]
+                numbers, values = numbers[held], values[held]
+            scores[numbers] += w * values
+        return scores
 
     def vote(self, numbers: np.ndarray, cosines: np.ndarray) -> float:
         w = 1 / (1.05 - np.minimum(cosines, 1))
@@ -128,10 +160,10 @@ class Model:
             return min(max(vote, 0.0), 1.0)
         return float(0.98 * np.interp(vote, self.votes, self.chances) + 0.02 * vote)
 
-    def score(self, counts: Counter) -> tuple[float, list[tuple]]:
-        if not counts:
+    def score(self, known: list[int]) -> tuple[float, list[tuple]]:
+        if not known:
             return self.without, []
-        numbers, cosines = self.nearest(*self.vector(counts), self.how.k)
+        numbers, cosines = self.nearest(*self.vector(known), self.how.k)
         if not len(numbers):
             return self.without, []
         evidence = [(self.ids[n], float(s), int(self.toxic[n])) for n, s in zip(numbers.tolist(), cosines)]
@@ -153,7 +185,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def build(how: Toxicity, vocabulary: dict[str, int], rows: list[tuple], share: float, seen: dict[int, tuple[float, int]]) -> Model:
-    """rows: (doc_id, toxic, counts) of examples with a known term; seen: label -> (training rows that
+    """rows: (doc_id, toxic, known terms) of examples with a known term; seen: label -> (training rows that
     an example stands for, examples)."""
     n = sum(c for _, c in seen.values())
     model = Model(how, vocabulary, share=share)
@@ -165,11 +197,11 @@ def build(how: Toxicity, vocabulary: dict[str, int], rows: list[tuple], share: f
         return model
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0]))
     df = np.zeros(len(vocabulary))
-    for _, _, counts in rows:
-        df[list(counts)] += 1
+    for _, _, known in rows:
+        df[known] += 1
     model.idf = np.log((n + 1) / (df + 1)) + 1
     model.ids, model.toxic = [r[0] for r in rows], np.array([r[1] for r in rows], np.int8)
-    vectors = [model.vector(counts) for _, _, counts in rows]
+    vectors = [model.vector(known) for _, _, known in rows]
     blocks = -(-len(rows) // BLOCK)
     lists: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
     model.highest = np.zeros((len(vocabulary), blocks))
@@ -179,8 +211,7 @@ def build(how: Toxicity, vocabulary: dict[str, int], rows: list[tuple], share: f
             model.highest[t, number // BLOCK] = max(model.highest[t, number // BLOCK], w)
     for posting in lists:
         numbers = np.array([p[0] for p in posting], np.int64)
-        starts = np.searchsorted(numbers, np.arange(blocks + 1) * BLOCK).tolist()
-        model.postings.append((numbers, np.array([p[1] for p in posting]), starts))
+        model.postings.append((numbers, np.array([p[1] for p in posting]), numbers // BLOCK))
     votes = []
     for number, (terms, weights) in enumerate(vectors):
         near = model.nearest(terms, weights, how.k, but=number)
@@ -210,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, how: To
         for batch in batches:
             for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 rows[toxic] += 1
-                tables[toxic].update({t for w in set((text or "").split()) for t in terms_of(w)})
+                tables[toxic].update(leveled(text))
         terms = [t for t in tables[1]]
         yield pa.RecordBatch.from_arrays(
             [pa.array(["", *terms]), pa.array([rows[1], *(tables[1][t] for t in terms)], pa.int64()), pa.array([rows[0], *(tables[0][t] for t in terms)], pa.int64())], names=["term", "a", "b"]
@@ -237,13 +268,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, how: To
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Known(vocabulary)
         for batch in batches:
-            found = [memo.counts(t) for t in batch.column(1).to_pylist()]
-            keep = [i for i, c in enumerate(found) if c]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, pa.int64())), batch.column(2).take(pa.array(keep, pa.int64())), pa.array([list(found[i].items()) for i in keep], pa.map_(pa.int32(), pa.int32()))], names=["doc_id", "toxic", "counts"]
-            )
+            found = [memo.known(t) for t in batch.column(1).to_pylist()]
+            keep = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(2).take(keep), pa.array([x for x in found if x], pa.list_(pa.int32()))], names=["doc_id", "toxic", "known"])
 
-    rows = [(r["doc_id"], r["toxic"], Counter(r["counts"])) for r in sample.mapInArrow(known, "doc_id long, toxic int, counts map<int,int>").collect()] if vocabulary else []
+    rows = [(r["doc_id"], r["toxic"], list(r["known"])) for r in sample.mapInArrow(known, "doc_id long, toxic int, known array<int>").collect()] if vocabulary else []
     return build(how, vocabulary, rows, share, {1: (total[1], n1), 0: (total[0], n0)})
 
 
@@ -258,7 +287,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         held = shared.value
         memo = Known(held.vocabulary)
         for batch in batches:
-            found = [held.score(memo.counts(t)) for t in batch.column(1).to_pylist()]
+            found = [held.score(memo.known(t)) for t in batch.column(1).to_pylist()]
             scores = [s for s, _ in found]
             evidence = pa.array([[{"doc_id": d, "cosine": c, "toxic": y} for d, c, y in e] for _, e in found], kind)
             predicted = pa.array([int(s >= held.how.threshold) for s in scores], pa.int32())
@@ -283,7 +312,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
         held = shared.value
         memo = Known(held.vocabulary)
         for batch in batches:
-            keep = [held.score(memo.counts(t))[0] < held.how.threshold for t in batch.column(at).to_pylist()]
+            keep = [held.score(memo.known(t))[0] < held.how.threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
