@@ -26,7 +26,7 @@ def first_wins(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = (), merge: list[str] = (), defaults: dict[str, Column] | None = None) -> DataFrame:
-    """old with the rows of new (one per key) put in their place. Columns in `keep` stay as they were; columns in
+    """old with the rows of new (one per key) put in their place. Columns in `keep` and columns that new lacks stay as they were; columns in
     `merge` take the new value unless it is null; inserted rows take `defaults` for nulls. One full outer join on the key."""
     a, b = old.alias("a"), new.alias("b")
     condition = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
@@ -40,7 +40,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()
         fresh = after if default is None else F.coalesce(after, default)
         if c in keys:
             value = F.coalesce(before, after)
-        elif c in keep:
+        elif c in keep or c not in new.columns:
             value = F.when(inserted, fresh).otherwise(before)
         elif c in merge:
             value = F.when(inserted, fresh).otherwise(F.coalesce(after, before))
@@ -131,7 +131,7 @@ class Store:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _pointer(self, name: str) -> str:
-        return f"{self.folder}/{name}/_current"
+        return f"{self.folder}/{name}/CURRENT"
 
     def _version(self, name: str) -> str | None:
         jvm = self.spark.sparkContext._jvm
@@ -173,7 +173,7 @@ class Store:
         elif name == "pages":
             out = upsert(old, rows, KEYS[name], merge=["content_hash", "crawl_status"], defaults={"crawl_status": F.lit("active")})
         elif name == "chunks":
-            out = upsert(old, rows, KEYS[name], keep=["corroboration_strength", "last_corroborated_at"], defaults={"corroboration_strength": F.lit(0.0), "last_corroborated_at": now, "content_type": F.lit("text"), "is_child": F.lit(False), "embedding_version": F.when(F.col("b.embedding").isNotNull(), 1).otherwise(0)})
+            out = upsert(old, rows, KEYS[name], keep=["corroboration_strength", "last_corroborated_at"], defaults={"corroboration_strength": F.lit(0.0), "last_corroborated_at": now, "content_type": F.lit("text"), "is_child": F.lit(False), "embedding_version": F.when(F.col("b.embedding").isNotNull(), 1).otherwise(0) if "embedding" in rows.columns else F.lit(0)})
         else:
             out = upsert(old, rows, KEYS[name], keep=["created_at"] if name == "entities" else [])
         self.write(name, out)

@@ -24,7 +24,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     skipped = F.arrays_overlap(F.split("relative", "/"), F.array(*map(F.lit, chunking.SKIPPED_FOLDERS)))
     extension = F.lower(F.element_at(F.split("relative", r"\."), -1))
     keep = ~skipped & (F.col("relative").contains(".") & extension.isin(chunking.INDEXABLE) | F.element_at(F.split("relative", "/"), -1).startswith("Dockerfile"))
-    return rows.filter(keep).select(F.col("relative").alias("path"), F.decode("content", F.lit("UTF-8")).alias("source"), extension.alias("extension"))
+    return rows.filter(keep).select(F.col("relative").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("source"), extension.alias("extension"))
 
 
 def index_files(files: DataFrame, repo_url: Column, branch: str = "") -> DataFrame:
