@@ -505,7 +505,7 @@ def _details(spark, d):
     return T(spark, d, "events").select(F.col("event_type").alias("config_name"), (F.col("user_id") % 50).alias("query"), F.when(F.col("value") > 40, 1.0).otherwise(0.0).alias("overlap"), F.concat(F.lit("d"), F.col("user_id") % 7).alias("source_doc"), F.when(F.col("user_id") % 3 == 0, "easy").otherwise("hard").alias("difficulty"))
 
 
-@query("WITH x AS (SELECT user_id % 50 AS query, count_if(NOT coalesce(value > 40, false)) AS failed, count(*) AS configs FROM events GROUP BY 1) SELECT query, failed, configs, CASE WHEN failed = configs THEN 'universal' ELSE 'frequent' END AS kind FROM x WHERE failed >= 0.5 * configs")
+@query("WITH x AS (SELECT user_id % 50 AS query, count_if(NOT coalesce(value > 40, false))::BIGINT AS failed, count(*) AS configs FROM events GROUP BY 1) SELECT query, failed, configs, CASE WHEN failed = configs THEN 'universal' ELSE 'frequent' END AS kind FROM x WHERE failed >= 0.5 * configs")
 def failure_analytics(spark, d):
     return evaluation.failures(_details(spark, d), 0.5)
 
