@@ -37,6 +37,12 @@ def truncate(vector: Column, dims: int) -> Column:
     return normalize(F.slice(vector, 1, dims))
 
 
+def is_chart(embedding: Column, charts: list[list[float]], others: list[list[float]]) -> Column:
+    """Whether an image is nearer to a label for charts than to any other label."""
+    best = lambda labels: F.greatest(*[dot(embedding, literal(v)) for v in labels]) if len(labels) > 1 else dot(embedding, literal(labels[0]))
+    return best(charts) > best(others)
+
+
 def quantize(vector: Column) -> Column:
     """struct(low, high, codes): 256 steps between the least and the largest component."""
     values = doubles(vector)

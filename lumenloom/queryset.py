@@ -617,6 +617,15 @@ def maxsim_rank(spark, d):
     return retrieval.maxsim_signal(tokens, q).select("chunk_id", F.round("raw", 6).alias("score"))
 
 
+@query(
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), l AS (SELECT vec_id AS n, e AS q FROM v WHERE vec_id < 6), s AS (SELECT v.vec_id, max(list_dot_product(e, q)) FILTER (n < 3) AS c, max(list_dot_product(e, q)) FILTER (n >= 3) AS o FROM v, l GROUP BY 1) SELECT vec_id, c > o AS is_chart FROM s"""
+)
+def chart_classify(spark, d):
+    v = T(spark, d, "embeddings")
+    labels = [[float(x) for x in r["embedding"]] for r in v.filter("vec_id < 6").orderBy("vec_id").collect()]
+    return v.select("vec_id", vx.is_chart(F.col("embedding"), labels[:3], labels[3:]).alias("is_chart"))
+
+
 @query("""SELECT event_id, [props] AS strings FROM events""")
 def json_salvage(spark, d):
     text = F.concat(F.lit("Here: ```json\n"), F.to_json(F.array("props")), F.lit("\n``` done"))

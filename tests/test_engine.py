@@ -114,3 +114,45 @@ def test_connectors():
     limit("https://a/2")
     assert len(waits) == 1 and 1 <= waits[0] <= 3
     assert cn.ocr_text([(5, 9, "b", 0.9), (1, 9, "a", 0.8), (0, 1, "top", 0.6), (0, 0, "no", 0.5)]) == "top a b"
+
+
+def test_benchmark_runner(spark, tmp_path):
+    from lumenloom.operators import evaluation
+    from lumenloom.plans.benchmark import BenchmarkRunner
+
+    docs = spark.createDataFrame([("a.html", "u/a", "html", "<h1>Solar</h1><p>solar panels turn light into power</p>"), ("b.py", "u/b", "code", "def proof():\n    return 'dough'\n"), ("c.txt", "u/c", "text", "kafka brokers replicate logs")], "path string, url string, type string, text string")
+    queries = [{"query": "solar panels", "expected_passages": ["panels turn light into power"], "source_doc": "a.html", "difficulty": "easy"}]
+    configs = [{"config_name": "auto/x", "chunk_mode": "auto", "weights": {"bm25": 2.0}}, {"config_name": "paragraph/x", "chunk_mode": "paragraph"}, {"config_name": "broken"}]
+    details, errors = BenchmarkRunner(spark, f"file://{tmp_path}", EMB).run(docs, queries, configs, 3)
+    assert {r.config_name: r.overlap for r in details.collect()} == {"auto/x": 1.0, "paragraph/x": 1.0}
+    assert [r.config_name for r in errors.collect()] == ["broken"]
+    assert evaluation.roll_up(details).count() == 2 and evaluation.breakdown(details).count() == 3
+
+
+def test_generation(spark):
+    import math
+
+    from lumenloom.plans import generation as g
+
+    chunks = spark.createDataFrame([("1", "the GIL blocks threads", "doc"), ("2", "lock", "doc")], "chunk_id string, text string, document string")
+    llm = ScriptedLlm([("sentence", " about locks "), ("GIL", 'x [{"name": "GIL", "definition": "a lock"}, {"name": " "}] y')], "not json")
+    assert {r.context_summary for r in g.summaries(chunks, llm).collect()} == {"about locks"}
+    mentions = g.extract_entities(chunks, llm)
+    assert [tuple(r) for r in mentions.collect()] == [("1", "GIL", "a lock")]
+    entities, links = g.link_entities(mentions, EMB)
+    assert entities.first().canonical_name == "GIL" and links.count() == 1
+    assert g.score_answer(ScriptedLlm(default='{"relevance": 2, "groundedness": 0.5, "completeness": 0}'), "q", "a", "c") == (1.0, 0.5, 0.0)
+    assert all(map(math.isnan, g.score_answer(ScriptedLlm(default="?"), "q", "a", "c")))
+
+
+def test_image_headers():
+    import struct
+
+    from lumenloom.sources import images
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 120, 300)
+    assert images.dimensions(png) == (120, 300) and images.accepted(png) and not images.accepted(png, least_side=200)
+    assert images.dimensions(b"GIF89a" + struct.pack("<HH", 10, 20)) == (10, 20) and images.dimensions(b"junk") is None
+    assert images.dimensions(b"\xff\xd8\xff\xc0\0\x11\x08\0\x40\0\x80\x03" + b"\0" * 9) == (128, 64)
+    w, h = images.scaled(10_000, 10_000)
+    assert w * h <= 25_000_000 and images.scaled(10, 10) == (10, 10)
