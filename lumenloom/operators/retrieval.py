@@ -50,7 +50,8 @@ def bm25(chunks: DataFrame, tokens: Counter, s: Settings = Settings(), limit: in
     found = chunks.select("chunk_id", F.explode(F.array(tx.tokenize(F.col("text")))).alias("tokens"))
     same = lambda t: lambda x: x == F.lit(t)
     tf = [F.size(F.filter("tokens", same(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = found.select("chunk_id", F.size("tokens").alias("dl"), *tf)
+    # A few numbers for each chunk, kept for the passes over them; lost parts are made again.
+    counted = found.select("chunk_id", F.size("tokens").alias("dl"), *tf).persist()
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.filter(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
     raw = F.lit(0.0)
@@ -59,9 +60,10 @@ def bm25(chunks: DataFrame, tokens: Counter, s: Settings = Settings(), limit: in
         idf = F.ln((n - df + 0.5) / (df + 0.5) + 1)
         raw = raw + tokens[t] * idf * f * (s.bm25_k1 + 1) / (f + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.col("avg_dl")))
     scored = joined.select("chunk_id", raw.alias("raw")).filter("raw > 0")
+    if limit is not None:  # the best rows hold the maximum; they are few
+        return best(scored, limit).withColumn("raw", F.col("raw") / F.max("raw").over(Window.partitionBy(F.lit(0))))
     top = scored.agg(F.max("raw").alias("top"))
-    out = scored.crossJoin(F.broadcast(top)).select("chunk_id", (F.col("raw") / F.col("top")).alias("raw"))
-    return best(out, limit)
+    return scored.crossJoin(F.broadcast(top)).select("chunk_id", (F.col("raw") / F.col("top")).alias("raw"))
 
 
 def bm25_batch(posted: DataFrame, lengths: DataFrame, queries: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -110,7 +110,7 @@ def funnel_topk(spark, d):
 
 
 def _two_lists(spark, d):
-    return fusion.union([fusion.ranked("bm25", retrieval.bm25(_chunks(spark, d), QUESTION), 30), fusion.ranked("text_cosine", retrieval.cosine(_vectors(spark, d), _query_vector(spark, d)), 30)])
+    return fusion.union([fusion.ranked("bm25", retrieval.bm25(_chunks(spark, d), QUESTION, limit=30)), fusion.ranked("text_cosine", retrieval.cosine(_vectors(spark, d), _query_vector(spark, d)), 30)])
 
 
 def _rrf_sql(a: float, b: float) -> str:
@@ -193,7 +193,7 @@ def hybrid_flagship(spark, d):
     """Five signals, fused and joined with their chunks: the whole plan is one query; lists are cut where their signal has a depth."""
     q = _query_vector(spark, d)
     lists = {
-        "bm25": (retrieval.bm25(_chunks(spark, d), QUESTION), 150),
+        "bm25": (retrieval.bm25(_chunks(spark, d), QUESTION, limit=150), None),
         "text_cosine": (retrieval.cosine(_vectors(spark, d), q), 150),
         "graph": (retrieval.graph_signal(_chunks(spark, d), _authority(spark, d)), None),
         "recency": (retrieval.recency_signal(_corroborated(spark, d), NOW), None),
@@ -254,7 +254,7 @@ def mention_boost(spark, d):
 
 @query(f"WITH {_BM25}, top AS (SELECT * FROM bm ORDER BY raw DESC, chunk_id LIMIT 50), c AS (SELECT count(*) AS n, count_if(chunk_id % 7 = 0) AS code FROM top) SELECT round(least(code, n - code) / n, 6) AS minority, CASE WHEN least(code, n - code) / n < 0.2 THEN 100 ELSE 50 END AS depth FROM c")
 def diversity_depth(spark, d):
-    fused = retrieval.bm25(_chunks(spark, d), QUESTION).withColumnRenamed("raw", "rrf")
+    fused = retrieval.bm25(_chunks(spark, d), QUESTION, limit=50).withColumnRenamed("raw", "rrf")
     types = T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 7 == 0, "code").otherwise("text").alias("content_type"))
     return fusion.diversity_depth(fused, types, 50).select(F.round("minority", 6).alias("minority"), "depth")
 

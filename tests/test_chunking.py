@@ -10,14 +10,14 @@ def test_paragraphs_pack_and_split():
     long = " ".join(f"word{i}" for i in range(600))
     parts = ch.paragraphs(long, 100)
     assert len(parts) == 6 and " ".join(parts) == long
-    assert ch.paragraphs("Dr. Smith came. He saw e.g. this. Then left.", 3) == ["Dr. Smith came.", "He saw", "e.g. this.", "Then left."] or True
+    assert ch.paragraphs("Dr. Smith came. He saw e.g. this. Then left.", 3) == ["Dr. Smith came.", "He saw", "e.g. this.", "Then left."]
 
 
 def test_sentences_then_clauses_then_words():
     assert ch.split_oversized("Aa bb. Cc dd! Ee", 2) == ["Aa bb.", "Cc dd!", "Ee"]
     assert ch.split_oversized("aa bb, cc dd; ee", 2) == ["aa bb,", "cc dd;", "ee"]
     assert ch.split_oversized("aa bb cc dd ee", 2) == ["aa bb", "cc dd", "ee"]
-    assert ch.split_oversized("See e.g. this. Next one", 3) == ["See e.g. this.", "Next one"] or ch.token_count("e.g.") == 2
+    assert ch.split_oversized("See e.g. this. Next one", 3) == ["See e.g.", "this.", "Next one"]
 
 
 def test_children_of_small_parents(spark):
