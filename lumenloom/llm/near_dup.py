@@ -288,10 +288,10 @@ def components(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
             pairs = now.join(lead, ["band", "key"]).filter("comp <> lc")
             pairs = pairs.select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")).distinct()
         else:  # what no leader settled: in small buckets every pair between different components
-            few = now.filter(F.col("n") <= how.block // 4)
+            few = now.filter(F.col("n") <= how.block // 8)
             other = few.select("band", "key", F.col("doc_id").alias("o"), F.col("comp").alias("oc"))
             pairs = few.join(other, ["band", "key"]).filter("doc_id < o and comp <> oc").select(F.col("doc_id").alias("a"), F.col("o").alias("b")).distinct()
-            many = now.filter(F.col("n") > how.block // 4)
+            many = now.filter(F.col("n") > how.block // 8)
             if not many.isEmpty():
                 found = materialize(by_blocks(many, base, texts, how), "links")
                 links = found if links is None else links.union(found)
