@@ -7,7 +7,12 @@ fingerprint in both: all grams of the window at its first line lie within the ru
 that occur once can't belong to a repeated run; the rest join with their positions, and the lines
 of the windows that chose them are extended in both directions to covers, the runs of lines from
 each start that just reach the full length. A cover that equals an earlier one (by document,
-then position) is deleted, and touching covers merge into the whole repeated run.
+then position) is deleted, and touching covers merge into one run. That is the rule of op7's SQL: the lines after the
+last cover of a repeat, too few words to complete another cover, stay. With `whole_runs` they go too: from each
+start the runs that end between its cover's end and the next start's are compared like covers, so that a
+repeat is followed line by line as far as any earlier place goes on alike. A run that reaches the next start's end holds
+the next start's cover, so no longer runs are needed and there are about two for each line at most.
+Backwards nothing is left: a line before equal covers that is the same at both places starts a cover there itself.
 
 Order: doc_id, then line number; the first occurrence stays. A null doc_id comes last. Repeats that
 overlap within one text (the same lines again and again) shrink to their first period.
@@ -32,6 +37,7 @@ from .common import WORD, materialize
 class LineDedup:
     gram_words: int = 25
     window_words: int = 25
+    whole_runs: bool = False
 
     @property
     def run_words(self) -> int:
@@ -63,17 +69,39 @@ def covers(lines: DataFrame, words: int, name: str) -> DataFrame:
     return raw.withColumn(f"{name}_hash", F.when(whole, both)).withColumn(f"{name}_end", F.when(whole, F.element_at("_run", -1)["pos"])).drop("_run", "_n")
 
 
+def runs_from(lines: DataFrame, words: int) -> DataFrame:
+    """lines with `runs`: (hash, end) of each run from a line on that ends from its cover's end to before the end of the
+    next line's cover, or of the text; null where the text ends before."""
+    order = Window.partitionBy("key").orderBy("upto")
+    span = order.rangeBetween(0, words - 1)
+    raw = lines.withColumn("_run", F.array_sort(F.collect_list(F.struct("pos", "hash")).over(span))).withColumn("_n", F.sum("words").over(span))
+    whole = F.col("_n") >= words
+    next_, next_whole = F.lead("_run").over(order), F.lead(whole).over(order)
+    end = F.element_at("_run", -1)["pos"]
+    # The next line's cover without its last line, or what is left of the text; of these, the lines after this cover.
+    inner = F.when(next_whole, F.slice(next_, 1, F.size(next_) - 1)).otherwise(next_)
+    raw = raw.withColumn("_tail", F.filter(F.coalesce(inner, F.slice("_run", 1, 0)), lambda x: x["pos"] > end))
+    longest = F.concat("_run", "_tail")
+    sizes = F.sequence(F.size("_run"), F.size(longest))
+    run = lambda n: F.slice(longest, 1, n)["hash"]
+    both = F.transform(sizes, lambda n: F.struct(F.struct(F.xxhash64(run(n)).alias("x"), F.hash(run(n)).alias("m")).alias("hash"), F.element_at(longest, n)["pos"].alias("end")))
+    return raw.withColumn("runs", F.when(whole, both)).drop("_run", "_n", "_tail")
+
+
 def repeated_runs(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
     """key, start, end: the lines of each document that repeat an earlier run; disjoint."""
     grams = covers(lines_of(docs), how.gram_words, "gram")
-    both = covers(grams, how.run_words, "run")
+    both = runs_from(grams, how.run_words) if how.whole_runs else covers(grams, how.run_words, "run")
+    run = ["runs"] if how.whole_runs else ["run_hash", "run_end"]
     window = Window.partitionBy("key").orderBy("upto").rangeBetween(0, how.window_words - 1)
     # Each line's window chooses its least gram: the fingerprint that stands for the run from this line on.
-    chosen = both.withColumn("print", F.min("gram_hash.x").over(window)).filter("run_hash is not null")
-    chosen = materialize(chosen.select("doc_id", "key", "pos", "print", "run_hash", "run_end"), "runs")
+    chosen = both.withColumn("print", F.min("gram_hash.x").over(window)).filter(f"{run[0]} is not null")
+    chosen = materialize(chosen.select("doc_id", "key", "pos", "print", *run), "runs")
     # Candidates: fingerprints met in more than one place.
     often = chosen.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
     candidates = chosen.join(often, "print")
+    if how.whole_runs:
+        candidates = candidates.select("doc_id", "key", "pos", F.explode("runs").alias("r")).select("doc_id", "key", "pos", F.col("r.hash").alias("run_hash"), F.col("r.end").alias("run_end"))
     # Extension: from a shared fingerprint both ways over the run that its window opens.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "pos")
     first = candidates.groupBy("run_hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
