@@ -65,3 +65,18 @@ def test_run_and_repeat(spark, tmp_path):
     tables(spark, folder)
     one, two = (sorted(tuple(r) for r in cp.run(spark, folder).collect()) for _ in range(2))
     assert one == two and len(one) > 100
+
+
+def test_near_dedup_takes_pairs_from_80_percent(spark):
+    word = lambda i, k: f"w{i}x{k}"
+    rows = []
+    for i in range(20):
+        words = [word(i, k) for k in range(104)]
+        # 100 shingles each; new last words change as many shingles: 90 / 110 = 0.82 and 88 / 112 = 0.79 are the same.
+        for at, new in ((0, 0), (100, 10), (200, 12)):
+            text = words[: 104 - new] + [word(i, f"{at}y{k}") for k in range(new)]
+            rows.append((at + i, " ".join(text), "en", "s", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    left = {r.doc_id for r in cp._near_dedup(spark, docs, "").collect()}
+    assert left == {*range(20), *range(200, 220)}
+    assert (1 - 0.8**cp.NEAR.rows) ** cp.NEAR.bands < 1e-6
