@@ -6,8 +6,8 @@ the most that so many tokens can have). Prose of a language stays in narrow band
 (noise, lists of symbols, other scripts, broken encodings, repetition) leaves them.
 
 Bands hold for one language and one power of two of words: the median plus and minus `widths` times the distance to the
-5 % and 95 % quantiles (and at least `slack` of the median, more for short texts), over all documents that pass the base
-rules. Groups under `least_rows` use their language's band, such small languages the band of
+quartiles (and at least `slack` of the median, more for short texts), over all documents that pass the base
+rules; junk that is less than a quarter of them can't stretch its own band much. Groups under `least_rows` use their language's band, such small languages the band of
 all documents; where even that is smaller, nothing is rejected.
 
 Base measures of the whole text are reported beside the verdict. Defined results: null text has no words.
@@ -39,9 +39,9 @@ MEASURES = ("chars_per_token", "fallback_share", "entropy")
 class Fertility:
     vocabularies: tuple[str, ...] = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
     folder: str | None = None  # of the vocabulary files; the public ones by default
-    widths: float = 4.0
-    slack: float = 0.12
-    short_slack: float = 1.0
+    widths: float = 5.0
+    slack: float = 0.06
+    short_slack: float = 0.4
     least_rows: int = 50
     min_words: int = 10
     max_repeat_percent: int = 20
@@ -134,7 +134,7 @@ def judge(docs: DataFrame, how: Fertility = Fertility()) -> DataFrame:
     failed = (F.col("n_words") < how.min_words) | (100 * F.col("n_repeat_words") > how.max_repeat_percent * F.col("n_words"))
     rows = materialize(rows.withColumn("base_failed", failed).withColumn("size", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")), "fertility")
     # One pass: bands of (lang, size), of lang, and of everything.
-    levels = rows.filter(~F.col("base_failed")).rollup("lang", "size").agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.05, 0.5, 0.95], 2000).alias(c) for c in names])
+    levels = rows.filter(~F.col("base_failed")).rollup("lang", "size").agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in names])
     levels = levels.filter(F.col("n") >= how.least_rows)
     bands = levels.filter("size is not null").withColumnsRenamed({c: f"{c}_b" for c in names}).drop("n")
     langs = levels.filter("size is null and lang is not null").withColumnsRenamed({c: f"{c}_l" for c in names}).drop("n", "size")
@@ -146,6 +146,6 @@ def judge(docs: DataFrame, how: Fertility = Fertility()) -> DataFrame:
     for c in names:
         q = F.coalesce(f"{c}_b", f"{c}_l", f"{c}_a")
         low = q[1] - F.greatest(how.widths * (q[1] - q[0]), slack * q[1])
-        high = q[1] + F.greatest(how.widths * (q[2] - q[1]), slack * q[1], 0.25 * slack)
+        high = q[1] + F.greatest(how.widths * (q[2] - q[1]), slack * q[1], slack)
         inside &= q.isNull() | F.col(c).between(low, high)
     return joined.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *names, "base_failed", "kept")

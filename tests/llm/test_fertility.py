@@ -45,3 +45,13 @@ def test_prose_stays_and_noise_goes(spark):
     assert not any(got[i].kept for i, _, _ in noise + odd)
     assert got[2003].base_failed and got[2003].n_repeat_words == 120 and got[2000].n_words == 0
     assert judge(docs.limit(0)).collect() == []
+
+
+def test_junk_of_a_tenth_does_not_widen_its_own_band(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice(["the", "er", "on", "an", "re", "in", "ti"]) for _ in range(r.randrange(1, 4))) for _ in range(3000)]
+    text = lambda by: by.join(r.choice(words) for _ in range(100))
+    docs = [(i, text(" "), "en") for i in range(270)] + [(1000 + i, text(" | "), "en") for i in range(15)] + [(2000 + i, text("*** "), "en") for i in range(15)]
+    got = {x.doc_id: x.kept for x in judge(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i] for i in range(270)) >= 267
+    assert not any(kept for i, kept in got.items() if i >= 1000)
