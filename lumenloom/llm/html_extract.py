@@ -9,8 +9,9 @@ region: its articles, or else its main element, or else the element whose slots
 Elements that are menus, headers, footers, sidebars, notices, adverts, forms or reader comments by name, role or class
 are never content, nor are scripts, styles and hidden elements. Text that is itself a template token is dropped.
 
-Vectors are not gathered anywhere: each token keeps the exclusive or of a hash of (page, count), so a host with a
-third of all pages needs no more room than any other. Hosts' templates go to all workers if there are few of them (checked),
+Copies of a page (equal html on one host) are one page for the vectors and counts, so that repeated rows change no template and
+a host of copies of one page has none. Vectors are not gathered anywhere: each token keeps the exclusive or of a
+hash of (page, count), so a host with a third of all pages needs no more room than any other. Hosts' templates go to all workers if there are few of them (checked),
 and are joined to salted pages otherwise.
 
 Defined results: null html gives an empty text, a null url or one without host is a host of its own without a
@@ -36,6 +37,7 @@ from .common import materialize, small_batches
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_HOST = r"(?s)^.*?://([^/?#]*)"
 _PART = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -189,7 +191,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                         seen[k][0] += 1
                     else:
                         seen[k] = [1, place]
-                seed = xxhash.xxh3_64_intdigest(url + "\0" + html)
+                seed = xxhash.xxh3_64_intdigest(html)
                 by_count = {}
                 seen[(0, "")] = [1, 0]
                 for (token, kind), (n, place) in seen.items():
@@ -206,7 +208,10 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 yield emit()
         yield emit()
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, kind string, vector long, pages long, place double")
+    # One page of each host and html: partial aggregates leave one a task, however often it comes.
+    host = F.lower(F.regexp_extract("url", _HOST, 1))
+    distinct = pages.filter("url is not null and html <> ''").groupBy(host.alias("h"), F.md5(F.encode("html", "utf-8")).alias("digest")).agg(F.min("page_id").alias("page_id"), F.min("url").alias("url"), F.first("html").alias("html"))
+    return distinct.select("page_id", "url", "html").mapInArrow(run, "host string, token long, kind string, vector long, pages long, place double")
 
 
 def templates(pages: DataFrame, how: Extraction = Extraction()) -> DataFrame:
@@ -317,7 +322,7 @@ def extract(pages: DataFrame, how: Extraction = Extraction()) -> DataFrame:
             yield emit(batch, lambda i, _: classes[i].as_py())  # noqa: B023
 
     # Too many hosts for memory: pages meet their host's template by host and salt, so that no host is one task's.
-    host = F.lower(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1))
+    host = F.lower(F.regexp_extract("url", _HOST, 1))
     salted = rows.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(how.salts)).cast("int"))
     copies = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(how.salts - 1))))
     return salted.join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "classes").mapInArrow(run_joined, schema)

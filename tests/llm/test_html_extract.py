@@ -45,3 +45,21 @@ def test_template_text_goes_and_slots_stay(spark):
 
 def test_host():
     assert host_of("HTTP://A.b/c") == "a.b" and host_of(None) == host_of("x") == ""
+
+
+def test_copies_of_one_page_are_no_template(spark):
+    body = "".join(f"<p>Line {j} of the copied story.</p>" for j in range(4))
+    copies = [(i, f"http://c.org/{i}", page(0, body)) for i in range(20)]
+    text = "\n".join(["Story 0", *(f"Line {j} of the copied story." for j in range(4)), "Read more on our site"])
+    got = extract(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()
+    assert len(got) == 20 and {r.text for r in got} == {text}
+
+
+def test_repeated_rows_change_no_template(spark):
+    rows = [(i, f"http://h.org/{i}", page(i, f"<p>word{i} and more text.</p>")) for i in range(20)]
+    schema = "page_id long, url string, html string"
+    once = {tuple(r) for r in extract(spark.createDataFrame(rows, schema)).collect()}
+    twice = extract(spark.createDataFrame(rows * 2, schema)).collect()
+    assert len(twice) == 40 and {tuple(r) for r in twice} == once
+    some = extract(spark.createDataFrame(rows + rows[:1] * 60, schema)).collect()
+    assert {tuple(r) for r in some} == once
