@@ -3,8 +3,8 @@
 A path rule (host, path prefix) fits its host and all subdomains; of those that fit, the one with the longest
 host and path decides. Other URLs are judged by pattern rules. A pattern rule is a regular expression with
 the literal tokens that any match must contain; it is indexed under the one that is rarest among the URLs at hand. A
-URL's own tokens fetch the rules indexed under them, and only these run. Rules without a
-literal token run on every URL.
+URL's own tokens fetch the rules indexed under them, and only these run. A rule whose matches hold one of several
+tokens is indexed under each. Rules without a literal token run on every URL.
 
 Tokens are the runs of a-z and 0-9 of the URL with A-Z lower-cased. Patterns see that lower-cased URL.
 
@@ -42,25 +42,26 @@ class PathRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """tokens: literal tokens of every URL that the pattern matches."""
+    """tokens: whole tokens of every URL that the pattern matches; any_of: whole tokens of which each such URL has one."""
 
     pattern: str
     tokens: tuple[str, ...] = ()
+    any_of: tuple[str, ...] = ()
 
 
 #: Pages that are no prose: gambling, adult, downloads, sessions, carts, logins, searches, calendars, feeds.
 PATTERNS = (
     PatternRule(r"[./-]casino-[a-z]+[./]", ("casino",)),
-    PatternRule(r"[./-](poker|slots|betting)[./-]"),
+    PatternRule(r"[./-](poker|slots|betting)[./-]", any_of=("poker", "slots", "betting")),
     PatternRule(r"[./-]xxx[./-]", ("xxx",)),
     PatternRule(r"/cgi-bin/", ("cgi", "bin")),
-    PatternRule(r"[?&;](phpsessid|jsessionid|sid)="),
+    PatternRule(r"[?&;](phpsessid|jsessionid|sid)=", any_of=("phpsessid", "jsessionid", "sid")),
     PatternRule(r"/wp-(admin|login)", ("wp",)),
-    PatternRule(r"/(cart|checkout)/?([?#]|$)"),
-    PatternRule(r"[?&]action=login", ("action", "login")),
+    PatternRule(r"/(cart|checkout)/?([?#]|$)", any_of=("cart", "checkout")),
+    PatternRule(r"[?&]action=login", ("action",)),
     PatternRule(r"/search\?(q|query)=", ("search",)),
     PatternRule(r"/calendar/[0-9]{4}/", ("calendar",)),
-    PatternRule(r"\.(zip|exe|iso|tar\.gz)([?#]|$)"),
+    PatternRule(r"\.(zip|exe|iso|tar\.gz)([?#]|$)", any_of=("zip", "exe", "iso", "gz")),
     PatternRule(r"/feed/?([?#]|$)", ("feed",)),
 )
 
@@ -103,6 +104,9 @@ def index_patterns(patterns: tuple[PatternRule, ...], counts: dict[str, int]) ->
     for i, rule in enumerate(patterns):
         if rule.tokens:
             by_token.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(i)
+        elif rule.any_of:
+            for t in rule.any_of:
+                by_token.setdefault(t, []).append(i)
         else:
             always.append(i)
     return by_token, always

@@ -36,3 +36,26 @@ def test_index_finds_what_running_every_pattern_finds(spark):
 def test_rarest_token():
     by, always = index_patterns((PatternRule("a", ("x", "y")), PatternRule("b")), {"x": 5, "y": 1})
     assert by == {"y": [0]} and always == [1]
+
+
+def test_the_rarest_token_is_in_every_match(spark):
+    # 'login' is rarer than 'action' here, and no whole token of the first two.
+    urls = ["http://a.org/?action=login2", "http://a.org/?x=1&action=loginform", "http://a.org/?action=x", "http://a.org/login"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r.verdict for r in judge(pages).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+
+
+def test_listed_tokens_are_in_every_match():
+    ends = ["", "/", "?", "#", "&", "=", "-", ".", "x", "2", "\n", "é", "7/"]
+    bodies = ["casino-win", "poker", "slots", "betting", "xxx", "cgi-bin", "phpsessid=", "jsessionid=", "sid=", "wp-admin", "wp-login", "cart", "checkout", "action=login", "search?q=", "search?query=", "calendar/2020", "zip", "exe", "iso", "tar.gz", "feed"]
+    met = set()
+    for body in bodies:
+        for before in ("/", ".", "-", "?", "&", ";", "x", "/a"):
+            for after in ends:
+                url = f"http://h.org/p{before}{body}{after}"
+                found = set(re.findall("[a-z0-9]+", url))
+                for p in PATTERNS:
+                    if re.search(p.pattern, url):
+                        met.add(p.pattern)
+                        assert found.issuperset(p.tokens) and (not p.any_of or found.intersection(p.any_of)), (url, p)
+    assert met == {p.pattern for p in PATTERNS} and all(p.tokens or p.any_of for p in PATTERNS)
