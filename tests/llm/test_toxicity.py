@@ -1,8 +1,12 @@
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 
-from lumenloom.llm.toxicity import Known, Toxicity, build, fit, held_out, isotonic, reject, score
+from lumenloom.llm.toxicity import Terms, Toxicity, fit, held_out, isotonic, reject, score, terms_of
 
 
 def corpus(r, n=1200):
@@ -35,24 +39,70 @@ def test_held_out_accuracy_and_clean_documents(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not g.predicted for g in got.values())
 
 
-def test_nearest_is_exact():
-    r = random.Random(2)
-    vocabulary = {f"=t{i}@1": i for i in range(40)}
-    terms = lambda: sorted({r.randrange(40) for _ in range(r.randrange(1, 6))})
-    rows = [(i, r.randrange(2), terms()) for i in range(500)]
-    model = build(Toxicity(k=7), vocabulary, rows, 0.5, {1: (250, 260), 0: (250, 260)})
-    full = np.zeros((500, 40))
-    for n, (_, _, known) in enumerate(rows):
-        t, w = model.vector(known)
-        full[n, t] = w
-    for _ in range(100):
-        t, w = model.vector(terms())
-        q = np.zeros(40)
-        q[t] = w
-        cosines = full @ q
-        best = sorted((i for i in range(500) if cosines[i] > 1e-12), key=lambda i: (-round(cosines[i], 9), i))[:7]
-        numbers, found = model.nearest(t, w, 7)
-        assert numbers.tolist() == best and np.allclose(found, cosines[best])
+def plain_scores(rows, how, model):
+    """Cosines of every text with every example, one by one, from the definition."""
+    count = lambda text: Counter(t for w in text.split() for t in terms_of(w))
+    train = [(i, t, y, count(t)) for i, t, y in rows if y is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    n, total = len(train), sum(y for *_, y, _ in train)
+    df, a = Counter(), Counter()
+    for *_, y, c in train:
+        df.update(c.keys())
+        a.update(c.keys() if y else ())
+    weight = lambda t: (math.log((n + 1) / (df[t] + 1)) + 1) * (math.log2(2 + a[t] / max(1, df[t] - a[t])) - 0.9)
+
+    def unit(c):
+        v = {t: (1 + math.log(k)) * weight(t) for t, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()} if norm else {}
+
+    units = [(i, t, y, unit(c)) for i, t, y, c in train]
+    share, out = total / n, {}
+    for i, text, _ in rows:
+        u = unit(count(text))
+        near = sorted(((-sum(x * v.get(t, 0) for t, x in u.items()), j, y) for j, t2, y, v in units if t2 != text))[: how.k]
+        near = [(-s, y) for s, _, y in near if s < -1e-9]
+        if not near:
+            out[i] = model.without
+            continue
+        w = [1 / (1.05 - min(s, 1)) for s, _ in near]
+        vote = (sum(a for a, (_, y) in zip(w, near) if y) + share) / (sum(w) + 1)
+        out[i] = model.chance(vote)
+    return out
+
+
+@pytest.mark.parametrize("how", [Toxicity(k=7, block=8, first=1, wide=0.1), Toxicity(k=7, block=8, first=2, wide=2.0), Toxicity(k=7, wide=0.0)])
+def test_whole_query_against_all_cosines(spark, how):
+    rows = corpus(random.Random(3), 250)
+    rows += [(1000, rows[0][1], rows[0][2]), (1001, rows[0][1], None), (1002, "zzz unseen only", None)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int")
+    model = fit(docs, labels, ~held_out(), how)
+    want = plain_scores(rows, how, model)
+    for r in score(docs, model).collect():
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-4), r.doc_id
+
+
+def test_no_text_votes_on_itself(spark):
+    rows = corpus(random.Random(5), 200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert all(e.doc_id != r.doc_id for r in score(docs, model).collect() for e in r.evidence)
+
+
+def test_repeated_documents_of_a_label_are_one_example(spark):
+    rows = corpus(random.Random(6), 60)
+    docs = spark.createDataFrame([(i, f"{t} {k}") for i, t, _ in rows for k in range(5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 3, "doc_id long, toxic int")
+    model = fit(docs, labels, None, Toxicity(max_toxic=5, max_clean=20))
+    assert len(model.ids) == len(set(model.ids)) <= 25
+
+
+def test_terms_are_counted_over_a_full_memo():
+    memo, small = Terms(), Terms(limit=7)
+    for text in ("a b a ccc cccd cccd, Ünï", "x y z x", None, "", "?? a", "a b a ccc cccd cccd, Ünï"):
+        for one, two in zip(memo.of(text), small.of(text)):
+            assert one.tolist() == two.tolist()
+    assert sorted(memo.of("ab AB abcd")[1].tolist()) == [1.0, 1.0, 2.0]
 
 
 def test_isotonic_rises():
@@ -67,5 +117,3 @@ def test_odd_tables(spark):
     one = spark.createDataFrame([(1, 1), (1, 1), (None, 0)], "doc_id long, toxic int")
     assert {r.score for r in score(docs, fit(docs, one)).collect()} == {1.0}
     assert score(docs.limit(0), fit(docs, one)).collect() == []
-    memo = Known({"=abc@1": 0, "=abc@2": 1, "=abc@4": 2})
-    assert memo.known("ABC, abc. ab") == [0, 1] and memo.known("abc") == [0] and memo.known(None) == []
