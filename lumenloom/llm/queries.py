@@ -102,26 +102,22 @@ c AS (SELECT *, sum(size) OVER (ORDER BY sent / target, source NULLS LAST, epoch
 k AS (SELECT doc_id, sum(greatest(0, least(size, (SELECT 150 * sum(source_size) // 100 FROM t) - upto + size))) AS got FROM c GROUP BY doc_id)
 SELECT s.doc_id, s.size, s.source_size, s.target, coalesce(k.got, 0)::BIGINT AS taken FROM s LEFT JOIN k ON k.doc_id = s.doc_id
 """,
+    # All pairs of equal lines, an earlier and a later place; runs of them at an equal distance are the matches.
     "op7_line_dedup": r"""
-WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
-l AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM d WHERE text <> ''
-), n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
-c AS (
-  SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id, text ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS upto FROM n WHERE words > 0
-), r AS (
-  SELECT doc_id, text, pos, array_agg(line) OVER s AS run, max(pos) OVER s AS run_end, sum(words) OVER s AS total
-  FROM c WINDOW s AS (PARTITION BY doc_id, text ORDER BY upto RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
-), o AS (
-  SELECT doc_id, text, pos, run_end, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, pos) AS nth FROM r WHERE total >= 50
-), gone AS (
-  SELECT DISTINCT l.doc_id, l.text, l.pos FROM l JOIN o ON o.doc_id = l.doc_id AND o.text = l.text AND o.nth > 1 AND l.pos BETWEEN o.pos AND o.run_end
-), t AS (
-  SELECT l.doc_id, l.text, string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS kept, count(*) AS n_lines, count(gone.pos) AS n_deleted
-  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.text = l.text AND gone.pos = l.pos GROUP BY l.doc_id, l.text
+WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS d FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text <> '')),
+l AS (SELECT d, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM d),
+n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
+c AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY pos) AS i FROM n WHERE words > 0),
+p AS (SELECT b.d, b.i, b.pos, b.words, a.d AS earlier, b.i - a.i AS shift FROM c a JOIN c b ON a.line = b.line AND (a.d < b.d OR a.d = b.d AND a.i < b.i)),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY d, earlier, shift ORDER BY i) AS island FROM p),
+r AS (SELECT d, min(pos) AS run_start, max(pos) AS run_end FROM g GROUP BY d, earlier, shift, island HAVING sum(words) >= 50),
+gone AS (SELECT DISTINCT l.d, l.pos FROM l JOIN r ON r.d = l.d AND l.pos BETWEEN run_start AND run_end),
+t AS (
+  SELECT l.d, string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS kept, count(*) AS n_lines, count(gone.pos) AS n_deleted
+  FROM l LEFT JOIN gone ON gone.d = l.d AND gone.pos = l.pos GROUP BY l.d
 )
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.kept, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted
-FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id AND t.text = d.text
+SELECT x.doc_id, CASE WHEN x.text IS NOT NULL THEN coalesce(t.kept, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted
+FROM documents x LEFT JOIN d ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text = x.text LEFT JOIN t ON t.d = d.d
 """,
     "op8_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (

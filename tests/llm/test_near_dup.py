@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lumenloom.llm.near_dup import NearDup, _permutations, components, connect, least_matches, minhash
+from lumenloom.llm.near_dup import NearDup, _permutations, components, connect, keep_one, least_matches, minhash
 
 
 def brute(rows, percent=85, k=5):
@@ -51,7 +51,7 @@ def corpus(seed=1):
 def test_against_all_pairs(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, component int")
-    for how in (NearDup(), NearDup(star_rounds=0, block=4)):
+    for how in (NearDup(), NearDup(star_rounds=0, block=4), NearDup(star_rounds=1, block=2, part_rows=2), NearDup(part_rows=1)):
         got = sorted(tuple(x) for x in components(docs, how).collect())
         assert [(a, b, c, d) for a, b, c, d in got] == brute(rows)
 
@@ -64,6 +64,36 @@ def test_odd_tables(spark):
     assert len(got) == 4 and all(r.component_id in (1, None) for r in got)
 
 
+def test_rows_of_one_document(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (7, b), (5, ""), (None, b), (None, "own text"), (None, "own text")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 36, 1, True), (5, 36, 1, False), (5, 36, 1, False), (7, 36, 1, False), (5, 0, 5, True), (None, 36, 1, False), (None, 1, None, True), (None, 1, None, True)], key=str)
+
+
+def test_keep_one_row_of_each_group(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, 1), (1, a, 2), (2, a.upper(), 3), (None, b, 4), (None, b, 5), (None, b.upper(), 6), (3, None, 7), (3, None, 8), (4, " ", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = keep_one(docs)
+    assert got.columns == docs.columns
+    left = sorted(r.row for r in got.collect())
+    assert left[0] in (1, 2) and left[1] in (4, 5, 6) and left[2:] == [7, 8, 9]
+    assert keep_one(docs.limit(0)).collect() == []
+
+
+def test_a_large_bucket_of_near_copies(spark):
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(1500):
+        text = list(base)
+        text[r.randrange(8, 112)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    got = components(spark.createDataFrame(rows, "doc_id long, text string"), NearDup(part_rows=100, block=50)).collect()
+    assert {x.component_id for x in got} == {0} and sum(x.kept for x in got) == 1
+
+
 def test_components_of_long_chains_and_stars(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000 + i, 6000) for i in range(50)]
