@@ -28,15 +28,14 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup_lines(docs, line_dedup.LineDedup(whole_runs=True), counts=True)
+    cut = line_dedup.dedup_lines(docs, counts=True)
     has_words = F.col("text").rlike(WORD)
     left = cut.filter((F.col("n_deleted") == 0) | has_words)
     return left.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_dup.components(docs, NEAR).filter("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return near_dup.keep_one(docs, NEAR)
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
