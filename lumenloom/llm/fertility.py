@@ -7,11 +7,13 @@ the most that so many tokens can have). Prose of a language stays in narrow band
 
 Bands hold for one language and one power of two of words: the median plus and minus `widths` times the distance to the
 quartiles (and at least `slack` of the median, more for short texts), over all documents that pass the base
-rules; junk that is less than a quarter of them can't stretch its own band much. Groups under `least_rows` use their language's band, such small languages the band of
-all documents; where even that is smaller, nothing is rejected.
+rules; junk that is less than a quarter of them can't stretch its own band much. A group of n documents counts n parts
+against `prior_rows` parts of what its language says, a language in the same way against all documents, and those against
+the prior bands of the settings, for Latin and for other scripts (told by bytes per character). So bands of small
+groups and small tables lean on wider ones, at every size by the same rule.
 
 Base measures of the whole text are reported beside the verdict. Defined results: null text has no words.
-A null lang is a language of its own. Rows are judged by themselves, so ties and repeats don't matter; extra columns are
+A null lang is a language of its own, apart from any string. Rows are judged by themselves, so ties and repeats don't matter; extra columns are
 ignored, and an empty table gives an empty result.
 """
 
@@ -42,7 +44,11 @@ class Fertility:
     widths: float = 5.0
     slack: float = 0.06
     short_slack: float = 0.4
-    least_rows: int = 50
+    prior_rows: float = 25.0
+    #: Lowest and highest value of each measure where nothing else is known.
+    latin: tuple[tuple[float, float], ...] = ((1.6, 6.5), (0.0, 0.2), (0.55, 1.0))
+    other: tuple[tuple[float, float], ...] = ((0.3, 6.5), (0.0, 0.98), (0.4, 1.0))
+    latin_bytes: float = 1.35  # bytes per character under which a text is Latin
     min_words: int = 10
     max_repeat_percent: int = 20
 
@@ -104,7 +110,7 @@ def measure(docs: DataFrame, how: Fertility = Fertility()) -> DataFrame:
     small_batches(docs.sparkSession)
     pattern = public_pattern()
     paths = [f"{how.folder}/{v}" if how.folder else public_path(v) for v in how.vocabularies]
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    base = ["chars", "bytes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     fertility = [f"{m}_{i}" for i in range(len(paths)) for m in MEASURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +120,7 @@ def measure(docs: DataFrame, how: Fertility = Fertility()) -> DataFrame:
             for text in batch.column(2).to_pylist():
                 text = text or ""
                 words = words_of(text)
-                row: list = [len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(hashes(words, memo))]
+                row: list = [len(text), len(text.encode("utf-8", "surrogatepass")), len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(hashes(words, memo))]
                 for vocab, fallback in vocabs:
                     row += token_measures(np.frombuffer(vocab.of(text), "<u4"), len(text), fallback)
                 rows.append(row)
@@ -124,7 +130,7 @@ def measure(docs: DataFrame, how: Fertility = Fertility()) -> DataFrame:
 
     schema = ", ".join(["doc_id long, lang string", *[f"{b} long" for b in base], *[f"{f} double" for f in fertility]])
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(lang, F.lit("?")).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def judge(docs: DataFrame, how: Fertility = Fertility()) -> DataFrame:
@@ -133,19 +139,26 @@ def judge(docs: DataFrame, how: Fertility = Fertility()) -> DataFrame:
     names = [c for c in rows.columns if c.rpartition("_")[0] in MEASURES]
     failed = (F.col("n_words") < how.min_words) | (100 * F.col("n_repeat_words") > how.max_repeat_percent * F.col("n_words"))
     rows = materialize(rows.withColumn("base_failed", failed).withColumn("size", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")), "fertility")
-    # One pass: bands of (lang, size), of lang, and of everything.
-    levels = rows.filter(~F.col("base_failed")).rollup("lang", "size").agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in names])
-    levels = levels.filter(F.col("n") >= how.least_rows)
-    bands = levels.filter("size is not null").withColumnsRenamed({c: f"{c}_b" for c in names}).drop("n")
-    langs = levels.filter("size is null and lang is not null").withColumnsRenamed({c: f"{c}_l" for c in names}).drop("n", "size")
-    whole = levels.filter("lang is null").select(*[F.col(c).alias(f"{c}_a") for c in names])
-    joined = rows.join(bands, ["lang", "size"], "left").join(langs, "lang", "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
+    # One pass: quartiles of (lang, size), of lang, and of everything. Null languages count as one, told apart by `group`.
+    rows = rows.withColumn("group", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
+    levels = rows.filter(~F.col("base_failed")).rollup("group", "size").agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in names])
+    named = lambda to: {c: f"{c}_{to}" for c in ("n", *names)}
+    bands = levels.filter("size is not null").withColumnsRenamed(named("b"))
+    langs = levels.filter("size is null and group is not null").withColumnsRenamed(named("l")).drop("size")
+    whole = levels.filter("group is null").withColumnsRenamed(named("a")).drop("group", "size")
+    joined = rows.join(bands, ["group", "size"], "left").join(langs, "group", "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
     # A short text varies more.
     slack = how.slack + how.short_slack / F.sqrt(F.greatest("n_words", F.lit(1)))
+    is_latin = F.col("bytes") < how.latin_bytes * F.col("chars")
     inside = F.lit(True)
     for c in names:
-        q = F.coalesce(f"{c}_b", f"{c}_l", f"{c}_a")
-        low = q[1] - F.greatest(how.widths * (q[1] - q[0]), slack * q[1])
-        high = q[1] + F.greatest(how.widths * (q[2] - q[1]), slack * q[1], slack)
-        inside &= q.isNull() | F.col(c).between(low, high)
+        measure_number = MEASURES.index(c.rpartition("_")[0])
+        low, high = (F.when(is_latin, how.latin[measure_number][i]).otherwise(how.other[measure_number][i]) for i in (0, 1))
+        for level in "alb":
+            q, n = F.col(f"{c}_{level}"), F.coalesce(f"n_{level}", F.lit(0))
+            share = n / (n + how.prior_rows)
+            own_low = q[1] - F.greatest(how.widths * (q[1] - q[0]), slack * q[1])
+            own_high = q[1] + F.greatest(how.widths * (q[2] - q[1]), slack * q[1], slack)
+            low, high = F.coalesce(share * own_low + (1 - share) * low, low), F.coalesce(share * own_high + (1 - share) * high, high)
+        inside &= F.col(c).between(low, high)
     return joined.withColumn("kept", ~F.col("base_failed") & inside).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *names, "base_failed", "kept")

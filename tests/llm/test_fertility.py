@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 
 from lumenloom.llm.common import WordHash, hashes, words_of
 from lumenloom.llm.fertility import duplicate_lines, judge, repeated_words, token_measures
@@ -55,3 +57,49 @@ def test_junk_of_a_tenth_does_not_widen_its_own_band(spark):
     got = {x.doc_id: x.kept for x in judge(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
     assert sum(got[i] for i in range(270)) >= 267
     assert not any(kept for i, kept in got.items() if i >= 1000)
+
+
+def prose_and_junk(r, n, junk):
+    words = ["".join(r.choice(["the", "er", "on", "an", "re", "in", "ti"]) for _ in range(r.randrange(1, 4))) for _ in range(3000)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(100)), "en") for i in range(n)]
+    return rows + [(10_000 + i, "*** ".join(r.choice(words) for _ in range(100)), "en") for i in range(junk)]
+
+
+def test_junk_goes_at_every_table_size(spark):
+    r = random.Random(7)
+    for n in (5, 20, 48, 52, 200):
+        got = {x.doc_id: x.kept for x in judge(spark.createDataFrame(prose_and_junk(r, n, 1), "doc_id long, text string, lang string")).collect()}
+        assert not got.pop(10_000) and sum(got.values()) >= n - 1, n
+    noise = [(1, " ".join("".join(chr(r.randrange(33, 126)) for _ in range(8)) for _ in range(60)), None)]
+    assert not judge(spark.createDataFrame(noise, "doc_id long, text string, lang string")).first().kept
+
+
+def test_null_language_is_apart_from_any_string(spark):
+    r = random.Random(8)
+    rows = [(i, t, None) for i, t, _ in prose_and_junk(r, 60, 0)] + [(1000 + i, " ".join(chr(r.randrange(0x4E00, 0x4F00)) * 2 for _ in range(60)), "?") for i in range(60)]
+    got = {x.doc_id: x for x in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(x.kept for x in got.values()) >= 118 and got[0].lang is None and got[1000].lang == "?"
+
+
+BASE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM docs),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM d WHERE len(ws) >= 5),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 4]) AS n FROM p),
+m AS (SELECT doc_id, count(DISTINCT i + k) AS repeats FROM g, (VALUES (0), (1), (2), (3), (4)) o(k) WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(repeats, 0) AS n_repeat_words,
+  len(ws) < 10 OR 100 * coalesce(repeats, 0) > 20 * len(ws) AS base_failed
+FROM d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id ORDER BY d.doc_id
+"""
+
+
+def test_base_columns_against_sql(spark):
+    r = random.Random(9)
+    texts = ["\n".join(" ".join(r.choice(["a", "b", "öé", "c#", "||", "d\u00a0e"]) for _ in range(r.randrange(0, 9))) for _ in range(r.randrange(0, 7))) for _ in range(150)]
+    docs = pd.DataFrame([(i, t) for i, t in enumerate([None, "", " \n\t", *texts])], columns=["doc_id", "text"])
+    want = duckdb.sql(BASE).fetchall()
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    got = judge(spark.createDataFrame(docs.to_dict("records"), "doc_id long, text string")).select(*names).orderBy("doc_id").collect()
+    assert [tuple(x) for x in got] == want
