@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,7 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch, so that a batch of long texts stays small in a Python worker.
 BATCH_ROWS = 512
 
-#: Shuffle partitions at most; beyond, partitions grow and are worked off in a stream.
+#: Shuffle partitions at most, unless the session's spark.lumenloom.mostPartitions says otherwise; beyond, partitions grow
+#: and are worked off in a stream.
 MOST_PARTS = 10_000
 
 
@@ -35,12 +37,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary
-    one if the session names none (local mode, tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary
+    one if the session names none. On a cluster that would be lost between machines: an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenloom-"))
             held = spark.sparkContext.getCheckpointDir()
         found = held
@@ -131,6 +135,7 @@ def range_part(key: Column, bounds: list[int], cells: int = 4096) -> Column:
     return F.when(key.isNull() | (key <= low), 0).when(key > high, len(bounds)).otherwise(start + F.size(F.filter(near, lambda b: b < key)))
 
 
-def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
-    """Partitions of about per_part rows, at most MOST_PARTS."""
-    return min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part), 1), MOST_PARTS)
+def parts_for(spark: SparkSession, rows: int, per_part: int, least: int | None = None) -> int:
+    """Partitions of about per_part rows; the session's number of shuffle partitions at least unless told otherwise."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions")) if least is None else least
+    return min(max(least, -(-rows // per_part), 1), int(spark.conf.get("spark.lumenloom.mostPartitions", str(MOST_PARTS))))

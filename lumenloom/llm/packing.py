@@ -8,12 +8,15 @@ tier first, until no shorter piece is left; what little remains over is packed g
 windows of the longest tier. Windows of a shorter tier that are exactly full need no padding, as a
 power of two; others are filled up to the longest window.
 
-Documents are dealt by a hash of doc_id and text to `groups` packing groups of about `group_docs` documents,
-which are packed apart from each other, so nothing is ordered in one task however large a source
-is. A group leaves one window at most unfilled. Within a group documents are in order of
-doc_id and text, so a task that is run again gives the same pieces. Sequences are dealt to training
+Rows are dealt to tasks in turn, about `task_docs` to each, so that equal rows and hot keys spread and the result doesn't
+hang on the session's number of shuffle partitions. A task packs groups of `group_docs` documents or `group_tokens` tokens
+apart from each other: nothing is ordered in one task however large a source is, a task holds one group at a time, and a group leaves one
+window at most unfilled. Within a task documents are in order of doc_id and a hash of the text, so a
+task that is run again gives the same pieces. Sequences are dealt to training
 steps in balance: the longest first, each to the step group with the fewest tokens so far.
 
+Ids are those of the tokenizer file as it is, added tokens such as <|endoftext|> in a text included.
+
 Defined results: null text is an empty text, a document of the end id alone. Rows with equal doc_id are
 packed as documents of their own. A null doc_id is packed like others. Extra columns are not
 returned. An empty table gives an empty result. Texts of any length are cut into as many windows as they need.
@@ -28,11 +31,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for, small_batches
-from .tokens import public_path, public_pattern, vocabulary
+from .tokens import added_tokens, public_path, public_pattern, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group int"
 
@@ -41,10 +45,13 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Packing:
     tiers: tuple[int, ...] = (256, 512, 1024, 2048)
     end_id: int = 1
-    group_docs: int = 1500
+    task_docs: int = 750
+    group_docs: int = 3000
+    group_tokens: int = 1 << 23
     steps: int = 8
     ranks_path: str | None = None  # the public byte_bpe_50k ranks by default
     pattern: str | None = None
+    added: tuple[tuple[str, int], ...] | None = None  # that file's added tokens by default
 
     @property
     def window(self) -> int:
@@ -123,11 +130,11 @@ def pack(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     ranks_path, pattern = how.ranks_path or public_path("byte_bpe_50k.tiktoken"), how.pattern or public_pattern()
-    n = docs.count()
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // how.group_docs))
+    added = added_tokens(public_path("byte_bpe_50k.json")) if how.added is None else how.added
     end = how.end_id.to_bytes(4, "little")
 
-    def flush(group: int, rows: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
+    def flush(first: int, rows: list[tuple[int | None, bytes]]) -> tuple[int, pa.RecordBatch]:
+        """The pieces of a group, numbered from `first` on, and the next free number."""
         sequences = pack_lengths([len(ids) // 4 for _, ids in rows], how.tiers)
         steps = balance([sum(p[2] for p in pieces) for _, pieces in sequences], how.steps)
         out = []
@@ -135,25 +142,25 @@ def pack(docs: DataFrame, how: Packing = Packing()) -> DataFrame:
             offset = 0
             for doc, at, n in pieces:
                 doc_id, ids = rows[doc]
-                out.append((doc_id, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), len(ids) // 4, group << 32 | number, offset, tier, steps[number]))
+                out.append((doc_id, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), len(ids) // 4, first + number, offset, tier, steps[number]))
                 offset += n
         kinds = [pa.int64()] * 7 + [pa.int32()] * 2
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+        return first + len(sequences), pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, group, rows = vocabulary(ranks_path, pattern), None, []
+        vocab, number, rows, tokens = vocabulary(ranks_path, pattern, added), TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for g, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if g != group:
-                    if rows:
-                        yield flush(group, rows)
-                    group, rows = g, []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows.append((doc_id, vocab.of(text) + end))
+                tokens += len(rows[-1][1]) // 4
+                if len(rows) >= how.group_docs or tokens >= how.group_tokens:
+                    number, found = flush(number, rows)
+                    rows, tokens = [], 0
+                    yield found
         if rows:
-            yield flush(group, rows)
+            yield flush(number, rows)[1]
 
-    group = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(groups)).cast("int")
-    dealt = docs.select(group.alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = dealt.repartition(parts_for(spark, n, how.group_docs), "g").sortWithinPartitions("g", "doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = dealt.repartition(parts_for(spark, docs.count(), how.task_docs, 1)).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return dealt.mapInArrow(run, SCHEMA)

@@ -5,12 +5,14 @@ a single newline there is a piece of its own, and merges never cross pieces. So
 places has the ids of its cuts in a row, and the ids of a cut are remembered: most cuts are common
 words. Texts with runs of white space or rarer white space are encoded as a whole.
 
-Strings of special tokens in a text are ordinary text.
+Added tokens (strings with an id of their own, as the vocabulary's file lists them) are cut out of a text first, the longest
+where several begin; without any their strings are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
 from functools import lru_cache
@@ -24,7 +26,7 @@ _ODD = re.compile("[\0\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u
 class Ids(dict):
     """cut of a text -> its ids; stops learning when full."""
 
-    def __init__(self, ranks_path: str, pattern: str, limit: int = 400_000):
+    def __init__(self, ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = (), limit: int = 400_000):
         import tiktoken
 
         super().__init__()
@@ -33,9 +35,18 @@ class Ids(dict):
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_to_numpy
         self.limit, self.newline = limit, self.ranks[b"\n"]
         self |= {"": b"", "\n": struct.pack("<I", self.newline)}
+        self.added = {token: struct.pack("<I", i) for token, i in added}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
     def of(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit numbers."""
+        if not text:
+            return b""
+        if any(token in text for token in self.added):
+            return b"".join(self.added.get(x) or self._ordinary(x) for x in self.cut(text))
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text):
@@ -59,9 +70,18 @@ class Ids(dict):
 
 
 @lru_cache(maxsize=4)
-def vocabulary(ranks_path: str, pattern: str) -> Ids:
+def vocabulary(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> Ids:
     """One memo for each worker and vocabulary."""
-    return Ids(ranks_path, pattern)
+    return Ids(ranks_path, pattern, added)
+
+
+def added_tokens(json_path: str) -> tuple[tuple[str, int], ...]:
+    """The added tokens of a tokenizer file. Those that take in space beside them or need word borders aren't supported."""
+    with open(json_path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens", [])
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError("added tokens with lstrip, rstrip or single_word")
+    return tuple((t["content"], t["id"]) for t in found)
 
 
 def public_path(name: str) -> str:
