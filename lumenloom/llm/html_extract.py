@@ -1,18 +1,23 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A token is a tag or a run of text, told apart by its path of open elements. Tokens of one host's pages whose occurrence
-vectors (how often in which page) are equal form a class. A class is valid with at least `least_tokens` tokens that
-occur in at least `least_pages` pages and `share` of the host's; in a page it is used if its tokens come in
-order, as often as one another, and within one gap of each other class (or the other way round). The valid classes, nested, are the host's
-template; what lies between their tokens are slots. The main text is the text of the slots in the page's content
-region: its articles, or else its main element, or else the element whose slots hold most text.
+A token is a tag or a run of text, told apart by its path of open elements; its first, second, ... occurrence in a page
+are roles of their own. Roles of one host's pages that come in the same pages (equal occurrence vectors) form a class. A class is valid with at
+least `least_tokens` roles in at least `least_pages` pages and `share` of the host's; in a page it is used if its roles come in
+the class's order and within one gap of each other class used (or the other way round). The valid classes, nested, are the host's
+template; what lies between their tokens are slots.
+
+Where the main text is, is a fact of the host: how much slot text the template's elements hold over all its pages. From the
+root on, the one child that holds `most` of the text is entered as long as it is a container that comes equally often in every page;
+headings passed on the way belong to the text. The element reached is the region, in pages with little text too. Names refine it:
+a region within an article grows to the article, a region around articles shrinks to them.
 Elements that are menus, headers, footers, sidebars, notices, adverts, forms or reader comments by name, role or class
-are never content, nor are scripts, styles and hidden elements. Text that is itself a template token is dropped.
+are never content, nor are scripts, styles and hidden elements. Text that is itself a template token is dropped. A page whose host
+has no template, or which doesn't fit it, is on its own: its articles, or else its main element, or else the element with most text.
 
 Copies of a page (equal html on one host) are one page for the vectors and counts, so that repeated rows change no template and
-a host of copies of one page has none. Vectors are not gathered anywhere: each token keeps the exclusive or of a
-hash of (page, count), so a host with a third of all pages needs no more room than any other. Hosts' templates go to all workers if there are few of them (checked),
-and are joined to salted pages otherwise.
+a host of copies of one page has none. Vectors are not gathered anywhere: each role keeps the exclusive or of its pages' hashes,
+so a host with a third of all pages needs no more room than any other. Templates meet their pages by host and
+salt, so that no host is one task's.
 
 Defined results: null html gives an empty text, a null url or one without host is a host of its own without a
 template. Repeated rows are extracted alike. Block text has single spaces, blocks are joined by \\n, nothing is cut.
@@ -24,13 +29,13 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
@@ -62,21 +67,26 @@ class Extraction:
     share: float = 0.5
     text_share: float = 0.9  # of the pages that a text must be in to count as template
     text_pages: int = 8
-    hosts_in_memory: int = 5000
-    tokens_in_memory: int = 500_000
-    salts: int = 64
+    most: float = 0.5
+    salts: int = 32
 
 
-def host_of(url: str | None) -> str:
-    _, found, rest = (url or "").partition("://")
-    return re.split("[/?#]", rest, maxsplit=1)[0].lower() if found else ""
+#: Elements that the way to the region may lead through.
+CONTAINERS = frozenset("html body div section article main center table tbody tr td".split())
+HEADINGS = frozenset(("h1", "h2", "h3"))
+
+def host_column() -> Column:
+    """The host of `url`, A-Z lower-cased; empty where there is none."""
+    host = F.regexp_extract("url", _HOST, 1)
+    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
 class Node:
-    __slots__ = ("aside", "article", "main", "name", "number", "path")
+    __slots__ = ("article", "aside", "main", "mass", "name", "number", "parent", "path", "role")
 
-    def __init__(self, name: str, path: int, number: int, aside: bool, article: int, main: int):
-        self.name, self.path, self.number, self.aside, self.article, self.main = name, path, number, aside, article, main
+    def __init__(self, name: str, path: int, number: int, aside: bool, article: int, main: int, parent: Node | None = None):
+        self.name, self.path, self.number, self.aside, self.article, self.main, self.parent = name, path, number, aside, article, main, parent
+        self.mass, self.role = 0, 0
 
 
 def _aside(name: str, attributes: str, within: bool) -> tuple[bool, str]:
@@ -147,7 +157,7 @@ def tokens(source: str) -> Iterator[tuple[int, str, str, Node, Node]]:
         aside, shown = (True, "") if top.aside else _aside(name, attributes, top.article >= 0)
         count += 1
         node = Node(
-            name, hash_(f"{name}.{shown}", seed=top.path), count, aside, count if name == "article" and top.article < 0 and not aside else top.article, count if (name == "main" or "main" in attributes and re.search(r"role\s*=\s*[\"']?main\b", attributes)) and top.main < 0 and not aside else top.main
+            name, hash_(f"{name}.{shown}", seed=top.path), count, aside, count if name == "article" and top.article < 0 and not aside else top.article, count if (name == "main" or "main" in attributes and re.search(r"role\s*=\s*[\"']?main\b", attributes)) and top.main < 0 and not aside else top.main, top
         )
         yield node.path, "<", name, node, blocks[-1]
         if name in RAW:
@@ -161,12 +171,46 @@ def tokens(source: str) -> Iterator[tuple[int, str, str, Node, Node]]:
 
 def key_of(path: int, kind: str, value: str) -> int:
     """A token's number: its value at its path."""
-    x = xxhash.xxh3_64_intdigest(" ".join(value.split()) if kind == "t" else value, seed=path ^ (1 if kind == "t" else 2 if kind == "<" else 3))
+    return xxhash.xxh3_64_intdigest(" ".join(value.split()) if kind == "t" else value, seed=path ^ (1 if kind == "t" else 2 if kind == "<" else 3))
+
+
+def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def roles_of(items: list[tuple]) -> tuple[list[int], Counter]:
+    """The role of each token of a page (0 for white space), and how often each token comes. Nodes get the roles of their tags, and the length of
+    the content text within them."""
+    counts: Counter = Counter()
+    out = []
+    for path, kind, value, node, _ in items:
+        if kind == "t":
+            text = value.strip()
+            if not text:
+                out.append(0)
+                continue
+            if not node.aside:
+                above = node
+                while above is not None:
+                    above.mass += len(text)
+                    above = above.parent
+        token = key_of(path, kind, value)
+        counts[token] += 1
+        n = counts[token]
+        role = signed(token if n == 1 else xxhash.xxh3_64_intdigest(n.to_bytes(4, "little"), seed=token))
+        if kind == "<":
+            node.role = role
+        out.append(role)
+    return out, counts
+
+
+ROLE = "host string, role long, kind string, sort string, vector long, pages long, place double, mass long, parent long, other_parent long, least long, most long"
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, kind, vector, pages, place: one row for each token of a host and task; token 0 counts pages."""
+    """A row of ROLE for each role of a host and task; role 0 counts pages. sort: c for containers, h for headings; parent: the
+    role of the element around an element, least and most, as other_parent says; least, most: how often the token comes in a page."""
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
@@ -174,80 +218,114 @@ def occurrences(pages: DataFrame) -> DataFrame:
         def emit() -> pa.RecordBatch:
             rows = [(*k, *v) for k, v in held.items()]
             held.clear()
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=["host", "token", "kind", "vector", "pages", "place"])
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 12, kinds)], names=[x.split()[0] for x in ROLE.split(", ")])
 
         for batch in batches:
-            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                host = host_of(url)
-                if not host or not html:
-                    continue
-                seen: dict[tuple, list] = {}
-                for place, (path, kind, value, _, _) in enumerate(tokens(html)):
-                    if kind == "t" and value.isspace():
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                items = list(tokens(html))
+                roles, counts = roles_of(items)
+                seed = signed(xxhash.xxh3_64_intdigest(html.encode("utf-8", "surrogatepass")))
+                seen = [((host, 0, "", ""), 0.0, 0, 0, 1)]
+                for place, ((path, kind, value, node, _), role) in enumerate(zip(items, roles)):
+                    if not role:
                         continue
-                    k = (key_of(path, kind, value), kind)
-                    if k in seen:
-                        seen[k][0] += 1
+                    if kind == "<":
+                        sort = "" if node.aside else "c" if node.name in CONTAINERS else "h" if node.name in HEADINGS else ""
+                        seen.append(((host, role, kind, sort), float(place), node.mass, node.parent.role, counts[key_of(path, kind, value)]))
                     else:
-                        seen[k] = [1, place]
-                seed = xxhash.xxh3_64_intdigest(html)
-                by_count = {}
-                seen[(0, "")] = [1, 0]
-                for (token, kind), (n, place) in seen.items():
-                    if n not in by_count:
-                        by_count[n] = xxhash.xxh3_64_intdigest(n.to_bytes(4, "little"), seed=seed) - 2**63
-                    row = held.get((host, token, kind))
+                        seen.append(((host, role, kind, ""), float(place), 0, 0, 1))
+                for key, place, mass, parent, n in seen:
+                    row = held.get(key)
                     if row is None:
-                        held[(host, token, kind)] = [by_count[n], 1, float(place)]
+                        held[key] = [seed, 1, place, mass, parent, parent, n, n]
                     else:
-                        row[0] ^= by_count[n]
+                        row[0] ^= seed
                         row[1] += 1
                         row[2] += place
+                        row[3] += mass
+                        row[4], row[5] = min(row[4], parent), max(row[5], parent)
+                        row[6], row[7] = min(row[6], n), max(row[7], n)
             if len(held) > 200_000:
                 yield emit()
         yield emit()
 
     # One page of each host and html: partial aggregates leave one a task, however often it comes.
-    host = F.lower(F.regexp_extract("url", _HOST, 1))
-    distinct = pages.filter("url is not null and html <> ''").groupBy(host.alias("h"), F.md5(F.encode("html", "utf-8")).alias("digest")).agg(F.min("page_id").alias("page_id"), F.min("url").alias("url"), F.first("html").alias("html"))
-    return distinct.select("page_id", "url", "html").mapInArrow(run, "host string, token long, kind string, vector long, pages long, place double")
+    rows = pages.select(host_column().alias("host"), F.col("html").cast("string").alias("html")).filter("host <> '' and html <> ''")
+    distinct = rows.groupBy("host", F.md5(F.encode("html", "utf-8")).alias("digest")).agg(F.first("html").alias("html"))
+    return distinct.select("host", "html").mapInArrow(run, ROLE)
+
+
+@dataclass
+class Template:
+    """classes: roles in order; texts: those of text; region and heads: the elements that hold the main text, 0 if unknown."""
+
+    classes: list[list[int]]
+    texts: frozenset[int]
+    region: int
+    heads: frozenset[int]
+
+
+def region_of(elements: dict[int, tuple], how: Extraction) -> tuple[int, list[int]]:
+    """elements: role -> (place, mass, parent, steady, sort). The region, and the headings passed on the way to it."""
+    children: dict[int, list[int]] = defaultdict(list)
+    for role, (_, _, parent, _, _) in elements.items():
+        children[parent if parent in elements else 0].append(role)
+    at, heads = 0, []
+    total = sum(elements[r][1] for r in children[0])
+    while True:
+        ways = [r for r in children[at] if elements[r][3] and elements[r][4] == "c"]
+        best = max(ways, key=lambda r: (elements[r][1], -elements[r][0], r), default=0)
+        if not best or elements[best][1] <= how.most * total:
+            return at, heads
+        heads += [r for r in children[at] if elements[r][4] == "h" and elements[r][0] < elements[best][0]]
+        at, total = best, elements[best][1]
+
+
+TEMPLATE = "host string, classes array<array<long>>, texts array<long>, region long, heads array<long>"
 
 
 def templates(pages: DataFrame, how: Extraction = Extraction()) -> DataFrame:
-    """host, classes: the tokens in order of each class by occurrence vector; those in most pages and with most tokens come first and
-    keep their places where another is not nested with them."""
-    found = occurrences(pages).groupBy("host", "token", "kind").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("place").alias("place"))
-    found = found.filter(F.col("pages") >= how.least_pages)
-    found = materialize(found.withColumn("place", F.col("place") / F.col("pages")), "tokens")
-    whole = found.filter("token = 0 and kind = ''").select("host", F.col("pages").alias("all_pages"))
+    """host, classes (roles in order), texts, region, heads: one row for each host with a template. Classes in most pages and with most
+    roles come first and keep their places where another is not nested with them."""
+    sums = [F.sum(c).alias(c) for c in ("pages", "place", "mass")]
+    found = occurrences(pages).groupBy("host", "role", "kind").agg(F.max("sort").alias("sort"), F.bit_xor("vector").alias("vector"), *sums, F.min("parent").alias("parent"), F.max("other_parent").alias("other_parent"), F.min("least").alias("least"), F.max("most").alias("most"))
+    found = materialize(found.filter(F.col("pages") >= how.least_pages), "roles")
+    whole = materialize(found.filter("role = 0 and kind = ''").select("host", F.col("pages").alias("all_pages")), "hosts")
     often = found.filter("kind <> ''").join(whole, "host").filter(F.col("pages") >= how.share * F.col("all_pages"))
     often = often.filter((F.col("kind") != "t") | (F.col("pages") >= how.text_share * F.col("all_pages")) & (F.col("pages") >= how.text_pages))
-    # A token's class: pages and vector. The tokens of a class are few: each is in half of the host's pages.
-    classes = often.groupBy("host", "vector", "pages").agg(F.sort_array(F.collect_list(F.struct("place", "token", "kind"))).alias("t")).filter(F.size("t") >= how.least_tokens)
-    return classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("less"), (-F.size("t")).alias("short"), F.col("t.token").alias("tokens"), F.col("t.kind").alias("kinds")))).alias("classes")).select("host", F.expr("transform(classes, c -> c.tokens)").alias("classes"))
-
-
-def template_places(sequence: list[int], classes: list[list[int]]) -> set[int]:
-    """Places of the sequence taken by classes that are valid in this page: in order, and nested."""
-    at: dict[int, list[int]] = defaultdict(list)
-    wanted = {t for c in classes for t in c}
-    for place, token in enumerate(sequence):
-        if token in wanted:
-            at[token].append(place)
+    role = F.struct((F.col("place") / F.col("pages")).alias("place"), "role", "kind", "sort", "mass", F.when(F.col("parent") == F.col("other_parent"), F.col("parent")).alias("parent"), (F.col("least") == F.col("most")).alias("steady"))
+    # The roles of a class are few: each is in half of the host's pages.
+    classes = often.groupBy("host", "vector", "pages").agg(F.sort_array(F.collect_list(role)).alias("t")).filter(F.size("t") >= how.least_tokens)
+    hosts = classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("less"), (-F.size("t")).alias("short"), "t"))).alias("classes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held = [r for c in classes for r in c["t"]]
+                region, heads = region_of({r["role"]: (r["place"], r["mass"], r["parent"], r["steady"], r["sort"]) for r in held if r["kind"] == "<"}, how)
+                rows.append((host, [[r["role"] for r in c["t"]] for c in classes], [r["role"] for r in held if r["kind"] == "t"], region, heads))
+            kinds = [pa.string(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=[x.split()[0] for x in TEMPLATE.split(", ")])
+
+    return hosts.select("host", F.expr("transform(classes, c -> struct(c.t as t))").alias("classes")).mapInArrow(run, TEMPLATE)
+
+
+def template_places(sequence: list[int], classes: list[list[int]]) -> dict[int, int]:
+    """Places (by role) of the classes that are valid in this page: in order, and nested."""
+    wanted = {r for c in classes for r in c}
+    at = {role: place for place, role in enumerate(sequence) if role in wanted}
     taken: list[list[int]] = []
+    out: dict[int, int] = {}
     for c in classes:
-        places = [at.get(t) for t in c]
-        if not all(places) or len({len(p) for p in places}) > 1:
-            continue
-        # By occurrence: each round through the class comes after the one before.
-        order = sorted(range(len(c)), key=lambda i: places[i][0])
-        flat = [places[i][n] for n in range(len(places[0])) for i in order]
-        if any(a >= b for a, b in zip(flat, flat[1:])):
+        places = [at.get(r) for r in c]
+        if None in places or any(a >= b for a, b in zip(places, places[1:])):
             continue
-        if all(_nested(flat, other) for other in taken):
-            taken.append(flat)
-    return {p for flat in taken for p in flat}
+        if all(_nested(places, other) for other in taken):
+            taken.append(places)
+            out.update(zip(c, places))
+    return out
 
 
 def _nested(a: list[int], b: list[int]) -> bool:
@@ -255,14 +333,26 @@ def _nested(a: list[int], b: list[int]) -> bool:
     return bisect(a, b[0]) == bisect(a, b[-1]) or bisect(b, a[0]) == bisect(b, a[-1])
 
 
-def main_text(html: str | None, classes: list[list[int]] | None) -> str:
+def main_text(html: str | None, template: Template | None) -> str:
     """The text of the slots in the content region."""
     if not html:
         return ""
     items = list(tokens(html))
-    sequence = [key_of(path, kind, value) for path, kind, value, _, _ in items] if classes else []
-    template = template_places(sequence, classes) if classes else set()
-    # Slots' texts by block: (block number, parent path of the block, article, main, text).
+    places: dict[int, int] = {}
+    if template is not None:
+        places = template_places(roles_of(items)[0], template.classes)
+    fixed = {place for role, place in places.items() if role in template.texts} if template is not None else set()
+    region = items[places[template.region]][3] if template is not None and template.region in places else None
+    heads = {items[places[r]][3].number for r in template.heads if r in places} if region is not None else set()
+
+    def within(node: Node) -> bool:
+        while node is not None:
+            if node is region or node.number in heads:
+                return True
+            node = node.parent
+        return False
+
+    # Slots' texts by block: (nearest block, article, main, in the region, text).
     blocks: list[list] = []
     last = None
     for place, (_, kind, value, node, block) in enumerate(items):
@@ -270,28 +360,35 @@ def main_text(html: str | None, classes: list[list[int]] | None) -> str:
             if kind == "<" and node.name in BLOCK or kind == ">" and value in BLOCK:
                 last = None
             elif kind == "<" and node.name == "br" and last is not None and blocks:
-                blocks[-1][3].append(" ")
+                blocks[-1][4].append(" ")
             continue
-        if node.aside or place in template:
+        if node.aside or place in fixed:
             continue
         if last is not block:
-            blocks.append([block.number, node.article, node.main, [], block])
+            blocks.append([block, node.article, node.main, region is not None and within(node), []])
             last = block
-        blocks[-1][3].append(value)
-    texts = [(article, main, block, " ".join(entities.unescape("".join(parts)).split())) for _, article, main, parts, block in blocks]
-    texts = [t for t in texts if t[3]]
-    chosen = [t for t in texts if t[0] >= 0] or [t for t in texts if t[1] >= 0]
+        blocks[-1][4].append(value)
+    texts = [(block, article, main, inside, " ".join(entities.unescape("".join(parts)).split())) for block, article, main, inside, parts in blocks]
+    texts = [t for t in texts if t[4]]
+    if region is not None:
+        chosen = [t for t in texts if t[3]]
+        if region.article >= 0:  # the region lies in an article: all of that
+            chosen = [t for t in texts if t[3] or t[1] == region.article]
+        elif any(t[1] >= 0 for t in chosen):
+            chosen = [t for t in chosen if t[1] >= 0]
+        return "\n".join(t[4] for t in chosen)
+    chosen = [t for t in texts if t[1] >= 0] or [t for t in texts if t[2] >= 0]
     if not chosen:
         # No article or main element: the container of the slots with most text, by the path above the block.
         sizes: dict[int, int] = defaultdict(int)
-        for _, _, block, text in texts:
+        for block, *_, text in texts:
             sizes[block.path] += len(text)
         if sizes:
             best = max(sizes.items(), key=lambda s: s[1])[0]
-            places = [i for i, t in enumerate(texts) if t[2].path == best]
-            heads = [i for i in range(places[0]) if texts[i][2].name in ("h1", "h2", "h3")]
-            chosen = [t for i, t in enumerate(texts) if places[0] <= i <= places[-1] or i in heads]
-    return "\n".join(t[3] for t in chosen)
+            places_ = [i for i, t in enumerate(texts) if t[0].path == best]
+            heads_ = [i for i in range(places_[0]) if texts[i][0].name in HEADINGS]
+            chosen = [t for i, t in enumerate(texts) if places_[0] <= i <= places_[-1] or i in heads_]
+    return "\n".join(t[4] for t in chosen)
 
 
 def extract(pages: DataFrame, how: Extraction = Extraction()) -> DataFrame:
@@ -300,29 +397,25 @@ def extract(pages: DataFrame, how: Extraction = Extraction()) -> DataFrame:
     small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     found = materialize(templates(rows, how), "templates")
-    size = found.agg(F.count("*").alias("hosts"), F.sum(F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c))).alias("tokens")).first()
-    schema = "page_id long, url string, text string"
 
-    def emit(batch: pa.RecordBatch, of) -> pa.RecordBatch:
-        texts = [main_text(html, of(i, url)) for i, (url, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    if size["hosts"] <= how.hosts_in_memory and (size["tokens"] or 0) <= how.tokens_in_memory:
-        shared = spark.sparkContext.broadcast({r["host"]: r["classes"] for r in found.collect()})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield emit(batch, lambda _, url: shared.value.get(host_of(url)))
-
-        return rows.mapInArrow(run, schema)
-
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Template] = {}
         for batch in batches:
-            classes = batch.column(3)
-            yield emit(batch, lambda i, _: classes[i].as_py())  # noqa: B023
-
-    # Too many hosts for memory: pages meet their host's template by host and salt, so that no host is one task's.
-    host = F.lower(F.regexp_extract("url", _HOST, 1))
-    salted = rows.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(how.salts)).cast("int"))
+            texts = []
+            hosts = batch.column(3).to_pylist()
+            for i, (host, html) in enumerate(zip(hosts, batch.column(2).to_pylist())):
+                template = None
+                if batch.column(4)[i].is_valid:
+                    if host not in held:
+                        if len(held) > 1000:
+                            held.clear()
+                        classes, words, region, heads = (batch.column(c)[i].as_py() for c in (4, 5, 6, 7))
+                        held[host] = Template(classes, frozenset(words), region, frozenset(heads))
+                    template = held[host]
+                texts.append(main_text(html, template))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    salted = rows.withColumn("host", host_column()).withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(how.salts)).cast("int"))
     copies = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(how.salts - 1))))
-    return salted.join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "classes").mapInArrow(run_joined, schema)
+    joined = salted.join(copies, ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "host", "classes", "texts", "region", "heads").mapInArrow(run, "page_id long, url string, text string")

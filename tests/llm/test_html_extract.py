@@ -1,4 +1,6 @@
-from lumenloom.llm.html_extract import Extraction, extract, host_of, main_text, template_places
+from collections import defaultdict
+
+from lumenloom.llm.html_extract import Extraction, extract, host_column, main_text, roles_of, template_places, templates, tokens
 
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h2>Site</h2></header><nav><ul><li><a href="/a">A</a></li></ul></nav><!-- ad --><div class="ad">Buy</div>'
@@ -21,9 +23,11 @@ def test_no_article_takes_the_container_with_most_text():
 
 
 def test_classes_that_are_out_of_order_or_not_nested_are_not_used():
-    assert template_places([1, 2, 3, 2, 3, 4], [[1, 4], [2, 3]]) == {0, 1, 2, 3, 4, 5}
-    assert template_places([1, 2, 3, 3, 2, 4], [[1, 4], [2, 3]]) == {0, 5}
-    assert template_places([1, 2, 4, 3], [[1, 4], [2, 3]]) == {0, 2}
+    places = lambda sequence, classes: sorted(template_places(sequence, classes))
+    assert places([1, 2, 3, 7, 8, 4], [[1, 4], [2, 3]]) == [1, 2, 3, 4]
+    assert places([1, 3, 2, 4], [[1, 4], [2, 3]]) == [1, 4]
+    assert places([1, 2, 4, 3], [[1, 4], [2, 3]]) == [1, 4]
+    assert places([1, 2], [[1, 4], [2, 5], [2]]) == [2]
 
 
 def page(i, body):
@@ -35,7 +39,7 @@ def test_template_text_goes_and_slots_stay(spark):
     rows += [(50, "http://one.org/", page(50, "<p>alone</p>")), (51, None, None), (52, "no host", "<article>x &lt; y</article>"), (0, "http://h.org/0", rows[0][2])]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, token int")
     want = {i: "\n".join([f"Story {i}", *(f"word{i} line {j} and more text." for j in range(4))]) for i in range(20)}
-    for how in (Extraction(), Extraction(hosts_in_memory=0)):
+    for how in (Extraction(), Extraction(salts=1)):
         got = {r.page_id: r.text for r in extract(pages, how).collect()}
         assert {i: got[i] for i in want} == want
         assert got[51] == "" and got[52] == "x < y" and "alone" in got[50]
@@ -43,8 +47,9 @@ def test_template_text_goes_and_slots_stay(spark):
     assert extract(pages.limit(0)).collect() == []
 
 
-def test_host():
-    assert host_of("HTTP://A.b/c") == "a.b" and host_of(None) == host_of("x") == ""
+def test_host(spark):
+    urls = ["HTTP://A.b/c", None, "x", "x://H\u0130.org?q", "a://b#c"]
+    assert [r[0] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(host_column()).collect()] == ["a.b", "", "", "h\u0130.org", "b"]
 
 
 def test_copies_of_one_page_are_no_template(spark):
@@ -63,3 +68,50 @@ def test_repeated_rows_change_no_template(spark):
     assert len(twice) == 40 and {tuple(r) for r in twice} == once
     some = extract(spark.createDataFrame(rows + rows[:1] * 60, schema)).collect()
     assert {tuple(r) for r in some} == once
+
+
+def bare(i, story, menu):
+    """A page without telling names; the article is the third element."""
+    items = "".join(f"<div><b>menu {m} of page {i}</b></div>" for m in range(menu))
+    body = "".join(f"<p>{p}</p>" for p in story)
+    return f"<html><body><div>{items}</div><div>Buy this now, offer {i}, it will never come again.</div><div><h1>Head {i}</h1>{body}</div><div>page {i} end</div></body></html>"
+
+
+def test_the_template_decides_where_names_say_nothing(spark):
+    story = {i: [f"Line {j} of story {i} goes on and on for a while." for j in range(1 + i % 5 * 3)] for i in range(30)}
+    rows = [(i, f"http://h.org/{i}", bare(i, story[i] if i else ["Short."], 4 + i % 3)) for i in range(30)]
+    want = {i: "\n".join([f"Head {i}", *(story[i] if i else ["Short."])]) for i in range(30)}
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    # A page on its own is lost where menus or adverts hold more text than the article.
+    assert sum(main_text(html, None) != want[i] for i, _, html in rows) >= 6
+
+
+def plain_classes(rows, how):
+    """Classes from occurrence vectors written out: which distinct pages have each role."""
+    where, pages = defaultdict(lambda: defaultdict(set)), defaultdict(set)
+    for host, html in {(url.split("/")[2], html) for _, url, html in rows}:
+        pages[host].add(html)
+        items = list(tokens(html))
+        for (_, kind, *_), role in zip(items, roles_of(items)[0]):
+            if role:
+                where[host][role, kind].add(html)
+    out = {}
+    for host, found in where.items():
+        classes = defaultdict(set)
+        for (role, kind), held in found.items():
+            least = max(how.least_pages, how.share * len(pages[host]), how.text_share * len(pages[host]) if kind == "t" else 0, how.text_pages if kind == "t" else 0)
+            if len(held) >= least:
+                classes[frozenset(held)].add(role)
+        out[host] = {frozenset(c) for c in classes.values() if len(c) >= how.least_tokens}
+    return {h: c for h, c in out.items() if c}
+
+
+def test_classes_against_vectors_written_out(spark):
+    rows = [(i, f"http://{'ab'[i % 2]}.org/{i}", bare(i, ["same words", f"own {i}"][: 1 + i % 3], 3 + i % 4)) for i in range(24)] + [(99, "http://c.org/", bare(9, ["x"], 2))]
+    how = Extraction()
+    want = plain_classes(rows, how)
+    assert want and all(len(c) > 1 for c in want.values())
+    for table in (rows, rows * 2, rows + rows[:3] * 5):
+        got = {r.host: {frozenset(c) for c in r.classes} for r in templates(spark.createDataFrame(table, "page_id long, url string, html string"), how).collect()}
+        assert got == want
