@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import ipaddress
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import parse_qs, quote, unquote, urlencode, urljoin, urlsplit, urlunsplit
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Hosts of code repositories, hosts whose wikis need scripts, addresses of images that are no content.
 REPOSITORY = r"(?i)^https?://(github\.com|bitbucket\.org)/([^/]+)/([^/]+)(/|$)"
 SCRIPTED_HOSTS = (r"\.atlassian\.net$", r"\.notion\.site$")
@@ -153,6 +156,18 @@ def is_safe(url: str, resolver: Resolver) -> bool:
         return False
 
 
+def safe_rows(rows: DataFrame, resolver: Resolver, url: str = "url") -> DataFrame:
+    """The rows whose URL is safe; hosts are resolved where the rows are."""
+    ship(rows.sparkSession)
+    at = rows.columns.index(url)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(u) and is_safe(u, resolver) for u in batch.column(at).to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def pinned(url: str, resolver: Resolver) -> str | None:
     """The URL with its host replaced by the first of its addresses, if all are public."""
     if not is_safe(url, resolver):

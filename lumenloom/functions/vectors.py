@@ -116,6 +116,17 @@ def fixed_encoding(rows: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return flat / n if n > 0 else flat
 
 
+def fixed_encodings(tokens: DataFrame, planes: np.ndarray) -> DataFrame:
+    """fixed_encoding for groups of any size: tokens (id, token) give (id, bucket, component, value), without components of empty buckets. Means are partial
+    aggregates, so no group of tokens is in one task."""
+    scored = F.array(*[F.struct(dot(F.col("token"), literal(p)).alias("s"), F.lit(-b).alias("b")) for b, p in enumerate(planes)])
+    placed = tokens.select("id", (-F.array_max(scored)["b"]).alias("bucket"), "token")
+    spread = placed.select("id", "bucket", F.posexplode(doubles(F.col("token"))).alias("component", "x"))
+    means = spread.groupBy("id", "bucket", "component").agg(F.avg("x").alias("x"))
+    norms = means.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    return means.join(norms, "id").select("id", "bucket", "component", F.when(F.col("n") > 0, F.col("x") / F.col("n")).otherwise(F.col("x")).alias("value"))
+
+
 def maxsim(query: np.ndarray, doc: np.ndarray, weights: np.ndarray | None = None) -> float:
     """The best match of each query token, summed with weights."""
     best = (query @ doc.T).max(axis=1)

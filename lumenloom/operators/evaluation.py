@@ -36,12 +36,51 @@ def overlap_score(expected: DataFrame, retrieved: DataFrame, least: int = 4, sho
     return each.groupBy("query_id").agg(F.avg(F.col("hit").cast("double")).alias("score"))
 
 
-def nearest_rank(values: DataFrame, column: str, percents: list[int], by: list[str] = ()) -> DataFrame:
-    """Percentiles by nearest rank: the value at min(floor(n * p / 100), n - 1) in order. Ranks come from a window, so no group is held whole."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rows = values.filter(F.col(column).isNotNull()).withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(column)) - 1)
-    at = lambda p: F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1), F.col(column))).alias(f"p{p}")
-    return rows.groupBy(*by).agg(*[at(p) for p in percents])
+def passage_pairs(passages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(passage_id, chunk_id) for each passage (passage_id, passage) that overlaps a chunk (chunk_id, text).
+
+    A passage of five words or more holds whole words between its first and its last: of these the longest three in a row are its anchor.
+    Chunks give their word triples, which meet the anchors by hash, and only pairs that met are compared. Shorter passages are compared with
+    every chunk; they are few by nature."""
+    p = passages.select("passage_id", tx.normalized(F.col("passage")).alias("p")).filter("p <> ''")
+    split = p.withColumn("w", F.split("p", " ", -1))
+    triple = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    inner = F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: triple(F.col("w"), i))
+    anchor = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    long = split.filter(F.size("w") >= 5).select("passage_id", "p", F.xxhash64(anchor).alias("h"))
+    words = chunks.select("chunk_id", F.explode(F.array(F.split(tx.normalized(F.col("text")), " ", -1))).alias("w")).filter(F.size("w") >= 3)
+    met = words.select("chunk_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(triple(F.col("w"), i)))).alias("h"))
+    found = met.join(long.select("passage_id", "h"), "h").select("passage_id", "chunk_id").distinct()
+    texts = chunks.select("chunk_id", "text")
+    checked = found.join(texts, "chunk_id").join(long.select("passage_id", "p"), "passage_id").filter(tx.overlaps(F.col("p"), tx.normalized(F.col("text"))))
+    short = split.filter(F.size("w") < 5).select("passage_id", "p")
+    if short.isEmpty():
+        return checked.select("passage_id", "chunk_id")
+    few = texts.select("chunk_id", tx.normalized(F.col("text")).alias("t")).join(short, tx.overlaps(F.col("p"), F.col("t")))
+    return checked.select("passage_id", "chunk_id").union(few.select("passage_id", "chunk_id"))
+
+
+def nearest_rank(values: DataFrame, column: str, percents: list[int], by: list[str] = (), ranges: int = 64) -> DataFrame:
+    """Percentiles by nearest rank: the value at min(floor(n * p / 100), n - 1) in order. Exact, without ordering a group in one task: sketches cut each
+    group into ranges of values, counts of the ranges say in which of them a rank lies, and only values counted in these are ordered."""
+    groups = [F.col(b).alias(f"_g{i}") for i, b in enumerate(by)] or [F.lit(0).alias("_g0")]
+    g = [f"_g{i}" for i in range(len(groups))]
+    rows = values.filter(F.col(column).isNotNull()).select(*groups, F.col(column).alias("_v"))
+    cuts = rows.groupBy(*g).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 2000).alias("_cuts"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in g]
+    placed = rows.alias("r").join(cuts.alias("c"), same("r", "c")).select(*[f"r.{c}" for c in g], "_v", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))).alias("_range"))
+    # Equal values are one row from here on.
+    counted = placed.groupBy(*g, "_range", "_v").agg(F.count("*").alias("_n"))
+    sizes = counted.groupBy(*g, "_range").agg(F.sum("_n").alias("_in"))
+    before = Window.partitionBy(*g).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # `ranges` rows a group
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))).withColumn("_all", F.sum("_in").over(Window.partitionBy(*g)))
+    ranks = F.array(*[F.struct(F.lit(p).alias("p"), F.least(F.floor(F.col("_all") * p / 100), F.col("_all") - 1).alias("rank")) for p in percents])
+    wanted = sizes.withColumn("_t", F.explode(ranks)).filter("_t.rank >= _before and _t.rank < _before + _in").select(*g, "_range", F.col("_t.p").alias("_p"), (F.col("_t.rank") - F.col("_before")).alias("_at"))
+    hit = counted.alias("r").join(wanted.alias("c"), [*same("r", "c"), F.col("r._range") == F.col("c._range")]).select(*[f"r.{c}" for c in g], "_p", "_at", "_v", "_n")
+    upto = hit.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*g, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = upto.filter("_upto > _at").groupBy(*g, "_p").agg(F.min("_v").alias("_v"))
+    out = chosen.groupBy(*g).agg(*[F.max(F.when(F.col("_p") == p, F.col("_v"))).alias(f"p{p}") for p in percents])
+    return out.select(*[F.col(f"_g{i}").alias(b) for i, b in enumerate(by)], *[f"p{p}" for p in percents])
 
 
 def answer_quality(scores: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ depends on them (terms, vectors, document frequencies of a few terms) is a liter
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,25 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """term_stats from the chunks themselves: tokens are sorted within the row, so the first of its kind counts for df, and one shuffle
+    with partial sums is enough."""
+    tokens = chunks.select(F.explode(F.array(F.sort_array(tx.tokenize(F.col("text"))))).alias("t"))
+    marked = F.transform("t", lambda t, i: F.struct(t.alias("term"), F.when((i == 0) | (F.get("t", i - 1) != t), 1).otherwise(0).alias("first")))
+    return tokens.select(F.inline(marked)).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
+
+
+#: Counts that bm25 keeps for the passes over them; the oldest are let go. A plan that still uses them makes them again.
+_KEPT: deque = deque()
+
+
+def _keep(df: DataFrame, most: int = 4) -> DataFrame:
+    while len(_KEPT) >= most:
+        _KEPT.popleft().unpersist()
+    _KEPT.append(df.persist())
+    return df
+
+
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(tx.tokenize(F.col("text"))).cast("long").alias("dl"))
 
@@ -51,7 +70,7 @@ def bm25(chunks: DataFrame, tokens: Counter, s: Settings = Settings(), limit: in
     same = lambda t: lambda x: x == F.lit(t)
     tf = [F.size(F.filter("tokens", same(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     # A few numbers for each chunk, kept for the passes over them; lost parts are made again.
-    counted = found.select("chunk_id", F.size("tokens").alias("dl"), *tf).persist()
+    counted = _keep(found.select("chunk_id", F.size("tokens").alias("dl"), *tf))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.filter(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
     raw = F.lit(0.0)

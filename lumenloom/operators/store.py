@@ -5,6 +5,7 @@ A Store keeps each table as numbered folders and a pointer file, so readers see
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -148,7 +149,7 @@ class Store:
         return migrate(self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/{name}/{version}"), name)
 
     def write(self, name: str, rows: DataFrame) -> None:
-        """A new version; the pointer moves once it is whole."""
+        """A new version; the pointer moves once it is whole, by a rename that replaces the old one in one step."""
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.folder}/{name}/{version}")
         jvm = self.spark.sparkContext._jvm
@@ -159,12 +160,24 @@ class Store:
         out = fs.create(temporary, True)
         out.write(bytearray(version.encode()))
         out.close()
-        fs.delete(pointer, False)
-        fs.rename(temporary, pointer)
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), hadoop)
+        context.rename(fs.makeQualified(temporary), fs.makeQualified(pointer), options)
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """More rows of a table whose rows never change: files beside those of the present version."""
+        version = self._version(name)
+        if version is None:
+            self.write(name, rows)
+        else:
+            rows.write.mode("append").parquet(f"{self.folder}/{name}/{version}")
 
-    def upsert(self, name: str, rows: DataFrame, now: Column | None = None) -> None:
+    def upsert(self, name: str, rows: DataFrame, now: Column | None = None, old: DataFrame | None = None, then: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+        """One new version: `old` (the present rows by default) with rows merged in, and `then` applied."""
         now = F.current_timestamp() if now is None else now
-        old = self.read(name)
+        old = self.read(name) if old is None else old
         stamp = {"pages": "fetched_at", "chunks": "created_at", "images": "created_at", "entities": "created_at"}.get(name)
         if stamp and stamp not in rows.columns:
             rows = rows.withColumn(stamp, now)
@@ -176,13 +189,13 @@ class Store:
             out = upsert(old, rows, KEYS[name], keep=["corroboration_strength", "last_corroborated_at"], defaults={"corroboration_strength": F.lit(0.0), "last_corroborated_at": now, "content_type": F.lit("text"), "is_child": F.lit(False), "embedding_version": F.when(F.col("b.embedding").isNotNull(), 1).otherwise(0) if "embedding" in rows.columns else F.lit(0)})
         else:
             out = upsert(old, rows, KEYS[name], keep=["created_at"] if name == "entities" else [])
-        self.write(name, out)
+        self.write(name, then(out))
 
     def log_search(self, query: str, count: int, now: Column | None = None) -> None:
         old = self.read("searches")
         top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
         row = top.select((F.col("top") + 1).alias("id"), F.lit(query).alias("query"), F.lit(count).alias("result_count"), (F.current_timestamp() if now is None else now).alias("created_at"))
-        self.write("searches", old.unionByName(row))
+        self.append("searches", row.select(*old.columns))
 
     def status(self) -> DataFrame:
         """One row of counts and the last activity."""

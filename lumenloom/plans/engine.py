@@ -116,31 +116,36 @@ class QueryEngine:
 
 
 def ingest_pages(store: Store, pages: DataFrame, embedder: Embedder, settings: Settings = Settings(), tokens: TokenEmbedder | None = None) -> DataFrame:
-    """pages: url, html. Extract, skip what is unchanged, chunk, embed, filter near-duplicates page by page, store. Returns url, change."""
+    """pages: url, html. Extract, skip what is unchanged, chunk, embed, filter near-duplicates against the whole store and within the batch, store.
+    Returns url, change.
+
+    Chunks come first, in one version with the old pages' chunks left out, and pages last: a run that stops in between is
+    found as changed again, and makes the same chunks. (Its duplicates then corroborate their chunks a second time.)"""
     s = settings
     extracted = chunking.html_text(pages.select(F.col("url").alias("page_url"), "html")).withColumnRenamed("page_url", "url")
     extracted = extracted.filter(F.length(F.trim("text")) >= s.min_content_chars).join(pages, "url").checkpoint()
     known = store.read("pages")
     changed = incremental.changes(extracted, known).checkpoint()
     fresh = extracted.join(changed.filter("change <> 'unchanged'"), "url")
-    store.upsert("pages", fresh.select("url", "title", "html", F.col("text").alias("extracted_text"), "content_hash"))
     old = store.read("chunks")
     kept_old = old.join(fresh.select(F.col("url").alias("page_url")), "page_url", "left_anti").select(*old.columns)
     chunks = chunking.chunk_paragraphs(fresh.select(F.col("url").alias("page_url"), "text"), s.paragraph_tokens)
     chunks = embed(chunks, embedder).checkpoint()
-    duplicates = incremental.greedy_duplicates(chunks.filter("embedding is not null").select(F.col("chunk_id").alias("id"), F.col("chunk_no").alias("seq"), "embedding", "page_url"), s.duplicate_threshold, "page_url").filter("duplicate_of is not null").checkpoint()
+    embedded = chunks.filter("embedding is not null").select(F.col("chunk_id").alias("id"), F.struct("page_url", "chunk_no").alias("seq"), "embedding")
+    stored = kept_old.filter("embedding is not null and not coalesce(is_child, false)").select(F.col("chunk_id").alias("id"), "embedding")
+    of_store = incremental.matches(embedded, stored, s.duplicate_threshold, best=True).select("id", F.col("match").alias("duplicate_of"))
+    of_store = of_store.checkpoint()
+    of_batch = incremental.greedy_by_pairs(embedded.join(of_store, "id", "left_anti"), s.duplicate_threshold).filter("duplicate_of is not null")
+    duplicates = of_store.union(of_batch).checkpoint()
     new = chunks.join(duplicates.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")
     parents = new.select("chunk_id", "page_url", F.lit("").alias("section_title"), "text", "embedding", "content_type", F.lit(None).cast("string").alias("parent_chunk_id"), F.lit(False).alias("is_child"), F.lit(1).alias("embedding_version"))
     children = chunking.chunk_children(parents, s.child_tokens, keep_single=False)
     children = embed(children, embedder).select("chunk_id", "page_url", "section_title", "text", "embedding", "content_type", "parent_chunk_id", "is_child", F.lit(1).alias("embedding_version"))
-    store.write("chunks", kept_old)
-    store.upsert("chunks", parents.unionByName(children) if s.parent_child else parents)
-    if not duplicates.isEmpty():
-        hits = duplicates.select(F.col("duplicate_of").alias("chunk_id"))
-        store.write("chunks", corroborate(store.read("chunks"), hits, F.current_timestamp(), s.dedup_increment))
+    store.upsert("chunks", parents.unionByName(children) if s.parent_child else parents, old=kept_old, then=lambda rows: corroborate(rows, duplicates.select(F.col("duplicate_of").alias("chunk_id")), F.current_timestamp(), s.dedup_increment))
     if tokens is not None:
         store.upsert("chunk_token_embeddings", embed_tokens(store.read("chunks").select("chunk_id", "text"), tokens).filter("tokens is not null").select("chunk_id", "tokens", "token_count", "fde"))
     store.upsert("page_links", chunking.html_links(fresh.select(F.col("url").alias("page_url"), "html")))
+    store.upsert("pages", fresh.select("url", "title", "html", F.col("text").alias("extracted_text"), "content_hash"))
     return changed
 
 
@@ -180,8 +185,7 @@ class ResearchLoop:
             for q in asked:
                 self.store.log_search(q, counts.get(q, 0))
             fresh = incremental.unseen(found.select("url").distinct(), self.store.read("pages"))
-            safe = [(r["url"],) for r in fresh.toLocalIterator() if urls.is_safe(r["url"], self.resolver)]
-            got = fetch(self.spark.createDataFrame(safe, "url string"), self.fetcher, urls.netloc(F.col("url"))).checkpoint()
+            got = fetch(urls.safe_rows(fresh, self.resolver), self.fetcher, urls.netloc(F.col("url"))).checkpoint()
             changed = ingest_pages(self.store, got.select("url", "html"), self.embedder, self.settings)
             new = changed.filter("change = 'new'").count()
             refresh_graph(self.store, self.settings)

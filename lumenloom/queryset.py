@@ -67,7 +67,7 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {_TOK}, e AS (SELECT doc_id, unnest(toks) AS term FROM tok), p AS (SELECT doc_id, term, count(*) AS tf FROM e GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term")
 def term_stats(spark, d):
-    return retrieval.term_stats(retrieval.postings(_chunks(spark, d)))
+    return retrieval.term_counts(_chunks(spark, d))
 
 
 @query(f"WITH {_TOK} SELECT doc_id, len(toks)::INT AS n, len(list_distinct(toks))::INT AS n_distinct FROM tok")
@@ -383,32 +383,37 @@ _STEP = "SELECT node, y / sqrt(sum(y * y) OVER ()) AS x FROM (SELECT m.node, sum
 
 
 @query(
-    f"""WITH l AS (SELECT n_nationkey AS s, n_regionkey + 100 AS t FROM nation UNION ALL SELECT n_nationkey, (n_nationkey * 7 + 3) % 25 FROM nation), m AS (SELECT node, other, count(*)::DOUBLE AS w FROM (SELECT s AS node, t AS other FROM l UNION ALL SELECT t, s FROM l) GROUP BY ALL),
-x0 AS (SELECT node, 1 / sqrt(count(*) OVER ()) AS x FROM (SELECT DISTINCT node FROM m)), {", ".join(f"x{i + 1} AS ({_STEP.format(prev=f'x{i}')})" for i in range(6))} SELECT node::VARCHAR AS node, round(x / max(abs(x)) OVER (), 6) AS score FROM x6"""
+    f"""WITH {_L}, m AS MATERIALIZED (SELECT node, other, count(*)::DOUBLE AS w FROM (SELECT source_url AS node, target_url AS other FROM l UNION ALL SELECT target_url, source_url FROM l) GROUP BY ALL),
+x0 AS (SELECT node, 1 / sqrt(count(*) OVER ()) AS x FROM (SELECT DISTINCT node FROM m)), {", ".join(f"x{i + 1} AS MATERIALIZED ({_STEP.format(prev=f'x{i}')})" for i in range(6))} SELECT node, round(x / max(abs(x)) OVER (), 6) AS score FROM x6"""
 )
 def centrality(spark, d):
-    n = T(spark, d, "nation")
-    key = F.col("n_nationkey")
-    links = n.select(key.cast("string").alias("source_url"), (F.col("n_regionkey") + 100).cast("string").alias("target_url")).union(n.select(key.cast("string"), ((key * 7 + 3) % 25).cast("string")))
     _checkpoints(spark)
-    return graph.centrality(links, iterations=6, tolerance=False).select("node", F.round("score", 6).alias("score"))
+    return graph.centrality(_links(spark, d), iterations=6, tolerance=False).select("node", F.round("score", 6).alias("score"))
 
 
 def _checkpoints(spark):
     """Iterations cut lineage in the folder the cluster names, or a temporary one in local mode."""
+    import re
     import tempfile
 
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lumenloom-"))
 
 
-@query("WITH RECURSIVE e AS (SELECT n_nationkey AS s, (n_nationkey * 7 + 3) % 25 AS t FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + n_regionkey) % 25 FROM nation), r AS (SELECT 0 AS node, 0 AS depth UNION SELECT e.t, depth + 1 FROM r JOIN e ON e.s = r.node WHERE depth < 30) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node")
+@query(
+    f"WITH RECURSIVE {_L}, e AS MATERIALIZED (SELECT source_url AS s, target_url AS t FROM l UNION SELECT target_url, regexp_extract(target_url, '^[a-z]+://[^/]*') FROM l UNION SELECT regexp_extract(source_url, '^[a-z]+://[^/]*'), source_url FROM l), r AS (SELECT min(s) AS node, 0 AS depth FROM e UNION SELECT e.t, depth + 1 FROM r JOIN e ON e.s = r.node WHERE depth < 6) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node"
+)
 def bfs_reach(spark, d):
-    n = T(spark, d, "nation")
-    key = F.col("n_nationkey")
-    e = n.select(key.alias("src"), ((key * 7 + 3) % 25).alias("dst")).union(n.select(key, (key + F.col("n_regionkey")) % 25))
+    """Over links, and between hosts and their pages."""
+    l = _links(spark, d)  # noqa: E741
+    host = lambda c: F.regexp_extract(c, "^[a-z]+://[^/]*", 0)
+    e = l.select(F.col("source_url").alias("src"), F.col("target_url").alias("dst")).union(l.select("target_url", host("target_url"))).union(l.select(host("source_url"), "source_url")).distinct()
     _checkpoints(spark)
-    return graph.reach(e, spark.createDataFrame([(0,)], "node int"))
+    e = e.checkpoint()
+    return graph.reach(e, e.agg(F.min("src").alias("node"))).filter("depth <= 6")
 
 
 _NORM = r"lower(trim(regexp_replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')))".replace('\\"', '"')
@@ -416,10 +421,8 @@ _NORM = r"lower(trim(regexp_replace(replace(replace(replace(replace(replace(repl
 
 @query(f"WITH b AS (SELECT item_id, {_NORM.format('text')} AS p FROM benchmark), c AS (SELECT doc_id, {_NORM.format('text')} AS t FROM documents) SELECT item_id, doc_id FROM b JOIN c ON length(p) >= 20 AND contains(t, p)")
 def passage_overlap(spark, d):
-    """The passages are a stated query set; each document is looked at once with all of them."""
-    b = T(spark, d, "benchmark").select("item_id", tx.normalized(F.col("text")).alias("p"))
-    c = T(spark, d, "documents").select("doc_id", tx.normalized(F.col("text")).alias("t"))
-    return c.join(b, tx.overlaps(F.col("p"), F.col("t"))).select("item_id", "doc_id")
+    pairs = evaluation.passage_pairs(T(spark, d, "benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage")), T(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return pairs.select(F.col("passage_id").alias("item_id"), F.col("chunk_id").alias("doc_id"))
 
 
 @query(f"WITH e AS (SELECT item_id, item_id % 8 AS query_id, {_NORM.format('text')} AS p FROM benchmark), r AS (SELECT doc_id % 8 AS query_id, {_NORM.format('text')} AS t FROM documents), h AS (SELECT e.query_id, item_id, coalesce(bool_or(length(p) >= 20 AND contains(t, p)), false) AS hit FROM e LEFT JOIN r USING (query_id) GROUP BY ALL) SELECT query_id, round(avg(hit::INT), 6) AS score FROM h GROUP BY query_id")
@@ -563,9 +566,9 @@ def cascade_delete(spark, d):
     return a.agg(F.count("*").alias("chunks")).crossJoin(b.agg(F.count("*").alias("links"))).crossJoin(c.agg(F.count("*").alias("tokens")))  # one row each
 
 
-@query("SELECT c_custkey AS entity_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS entity_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def orphan_entities(spark, d):
-    return store.orphan_entities(T(spark, d, "customer").select(F.col("c_custkey").alias("entity_id")), T(spark, d, "orders").select(F.col("o_custkey").alias("entity_id")))
+    return store.orphan_entities(T(spark, d, "customer").select(F.col("c_custkey").alias("entity_id")), T(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("entity_id")))
 
 
 @query(r"SELECT page_id, url FROM pages WHERE lower(regexp_extract(url, '://([^/?#]*)', 1)) = 'blog.tionsh.example.net' AND page_id % 2 = 1")
@@ -587,14 +590,15 @@ def chart_semi_join(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_id % 4 = 0), c AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_id % 4 = 1)
+    """WITH a AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click'), c AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type <> 'click')
 SELECT a.event_id::VARCHAR AS image_id, arg_max(c.event_id, (c.t, lpad(c.event_id::VARCHAR, 12, '0'))) FILTER (c.t <= a.t)::VARCHAR AS before, arg_min(c.event_id, (c.t, lpad(c.event_id::VARCHAR, 12, '0'))) FILTER (c.t > a.t)::VARCHAR AS after FROM a LEFT JOIN c USING (user_id) GROUP BY a.event_id, a.t"""
 )
 def image_chunk_asof(spark, d):
+    """Every event is one or the other: clicks are images, all else is a chunk, users are pages."""
     e = T(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     pad = F.lpad(F.col("event_id").cast("string"), 12, "0")
-    images = e.filter("event_id % 4 = 0").select(F.col("user_id").alias("page_url"), F.col("event_id").cast("string").alias("image_id"), F.col("at").alias("dom_offset"))
-    chunks = e.filter("event_id % 4 = 1").select(F.col("user_id").alias("page_url"), pad.alias("chunk_id"), F.col("at").alias("offset"))
+    images = e.filter("event_type = 'click'").select(F.col("user_id").alias("page_url"), F.col("event_id").cast("string").alias("image_id"), F.col("at").alias("dom_offset"))
+    chunks = e.filter("event_type <> 'click'").select(F.col("user_id").alias("page_url"), pad.alias("chunk_id"), F.col("at").alias("offset"))
     out = incremental.nearest_chunks(images, chunks)
     return out.select("image_id", F.col("before").cast("long").cast("string").alias("before"), F.col("after").cast("long").cast("string").alias("after"))
 
@@ -607,12 +611,13 @@ def quantize_roundtrip(spark, d):
 
 
 @query(
-    """WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS p, e AS q FROM v WHERE vec_id < 4), b AS (SELECT label, p, max(list_dot_product(e, q)) AS s FROM v, q GROUP BY ALL), w AS (SELECT p, 1 / (0.5 + avg(s)) AS w FROM b GROUP BY p)
-SELECT label AS chunk_id, round(sum(s * w) / (SELECT sum(w) FROM w), 6) AS score FROM b JOIN w USING (p) GROUP BY label"""
+    """WITH v AS (SELECT vec_id // 8 AS c, vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS p, e AS q FROM v WHERE vec_id < 4), b AS (SELECT c, p, max(list_dot_product(e, q)) AS s FROM v, q GROUP BY ALL), w AS (SELECT p, 1 / (0.5 + avg(s)) AS w FROM b GROUP BY p)
+SELECT c AS chunk_id, round(sum(s * w) / (SELECT sum(w) FROM w), 6) AS score FROM b JOIN w USING (p) GROUP BY c"""
 )
 def maxsim_rank(spark, d):
+    """Chunks of eight token vectors each; the first four vectors are the query's tokens."""
     v = T(spark, d, "embeddings")
-    tokens = v.groupBy(F.col("label").alias("chunk_id")).agg(F.collect_list("embedding").alias("tokens"))
+    tokens = v.groupBy(F.floor(F.col("vec_id") / 8).alias("chunk_id")).agg(F.collect_list("embedding").alias("tokens"))
     q = [[float(x) for x in r["embedding"]] for r in v.filter("vec_id < 4").orderBy("vec_id").collect()]
     return retrieval.maxsim_signal(tokens, q).select("chunk_id", F.round("raw", 6).alias("score"))
 
@@ -626,9 +631,12 @@ def chart_classify(spark, d):
     return v.select("vec_id", vx.is_chart(F.col("embedding"), labels[:3], labels[3:]).alias("is_chart"))
 
 
-@query("""SELECT event_id, [props] AS strings FROM events""")
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN ['alpha' || event_id, 'beta-' || user_id] WHEN 'signup' THEN []::VARCHAR[] ELSE [props] END AS strings FROM events""")
 def json_salvage(spark, d):
-    text = F.concat(F.lit("Here: ```json\n"), F.to_json(F.array("props")), F.lit("\n``` done"))
+    """Well-formed lists in fences, malformed lists, of which the longer quoted strings are left, and answers without a list."""
+    good = F.concat(F.lit("Here: ```json\n"), F.to_json(F.array("props")), F.lit("\n``` done"))
+    bad = F.concat(F.lit('Sure: ["alpha'), F.col("event_id"), F.lit('", "abc", "beta-'), F.col("user_id"), F.lit('", oops'), F.lit("] and so on"))
+    text = F.when(F.col("event_type") == "error", bad).when(F.col("event_type") == "signup", "no list here").otherwise(good)
     return T(spark, d, "events").select("event_id", tx.json_list_of_strings(text).alias("strings"))
 
 
@@ -644,11 +652,10 @@ def novelty_ratio(spark, d):
     return incremental.novelty(e).select(F.round("ratio", 6).alias("ratio"), "goes_on")
 
 
-@query("SELECT n_nationkey::VARCHAR AS url, n_regionkey / 10.0::DOUBLE AS old, n_nationkey / 20.0::DOUBLE AS new FROM nation WHERE n_nationkey / 20.0 > n_regionkey / 10.0 AND n_nationkey > 0")
+@query("SELECT c_name AS url, c_nationkey / 25.0::DOUBLE AS old, (c_custkey % 50) / 50.0::DOUBLE AS new FROM customer WHERE (c_custkey % 50) / 50.0::DOUBLE > c_nationkey / 25.0::DOUBLE AND c_custkey % 50 > 0")
 def authority_increase(spark, d):
-    n = T(spark, d, "nation")
-    url = F.col("n_nationkey").cast("string").alias("url")
-    return incremental.authority_increases(n.select(url, (F.col("n_regionkey") / 10.0).alias("authority_score")), n.select(url, (F.col("n_nationkey") / 20.0).alias("authority_score"))).select("url", "old", "new")
+    c = T(spark, d, "customer")
+    return incremental.authority_increases(c.select(F.col("c_name").alias("url"), (F.col("c_nationkey") / 25.0).alias("authority_score")), c.select(F.col("c_name").alias("url"), (F.col("c_custkey") % 50 / 50.0).alias("authority_score"))).select("url", "old", "new")
 
 
 @query("SELECT o_orderkey AS chunk_id FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_custkey % 2 = 1 AND o_orderkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 2 = 0)")
@@ -690,31 +697,58 @@ def code_chunks(spark, d):
     return chunking.chunk_code(files)
 
 
-@query()
+@query(
+    rf"""WITH t AS (SELECT conv_id, turn, list_concat(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+(?:[A-Z][a-z]+)+|[a-z]+(?:_[a-z0-9]+)+|[A-Z]{{2,}}(?:_[A-Z0-9]+)*'),
+  list_filter(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''), lambda w: trim(w, '?.,!;:"''()')), lambda w: length(w) >= 4 AND NOT list_contains({_STOPS}, lower(w)))) AS l FROM conversations),
+n AS (SELECT conv_id, turn, l, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM t), f AS (SELECT conv_id, turn, i, w, row_number() OVER (PARTITION BY conv_id, turn, lower(w) ORDER BY i) AS r FROM n)
+SELECT t.conv_id, t.turn, coalesce(string_agg(w, ' ' ORDER BY i), '') AS terms FROM t LEFT JOIN f ON f.conv_id = t.conv_id AND f.turn = t.turn AND r = 1 GROUP BY ALL"""
+)
 def key_terms(spark, d):
     return T(spark, d, "conversations").select("conv_id", "turn", tx.key_terms(F.coalesce("text", F.lit(""))).alias("terms"))
 
 
-@query()
+#: The greedy filter in SQL: pairs over the threshold, then row by row, with the list of what is kept so far.
+_GREEDY = """v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+p AS MATERIALIZED (SELECT b.i AS b, a.i AS a, list_dot_product(a.e, b.e) AS s FROM v a JOIN v b ON a.i < b.i {where} WHERE list_dot_product(a.e, b.e) > 0.3), o AS MATERIALIZED (SELECT b, list(a) AS near FROM p GROUP BY b),
+g(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.i + 1, CASE WHEN o.near IS NOT NULL AND list_has_any(o.near, kept) THEN kept ELSE list_append(kept, g.i + 1) END FROM g LEFT JOIN o ON o.b = g.i + 1 WHERE g.i < (SELECT count(*) FROM v)),
+k AS MATERIALIZED (SELECT unnest(kept) AS i FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1)),
+d AS (SELECT b, arg_max(a, (round(s, 12), -a)) AS a FROM p JOIN k ON k.i = p.a GROUP BY b)"""
+
+
+@query("WITH RECURSIVE " + _GREEDY.format(where="AND a.label = b.label") + " SELECT v.vec_id AS id, w.vec_id AS duplicate_of FROM v LEFT JOIN d ON d.b = v.i LEFT JOIN v w ON w.i = d.a")
 def greedy_near_duplicates(spark, d):
     v = T(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), "embedding", "label")
     return incremental.greedy_duplicates(v, 0.3, "label")
 
 
-@query()
+@query("WITH RECURSIVE " + _GREEDY.format(where="") + " SELECT v.vec_id AS id, w.vec_id AS duplicate_of FROM v LEFT JOIN d ON d.b = v.i LEFT JOIN v w ON w.i = d.a")
+def global_near_duplicates(spark, d):
+    """The same filter over the whole table, by pairs in blocks and rounds."""
+    _checkpoints(spark)
+    return incremental.greedy_by_pairs(T(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), "embedding"), 0.3)
+
+
+@query(
+    "WITH RECURSIVE " + _GREEDY.format(where="") + """, e AS (SELECT 'e' || v.vec_id AS name, 'e' || coalesce(w.vec_id, v.vec_id) AS canonical_name FROM v LEFT JOIN d ON d.b = v.i LEFT JOIN v w ON w.i = d.a)
+SELECT 'entity::' || substr(sha256(canonical_name), 1, 12) AS entity_id, canonical_name, coalesce(list_sort(list(name) FILTER (name <> canonical_name)), []) AS aliases FROM e GROUP BY canonical_name"""
+)
 def entity_resolution(spark, d):
+    _checkpoints(spark)
     v = T(spark, d, "embeddings").select(F.concat(F.lit("e"), F.col("vec_id")).alias("name"), F.col("vec_id").alias("seq"), "embedding")
     return incremental.aliases(incremental.resolve_entities(v, 0.3))
 
 
-@query()
-def fde_vectors(spark, d):
-    import numpy as np
-    import pandas as pd
+_PLANES = vx.hyperplanes(20, 64)
+
 
-    planes = vx.hyperplanes(20, 64)
+@query(
+    f"""WITH p AS (SELECT generate_subscripts(l, 1) - 1 AS b, unnest(l) AS p FROM (SELECT {[[float(x) for x in row] for row in _PLANES]}::DOUBLE[][] AS l)), v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+k AS (SELECT vec_id, label, e, arg_max(b, list_dot_product(e, p)) AS b FROM v, p GROUP BY ALL), x AS (SELECT label, b, generate_subscripts(e, 1) - 1 AS c, unnest(e) AS x FROM k), m AS (SELECT label, b, c, avg(x) AS x FROM x GROUP BY ALL),
+n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label) SELECT label, b::INT AS bucket, c::INT AS component, round(x / n, 6) AS value FROM m JOIN n USING (label)"""
+)
+def fde_vectors(spark, d):
+    v = T(spark, d, "embeddings").select(F.col("label").alias("id"), F.col("embedding").alias("token"))
+    return vx.fixed_encodings(v, _PLANES).select(F.col("id").alias("label"), "bucket", "component", F.round("value", 6).alias("value"))
 
-    def run(pdf):
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "fde": [vx.fixed_encoding(np.array(pdf.sort_values("vec_id")["embedding"].tolist(), np.float32), planes).tolist()]})
 
-    return T(spark, d, "embeddings").groupBy("label").applyInPandas(run, "label int, fde array<float>")
+from . import queryset_functions  # noqa: E402, F401  more registered queries, over single functions

@@ -15,13 +15,14 @@ from ..operators.store import Store
 
 def detect_changes(pages: DataFrame, store: Store, checkpoint: str, on_batch: Callable[[DataFrame], None] = lambda df: None) -> StreamingQuery:
     """A stream of (url, html, text): each batch is compared with the stored pages, and what is new or changed is upserted.
-    A batch that is run again finds its own pages unchanged, so the result is the same."""
+    on_batch sees the changes before the pages are stored: a batch that stopped in between is found changed again, one that was stored is
+    found unchanged, so nothing is lost and on_batch should bear a repeat."""
 
     def step(batch: DataFrame, _: int) -> None:
         rows = batch.dropDuplicates(["url"]).checkpoint()
         changed = incremental.changes(rows, store.read("pages")).filter("change <> 'unchanged'").checkpoint()
-        store.upsert("pages", rows.join(changed.select("url", "content_hash"), "url").select("url", "html", F.col("text").alias("extracted_text"), "content_hash"))
         on_batch(changed)
+        store.upsert("pages", rows.join(changed.select("url", "content_hash"), "url").select("url", "html", F.col("text").alias("extracted_text"), "content_hash"))
 
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
