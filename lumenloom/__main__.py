@@ -1,15 +1,24 @@
-"""Command line: status, query, ingest, reingest, migrate, repo, compare, eval."""
+"""Command line: status, sources, query, research, wiki, ingest, reingest, migrate, repo, benchmark, compare, eval.
+
+Commands that need a network or models take them from `--providers module:function`, a function without arguments that returns a dict of
+any of embedder, reranker, llm, search, fetcher, browser, resolver and wait. The offline stand-ins fill what is missing where there are any."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
+import socket
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evaluation
 from .operators.store import Store
-from .plans.engine import QueryEngine, ingest_pages, refresh_graph, unmigrated
+from .plans.benchmark import BenchmarkRunner
+from .plans.engine import QueryEngine, ResearchLoop, ingest_pages, log_to, refresh_graph, unmigrated
+from .plans.settings import Settings
+from .plans.wiki import ingest_wiki
 from .sources import files
 from .sources.providers import HashingEmbedder, OverlapReranker, embed
 
@@ -17,7 +26,23 @@ from .sources.providers import HashingEmbedder, OverlapReranker, embed
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lumenloom", description=__doc__)
     p.add_argument("--store", default="lumenloom-store", help="folder of the tables")
+    p.add_argument("--providers", help="module:function that returns the providers")
+    p.add_argument("--log", help="file for progress lines")
+    p.add_argument("--json", action="store_true", help="rows as JSON instead of a table")
     sub = p.add_subparsers(dest="command", required=True)
+    research = sub.add_parser("research")
+    research.add_argument("prompt")
+    research.add_argument("--max-depth", type=int, default=5)
+    research.add_argument("--similarity-threshold", type=float, default=0.85)
+    wiki = sub.add_parser("wiki")
+    wiki.add_argument("url")
+    wiki.add_argument("--max-depth", type=int, default=50)
+    bench = sub.add_parser("benchmark")
+    bench.add_argument("truth", help="ground-truth file")
+    bench.add_argument("folder", help="folder of its documents")
+    bench.add_argument("--config", help="names with commas between them; all by default")
+    bench.add_argument("--top-k", type=int, default=10)
+    bench.add_argument("--output", help="folder for the details as JSON")
     sub.add_parser("status")
     sub.add_parser("sources")
     q = sub.add_parser("query")
@@ -41,17 +66,55 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def providers(name: str | None) -> dict:
+    if not name:
+        return {}
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)()
+
+
+def needed(found: dict, *names: str) -> list:
+    missing = [n for n in names if n not in found]
+    if missing:
+        raise SystemExit(f"this command needs --providers with {', '.join(missing)}")
+    return [found[n] for n in names]
+
+
+def resolve_host(host: str) -> list[str]:
+    return sorted({a[4][0] for a in socket.getaddrinfo(host, None)})
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("lumenloom").getOrCreate()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(f"{a.store}/_checkpoints")
-    store, embedder = Store(spark, a.store), HashingEmbedder()
-    engine = QueryEngine(spark, store, embedder, OverlapReranker() if getattr(a, "rerank", False) else None)
-    if a.command == "status":
-        print(files.format_table(engine.status()))
+    given = providers(a.providers)
+    store, embedder = Store(spark, a.store), given.get("embedder") or HashingEmbedder()
+    engine = QueryEngine(spark, store, embedder, given.get("reranker") or (OverlapReranker() if getattr(a, "rerank", False) else None), given.get("llm"))
+    progress, resolver = log_to(a.log) if a.log else (lambda text: None), given.get("resolver") or resolve_host
+    show = lambda rows: print("\n".join(r for r in rows.limit(1000).toJSON().collect()) if a.json else files.format_table(rows))
+    if a.command == "research":
+        llm, search, fetcher = needed(given, "llm", "search", "fetcher")
+        settings = Settings(duplicate_threshold=a.similarity_threshold)
+        print(json.dumps(ResearchLoop(spark, store, llm, search, fetcher, embedder, resolver, settings, progress).run(a.prompt, a.max_depth)))
+    elif a.command == "wiki":
+        (fetcher,) = needed(given, "fetcher")
+        show(ingest_wiki(store, a.url, fetcher, embedder, resolver, browser=given.get("browser"), max_depth=a.max_depth, wait=given.get("wait")))
+    elif a.command == "benchmark":
+        docs, queries = files.corpus(spark, a.truth, a.folder)
+        wanted = a.config.split(",") if a.config else None
+        configs = [c for c in evaluation.benchmark_matrix() if wanted is None or c["config_name"] in wanted]
+        details, errors = BenchmarkRunner(spark, f"{a.store}/_benchmark", embedder, progress=progress).run(docs, [r.asDict() for r in queries.collect()], configs, a.top_k)
+        show(evaluation.roll_up(details))
+        if not errors.isEmpty():
+            show(errors)
+        if a.output:
+            files.save_report(details, a.output)
+    elif a.command == "status":
+        show(engine.status())
     elif a.command == "sources":
-        print(files.format_table(engine.list_sources()))
+        show(engine.list_sources())
     elif a.command == "query":
         print(engine.ask(a.question, a.now)["context"])
     elif a.command == "ingest":
@@ -75,7 +138,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         store.upsert("chunks", rows.select("chunk_id", "page_url", "section_title", "text", "embedding", "content_type", "embedding_version"))
         print(files.format_table(found.groupBy("content_type").count()))
     elif a.command == "compare":
-        print(files.format_table(files.compare_files(spark, a.a, a.b)))
+        show(files.compare_files(spark, a.a, a.b))
     elif a.command == "eval":
         queries = files.eval_set(spark, a.queries).collect()
         ranked, relevant = [], []
@@ -83,7 +146,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             ranked += [(i, r["chunk_id"], n) for n, r in enumerate(engine.retrieve(q["query"], a.k).collect())]
             relevant += [(i, c) for c in q["relevant_chunk_ids"]]
         found = evaluation.precision_recall(spark.createDataFrame(ranked, "query_id int, chunk_id string, rank int"), spark.createDataFrame(relevant, "query_id int, chunk_id string"), a.k)
-        print(files.format_table(evaluation.macro(found)))
+        show(evaluation.macro(found))
     return 0
 
 

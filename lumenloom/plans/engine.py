@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -115,9 +116,9 @@ class QueryEngine:
         return self.store.status()
 
 
-def ingest_pages(store: Store, pages: DataFrame, embedder: Embedder, settings: Settings = Settings(), tokens: TokenEmbedder | None = None) -> DataFrame:
+def ingest_pages(store: Store, pages: DataFrame, embedder: Embedder, settings: Settings = Settings(), tokens: TokenEmbedder | None = None, chunker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """pages: url, html. Extract, skip what is unchanged, chunk, embed, filter near-duplicates against the whole store and within the batch, store.
-    Returns url, change.
+    chunker makes chunks (as chunk_paragraphs, with section_title) of the fresh pages (url, title, text, html). Returns url, change.
 
     Chunks come first, in one version with the old pages' chunks left out, and pages last: a run that stops in between is
     found as changed again, and makes the same chunks. (Its duplicates then corroborate their chunks a second time.)"""
@@ -129,7 +130,7 @@ def ingest_pages(store: Store, pages: DataFrame, embedder: Embedder, settings: S
     fresh = extracted.join(changed.filter("change <> 'unchanged'"), "url")
     old = store.read("chunks")
     kept_old = old.join(fresh.select(F.col("url").alias("page_url")), "page_url", "left_anti").select(*old.columns)
-    chunks = chunking.chunk_paragraphs(fresh.select(F.col("url").alias("page_url"), "text"), s.paragraph_tokens)
+    chunks = chunker(fresh) if chunker else chunking.chunk_paragraphs(fresh.select(F.col("url").alias("page_url"), "text"), s.paragraph_tokens).withColumn("section_title", F.lit(""))
     chunks = embed(chunks, embedder).checkpoint()
     embedded = chunks.filter("embedding is not null").select(F.col("chunk_id").alias("id"), F.struct("page_url", "chunk_no").alias("seq"), "embedding")
     stored = kept_old.filter("embedding is not null and not coalesce(is_child, false)").select(F.col("chunk_id").alias("id"), "embedding")
@@ -138,7 +139,7 @@ def ingest_pages(store: Store, pages: DataFrame, embedder: Embedder, settings: S
     of_batch = incremental.greedy_by_pairs(embedded.join(of_store, "id", "left_anti"), s.duplicate_threshold).filter("duplicate_of is not null")
     duplicates = of_store.union(of_batch).checkpoint()
     new = chunks.join(duplicates.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")
-    parents = new.select("chunk_id", "page_url", F.lit("").alias("section_title"), "text", "embedding", "content_type", F.lit(None).cast("string").alias("parent_chunk_id"), F.lit(False).alias("is_child"), F.lit(1).alias("embedding_version"))
+    parents = new.select("chunk_id", "page_url", "section_title", "text", "embedding", "content_type", F.lit(None).cast("string").alias("parent_chunk_id"), F.lit(False).alias("is_child"), F.lit(1).alias("embedding_version"))
     children = chunking.chunk_children(parents, s.child_tokens, keep_single=False)
     children = embed(children, embedder).select("chunk_id", "page_url", "section_title", "text", "embedding", "content_type", "parent_chunk_id", "is_child", F.lit(1).alias("embedding_version"))
     store.upsert("chunks", parents.unionByName(children) if s.parent_child else parents, old=kept_old, then=lambda rows: corroborate(rows, duplicates.select(F.col("duplicate_of").alias("chunk_id")), F.current_timestamp(), s.dedup_increment))
@@ -200,5 +201,15 @@ class ResearchLoop:
         return {"stopped": why, "pages": pages}
 
 
+def log_to(path: str) -> Callable[[str], None]:
+    """A progress callback that appends lines with a time to a file of the driver."""
+
+    def write(text: str) -> None:
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(f"{time.strftime('%Y-%m-%dT%H:%M:%S')} {text}\n")
+
+    return write
+
+
 def default_llm() -> Llm:
     return ScriptedLlm()

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import base64
 import fnmatch
+import io
 import json
 import random
 import re
 import subprocess
 import time
+import zipfile
 from collections.abc import Callable, Iterator
 from html import escape
+from pathlib import Path
 from urllib.parse import quote, urlsplit
 
 from ..functions.urls import valid_branch  # noqa: F401  (part of this surface)
@@ -95,6 +98,52 @@ def clone(url: str, folder: str, branch: str | None = None, run: Callable = subp
     run(["git", "clone", "--depth", "1", "--single-branch", *(["--branch", branch] if branch else []), url, folder], check=True, timeout=300, capture_output=True)
 
 
+def unpack_zip(data: bytes, folder: str, most_bytes: int = 2_000_000_000) -> int:
+    """A downloaded archive of a repository into a folder, without its first path component; the number of files. Names that leave the
+    folder and archives that unpack to more than `most_bytes` are errors."""
+    base, count, total = Path(folder).resolve(), 0, 0
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for item in z.infolist():
+            _, _, name = item.filename.partition("/")
+            if not name or item.is_dir():
+                continue
+            target = (base / name).resolve()
+            if not target.is_relative_to(base):
+                raise ValueError(f"leaves the folder: {item.filename!r}")
+            total += item.file_size
+            if total > most_bytes:
+                raise ValueError("archive too large")
+            target.parent.mkdir(parents=True, exist_ok=True)
+            target.write_bytes(z.read(item))
+            count += 1
+    return count
+
+
+def fetch_repository(download: Callable[[str], bytes | None], platform: str, owner: str, name: str, folder: str, branch: str | None = None, credential: dict | None = None, run: Callable = subprocess.run) -> str:
+    """Clone a repository or, where that fails, unpack its archive; "clone" or "archive"."""
+    try:
+        clone(clone_url(platform, owner, name, credential), folder, branch, run)
+        return "clone"
+    except (subprocess.SubprocessError, OSError):
+        ref = quote(branch or "HEAD", safe="")
+        url = f"https://api.github.com/repos/{owner}/{name}/zipball/{ref}" if platform == "github.com" else f"https://{platform}/{owner}/{name}/get/{ref}.zip"
+        data = download(url)
+        if data is None:
+            raise
+        unpack_zip(data, folder)
+        return "archive"
+
+
+def clone_wiki(platform: str, owner: str, name: str, folder: str, credential: dict | None = None, run: Callable = subprocess.run) -> bool:
+    """The wiki of a repository, a repository of its own; False where there is none."""
+    url = clone_url(platform, owner, name, credential)
+    try:
+        clone(url.removesuffix(".git") + (".wiki.git" if platform == "github.com" else ".git/wiki"), folder, None, run)
+    except (subprocess.SubprocessError, OSError):
+        return False
+    return True
+
+
 def _json(fetcher: Fetcher, url: str) -> dict:
     got = fetcher.fetch(url)
     return json.loads(got[0]) if got else {}

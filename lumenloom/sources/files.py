@@ -37,6 +37,20 @@ def index_files(files: DataFrame, repo_url: Column, branch: str = "") -> DataFra
     return both.withColumn("chunk_id", tx.file_chunk_id(F.col("page_url"), F.col("chunk_no"), F.col("text")))
 
 
+#: Files of a repository's wiki.
+WIKI_FILES = ["md", "mediawiki", "rst", "txt"]
+
+
+def wiki_pages(spark: SparkSession, root: str, repo_url: Column) -> DataFrame:
+    """page_url, chunk_no, text, content_type, chunk_id of a cloned repository wiki: its text files by paragraphs."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    name = F.element_at(F.split("path", "/"), -1)
+    kept = found.filter(F.lower(F.element_at(F.split(name, r"\."), -1)).isin(WIKI_FILES) & ~F.col("path").contains("/.git/"))
+    page = F.concat(repo_url, F.lit("/wiki/"), F.regexp_replace(name, r"\.[^.]*$", ""))
+    chunks = chunking.chunk_paragraphs(kept.select(page.alias("page_url"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")))
+    return chunks.select("page_url", "chunk_no", "text", "content_type", tx.file_chunk_id(F.col("page_url"), F.col("chunk_no"), F.col("text")).alias("chunk_id"))
+
+
 def issues(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
     """number, text (title as a header before the body) of the first issues of a JSON export."""
     rows = spark.read.schema("number long, title string, body string").json(path, multiLine=True)
@@ -83,6 +97,18 @@ def format_table(rows: DataFrame, limit: int = 50) -> str:
     return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in table)
 
 
+def format_report(rolled: DataFrame, errors: DataFrame | None = None) -> str:
+    """A benchmark's summary for people: configs by overlap, the best and the fastest, errors."""
+    rows = rolled.orderBy(F.desc("text_overlap"), "p50", "config_name").collect()
+    lines = [f"{r['config_name']}: overlap {r['text_overlap']:.4f}, {r['p50']:.1f} / {r['p95']:.1f} / {r['p99']:.1f} ms, {r['chunks']} chunks at {r['ms_per_chunk']:.2f} ms" for r in rows]
+    if rows:
+        fastest = min(rows, key=lambda r: (r["p50"], r["config_name"]))
+        lines += ["", f"best overlap: {rows[0]['config_name']}", f"fastest: {fastest['config_name']}"]
+    failed = errors.orderBy("config_name").collect() if errors is not None else []
+    lines += [f"failed: {r['config_name']} ({r['error']})" for r in failed]
+    return "\n".join(lines)
+
+
 def compare_files(spark: SparkSession, a: str, b: str) -> DataFrame:
     return evaluation.compare_reports(load_report(spark, a), load_report(spark, b), ["text_overlap", "p50_ms", "p95_ms", "p99_ms"])
 

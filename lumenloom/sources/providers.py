@@ -34,6 +34,22 @@ class Llm(Protocol):
     def generate(self, prompt: str, system: str = "") -> str: ...
 
 
+class ImageLlm(Protocol):
+    """A language model that also sees images."""
+
+    def generate_with_images(self, prompt: str, images: list[bytes], system: str = "") -> str: ...
+
+
+class ImageEmbedder(Protocol):
+    """Images and short texts in one space."""
+
+    dims: int
+
+    def embed_images(self, images: list[bytes]) -> list[list[float] | None]: ...
+
+    def embed_labels(self, texts: list[str]) -> list[list[float] | None]: ...
+
+
 class Fetcher(Protocol):
     def fetch(self, url: str) -> tuple[str, str] | None: ...
 
@@ -42,7 +58,7 @@ class Search(Protocol):
     def search(self, query: str, limit: int) -> list[dict]: ...
 
 
-def _seeded(word: str, dims: int) -> np.ndarray:
+def _seeded(word: str | bytes, dims: int) -> np.ndarray:
     import xxhash
 
     return np.random.RandomState(xxhash.xxh32_intdigest(word)).randn(dims)
@@ -76,6 +92,23 @@ class HashingTokenEmbedder:
         return out
 
 
+class HashingImageEmbedder:
+    """A direction for each content of an image, and of a text; for tests and offline use."""
+
+    def __init__(self, dims: int = 512):
+        self.dims = dims
+
+    def _unit(self, data: bytes) -> list[float]:
+        v = _seeded(data, self.dims)
+        return (v / np.linalg.norm(v)).tolist()
+
+    def embed_images(self, images):
+        return [self._unit(i) if i else None for i in images]
+
+    def embed_labels(self, texts):
+        return [self._unit(t.lower().encode()) if t else None for t in texts]
+
+
 class OverlapReranker:
     """Log odds of the share of query words in the text."""
 
@@ -146,6 +179,38 @@ def embed_tokens(df: DataFrame, embedder: TokenEmbedder, column: str = "text") -
     return out.withColumn("token_count", F.size("tokens")).withColumn("fde", encode(F.col("tokens")))
 
 
+def fetch_images(images: DataFrame, download: Callable[[str], bytes | None], host: Column, tasks: int = 16) -> DataFrame:
+    """images (image_id, src_url) with image_bytes, width and height of those that could be fetched and are worth keeping."""
+    ship(images.sparkSession)
+    from .images import accepted, dimensions
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for image_id, url in zip(f["image_id"], f["src_url"]):
+                try:
+                    data = download(url)
+                except Exception:  # noqa: BLE001  an image that fails is left out
+                    data = None
+                if data and accepted(data):
+                    rows.append((image_id, data, *dimensions(data)))
+            yield pd.DataFrame(rows, columns=["image_id", "image_bytes", "width", "height"])
+
+    dealt = images.select("image_id", "src_url", host.alias("_host")).repartition(tasks, "_host").select("image_id", "src_url")
+    return dealt.mapInPandas(run, "image_id string, image_bytes binary, width int, height int")
+
+
+def embed_images(images: DataFrame, embedder: ImageEmbedder) -> DataFrame:
+    """images with `embedding` of their image_bytes; null where there is none."""
+    ship(images.sparkSession)
+
+    @F.pandas_udf("array<float>")
+    def run(data: pd.Series) -> pd.Series:
+        return pd.Series(embedder.embed_images([bytes(x) if x is not None else None for x in data]))
+
+    return images.withColumn("embedding", run(F.col("image_bytes")))
+
+
 def rerank_logits(entries: DataFrame, query: str, reranker: Reranker) -> DataFrame:
     """chunk_id, logit."""
     ship(entries.sparkSession)
