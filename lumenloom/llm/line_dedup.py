@@ -123,7 +123,8 @@ def dedup_lines(docs: DataFrame, how: LineDedup = LineDedup(), counts: bool = Fa
     # Extra columns travel in one struct, so that their names can't clash with ours.
     packed = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in held]).alias("row"))
     spans = materialize(repeated_runs(packed, how).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    joined = packed.withColumn("key", _key()).join(spans, "key", "left")
+    # Spans grow with the documents, so they meet them by a shuffle at every size.
+    joined = packed.withColumn("key", _key()).join(spans.hint("merge"), "key", "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda line, i: ~F.exists("spans", lambda s: (i >= s["start"]) & (i <= s["end"])))
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
