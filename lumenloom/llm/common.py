@@ -53,10 +53,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: later stages start from files that
-    outlive any executor, and nothing before is computed twice."""
+    outlive any executor, and nothing before is computed twice. The files go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, range_bounds, range_part, shared_dir, small_batches
+from .common import materialize, parts_for, range_bounds, range_part, shared_dir, small_batches
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 MANIFEST = "part int, file string, records long, bytes long, sha256 string"
@@ -113,6 +113,7 @@ def write(pages: DataFrame, folder: str, how: Warc = Warc()) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     long_ = rows.filter(F.octet_length("html") >= how.revisit_bytes).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
     shared = long_.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
+    shared = materialize(shared, "shared")  # a table of its own, so that a join on a very frequent payload can be split
     marks = long_.join(shared, "digest").filter("not page_id <=> first").distinct()
 
     parts = parts_for(spark, pages.count(), how.part_pages)
