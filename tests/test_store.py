@@ -126,3 +126,63 @@ def test_metrics(spark):
     with pytest.raises(ValueError, match="combinations"):
         ev.sweep_grid([f"s{i}" for i in range(9)])
     assert len(ev.benchmark_matrix()) == 96
+
+
+def test_percentiles_of_ties_and_groups(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(g, float(r.randrange(6 if g == "a" else 1000))) for g in "ab" for _ in range(500)] + [(None, 7.0), ("c", None), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {x.g: (x.p50, x.p95, x.p99) for x in ev.nearest_rank(df, "v", [50, 95, 99], ["g"], ranges=8).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        want[g] = tuple(v[min(len(v) * p // 100, len(v) - 1)] for p in (50, 95, 99))
+    assert got == want
+
+
+def test_passage_pairs_against_all_pairs(spark):
+    import random
+
+    from lumenloom.functions import text as tx
+
+    r = random.Random(2)
+    word = lambda: r.choice(["sun", "panel", "the", "Light", "a", "&amp;", "of", "grid", "x y", "&nbsp;z"])
+    chunks = [(i, "  ".join(word() for _ in range(r.randrange(0, 60)))) for i in range(60)] + [(99, None)]
+    passages = []
+    for i in range(60):
+        t = r.choice([c for c in chunks if c[1]])[1]
+        at = r.randrange(max(len(t) - 5, 1))
+        passages.append((i, t[at : at + r.randrange(1, 90)] if i % 3 else " ".join(word() for _ in range(6))))
+    p, c = spark.createDataFrame(passages, "passage_id long, passage string"), spark.createDataFrame(chunks, "chunk_id long, text string")
+    plain = p.withColumn("p", tx.normalized(p.passage)).crossJoin(c.withColumn("t", tx.normalized(c.text)))
+    want = {(x.passage_id, x.chunk_id) for x in plain.filter("p <> ''").filter(tx.overlaps(plain.p, plain.t)).collect()}
+    got = [(x.passage_id, x.chunk_id) for x in ev.passage_pairs(p, c).collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_term_counts(spark):
+    from lumenloom.operators import retrieval
+
+    chunks = spark.createDataFrame([(1, "a b a getHTTP b-c"), (2, "a"), (3, ""), (4, "A get")], "chunk_id long, text string")
+    rows = lambda df: sorted(tuple(r) for r in df.select("term", "df", "cf").collect())
+    assert rows(retrieval.term_counts(chunks)) == rows(retrieval.term_stats(retrieval.postings(chunks)))
+
+
+def test_matches_and_greedy_over_a_whole_table(spark):
+    import numpy as np
+
+    r = np.random.RandomState(4)
+    base = r.randn(5, 12)
+    m = np.concatenate([base + 0.3 * r.randn(5, 12) for _ in range(6)])
+    m[7] = m[2]
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, seq long, embedding array<double>")
+    want = {x.id: x.duplicate_of for x in inc.greedy_duplicates(df, 0.8).collect()}
+    assert {x.id: x.duplicate_of for x in inc.greedy_by_pairs(df, 0.8).collect()} == want
+    found = {(x.id, x.match) for x in inc.matches(df, df, 0.8, block=7).collect()}
+    assert found == {(a, b) for a in range(len(m)) for b in range(len(m)) if m[a] @ m[b] > 0.8}
+    best = {x.id: x.match for x in inc.matches(df.filter("id < 5"), df.filter("id >= 5"), 0.5, best=True).collect()}
+    assert all(abs(m[a] @ m[b] - max(m[5:] @ m[a])) < 1e-12 for a, b in best.items()) and len(best) > 2
+    assert inc.matches(df.limit(0), df, 0.5).collect() == []
