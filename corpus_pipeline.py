@@ -2,7 +2,7 @@
 
 toxicity: documents that the nearest labelled examples call toxic go. line_dedup: later repeats of passages
 go, and documents of which nothing is left. near_dedup: of each group of near-duplicates (word shingles
-alike by 80 % or more) the one of the smallest doc_id stays. mixing: sources are brought to their target weights; a document taken twice is there
+alike by 80 % or more) the one of the smallest doc_id stays, and one row of it where rows repeat. mixing: sources are brought to their target weights; a document taken twice is there
 twice. packing: what remains is cut into token windows, one row for each piece.
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents. Null and empty texts pass

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from html import escape
 from html.parser import HTMLParser
 
@@ -131,6 +131,46 @@ def extract(html: str) -> tuple[str, str]:
     return title, re.sub(r"\n{3,}", "\n\n", root.text("\n", strip=True)).strip()
 
 
+#: What a tier makes of a page: its text, or None.
+Tier = Callable[[str], str | None]
+
+
+def dense_text(html: str) -> str | None:
+    """The text of the element whose paragraphs hold most text, commas counting extra and links less; None without paragraphs."""
+    root = parse(html or "")
+    fence_code(root)
+    root.remove(BOILERPLATE)
+    scores: dict[int, tuple[float, Element]] = {}
+    for p in root.find_all("p", "pre", "td", "blockquote"):
+        text = p.text(" ", strip=True)
+        if p.parent is None or len(text) < 25:
+            continue
+        linked = sum(len(a.text(" ", strip=True)) for a in p.find_all("a"))
+        weight = (len(text) + 25 * text.count(",")) * (1 - linked / max(len(text), 1))
+        for share, node in zip((1.0, 0.5), (p.parent, p.parent.parent)):
+            if node is not None:
+                scores[id(node)] = (scores.get(id(node), (0.0, node))[0] + share * weight, node)
+    if not scores:
+        return None
+    best = max(scores.values(), key=lambda s: s[0])[1]
+    return best.text("\n", strip=True)
+
+
+def tiered(html: str, tiers: Sequence[tuple[str, Tier]] = (), least: int = 50) -> tuple[str, str, str]:
+    """(title, text, method): the first tier with more than `least` characters, else all text outside boilerplate. A tier that fails is passed over."""
+    if not html or not html.strip():
+        return "", "", "none"
+    title, plain = extract(html)
+    for name, tier in tiers:
+        try:
+            text = tier(html)
+        except Exception:  # noqa: BLE001  the next tier is tried
+            text = None
+        if text and len(text.strip()) > least:
+            return title, text.strip(), name
+    return title, plain, "strip"
+
+
 def base_url(root: Element, page_url: str) -> str:
     return next((resolve(page_url, e.attributes["href"]) for e in root.find_all("base") if e.attributes.get("href")), page_url)
 

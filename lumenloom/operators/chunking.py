@@ -6,7 +6,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -197,10 +197,11 @@ def chunk_wiki(pages: DataFrame, limit: int = 500) -> DataFrame:
     return rows.withColumn("chunk_id", tx.wiki_chunk_id(F.col("page_url"), section)).withColumn("content_type", F.coalesce("kind", tx.content_type(F.col("text")))).drop("kind")
 
 
-def html_text(pages: DataFrame) -> DataFrame:
-    """pages: page_url, html. page_url, title, text."""
-    schema = pa.schema([("page_url", pa.string()), ("title", pa.string()), ("text", pa.string())])
-    return _per_row(pages, ["page_url", "html"], schema, "page_url string, title string, text string", lambda url, html: [(url, *dom.extract(html))])
+def html_text(pages: DataFrame, tiers: Sequence[tuple[str, dom.Tier]] = ()) -> DataFrame:
+    """pages: page_url, html. page_url, title, text, method: by the first tier that finds enough text (say ("dense", dom.dense_text), or a reader of one's
+    own), else all text outside boilerplate."""
+    schema = pa.schema([("page_url", pa.string()), ("title", pa.string()), ("text", pa.string()), ("method", pa.string())])
+    return _per_row(pages, ["page_url", "html"], schema, "page_url string, title string, text string, method string", lambda url, html: [(url, *dom.tiered(html, tiers))])
 
 
 def html_links(pages: DataFrame) -> DataFrame:

@@ -686,7 +686,20 @@ def wiki_chunks(spark, d):
     return chunking.chunk_wiki(T(spark, d, "pages").select(F.col("url").alias("page_url"), F.lit(None).cast("string").alias("title"), "html"))
 
 
-@query()
+_CHARS = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def _decoded(value: str) -> str:
+    """SQL that decodes the character references of the pages."""
+    for ref, char in _CHARS:
+        value = f"replace({value}, '{ref}', '{char}')"
+    return value
+
+
+@query(
+    rf"""WITH x AS (SELECT url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>|<header\b.*?</header>|<noscript\b.*?</noscript>|<svg\b.*?</svg>|<!--.*?-->', '<x>', 'g') AS h FROM pages)
+SELECT url AS page_url, trim({_decoded('title')}) AS title, array_to_string(list_filter(list_transform(regexp_split_to_array(h, '<[^>]*>'), lambda s: trim({_decoded('s')}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), lambda s: s <> ''), chr(10)) AS text, 'strip' AS method FROM x"""
+)
 def html_text(spark, d):
     return chunking.html_text(T(spark, d, "pages").select(F.col("url").alias("page_url"), "html"))
 

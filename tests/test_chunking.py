@@ -112,3 +112,16 @@ def test_languages(spark):
 
 def test_prefix():
     assert ch.embedding_prefix("python", "A", "run", "def run(): pass") == "python — A.run — run\ndef run(): pass"
+
+
+def test_tiers_of_text(spark):
+    from lumenloom.functions import dom
+    from lumenloom.operators.chunking import html_text
+
+    story = "A long paragraph of the article, with commas, that goes on for quite some time."
+    page = f"<html><head><title>T</title></head><body><div><p>A menu line that is rather long but <a href=x>only links, links, links and links</a></p></div><div><p>{story}</p><p>{story}</p><pre><code class='language-py'>def f():\n    return 1, 2, 3</code></pre></div></body></html>"
+    assert dom.dense_text(page).startswith(story) and "menu" not in dom.dense_text(page) and "```py" in dom.dense_text(page)
+    assert dom.tiered(page, [("bad", lambda h: 1 / 0), ("short", lambda h: "x"), ("dense", dom.dense_text)])[2] == "dense"
+    assert dom.tiered(" ") == ("", "", "none") and dom.tiered("<p>x</p>", [("dense", dom.dense_text)]) == ("", "x", "strip")
+    rows = html_text(spark.createDataFrame([("u", page), ("v", None)], "page_url string, html string"), [("dense", dom.dense_text)]).collect()
+    assert [(r.page_url, r.title, r.method) for r in rows] == [("u", "T", "dense"), ("v", "", "none")]
