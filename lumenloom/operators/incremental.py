@@ -160,16 +160,18 @@ def keep_by_rounds(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         settled = new
 
 
-def resolve_entities(mentions: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """name, seq, embedding (of unit length): in order, a mention becomes an alias of the nearest entity over the threshold or a new entity. name, entity_id,
-    canonical_name."""
-    ids = mentions.select(F.col("seq").alias("id"), "seq", "embedding")
-    found = greedy_by_pairs(ids, threshold)
-    named = mentions.select(F.col("seq").alias("id"), "name")
-    first = named.withColumnsRenamed({"id": "duplicate_of", "name": "canonical"})
-    out = named.join(found, "id").join(first, "duplicate_of", "left")
-    canonical = F.coalesce("canonical", "name")
-    return out.select("name", tx.entity_id(canonical).alias("entity_id"), canonical.alias("canonical_name"))
+def resolve_entities(mentions: DataFrame, threshold: float = 0.75, known: DataFrame | None = None) -> DataFrame:
+    """name (each once), seq, embedding (of unit length): a mention becomes an alias of the nearest known entity (canonical_name, embedding) over the
+    threshold; the others, in order of seq, of the nearest entity among them before, or a new entity. name, entity_id, canonical_name."""
+    rest = mentions.select(F.col("name").alias("id"), "seq", "embedding")
+    old = None
+    if known is not None:
+        old = matches(rest, known.select(F.col("canonical_name").alias("id"), "embedding"), threshold, best=True).select("id", F.col("match").alias("duplicate_of")).checkpoint()
+        rest = rest.join(old.select("id"), "id", "left_anti").checkpoint()
+    found = greedy_by_pairs(rest, threshold)
+    found = found if old is None else found.union(old)
+    canonical = F.coalesce("duplicate_of", "id")
+    return found.select(F.col("id").alias("name"), tx.entity_id(canonical).alias("entity_id"), canonical.alias("canonical_name"))
 
 
 def aliases(resolved: DataFrame) -> DataFrame:

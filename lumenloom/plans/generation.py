@@ -33,16 +33,18 @@ def extract_entities(chunks: DataFrame, llm: Llm) -> DataFrame:
     return found.select("chunk_id", F.explode("e").alias("e")).select("chunk_id", F.trim("e.name").alias("name"), F.coalesce("e.definition", F.lit("")).alias("definition")).filter("name <> ''")
 
 
-def link_entities(mentions: DataFrame, embedder: Embedder, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """(entities, chunk_entities) of mentions (chunk_id, name, definition): names that mean the same become one entity, in order of first mention."""
-    from pyspark.sql import Window
-
+def link_entities(mentions: DataFrame, embedder: Embedder, threshold: float = 0.75, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, chunk_entities) of mentions (chunk_id, name, definition): names that mean the same become one entity, in order of first mention. Names near
+    a stored entity (canonical_name, definition, aliases, entity_embedding) are its aliases, added to those that it has."""
     first = mentions.groupBy("name").agg(F.min(F.struct("chunk_id", "definition")).alias("m")).select("name", "m.chunk_id", "m.definition")
-    # Names, not mentions, are put in order: one row each.
-    seq = first.withColumn("seq", F.row_number().over(Window.orderBy("chunk_id", "name")))
-    named = embed(seq, embedder, "name").checkpoint()
-    resolved = incremental.resolve_entities(named.filter("embedding is not null").select("name", "seq", "embedding"), threshold).checkpoint()
-    entities = incremental.aliases(resolved).join(named.select(F.col("name").alias("canonical_name"), "definition", F.col("embedding").alias("entity_embedding")), "canonical_name")
+    named = embed(first.withColumn("seq", F.struct("chunk_id", "name")), embedder, "name").checkpoint()
+    known = None if stored is None else stored.filter("entity_embedding is not null").select("canonical_name", F.col("entity_embedding").alias("embedding"))
+    resolved = incremental.resolve_entities(named.filter("embedding is not null").select("name", "seq", "embedding"), threshold, known).checkpoint()
+    facts = named.select(F.col("name").alias("canonical_name"), "definition", F.col("embedding").alias("entity_embedding"), F.expr("array()").cast("array<string>").alias("_had"))
+    if stored is not None:
+        old = stored.filter("entity_embedding is not null").select("canonical_name", "definition", "entity_embedding", F.coalesce("aliases", F.expr("array()").cast("array<string>")).alias("_had"))
+        facts = old.union(facts.join(old, "canonical_name", "left_anti"))
+    entities = incremental.aliases(resolved).join(facts, "canonical_name").withColumn("aliases", F.array_sort(F.array_union("aliases", "_had")))
     links = mentions.join(resolved, "name").select("chunk_id", "entity_id").distinct()
     return entities.select("entity_id", "canonical_name", "definition", "aliases", "entity_embedding"), links
 

@@ -141,6 +141,10 @@ def test_generation(spark):
     assert [tuple(r) for r in mentions.collect()] == [("1", "GIL", "a lock")]
     entities, links = g.link_entities(mentions, EMB)
     assert entities.first().canonical_name == "GIL" and links.count() == 1
+    more = spark.createDataFrame([("2", "the GIL", "d2"), ("3", "borrow checker", "d3")], "chunk_id string, name string, definition string")
+    again, more_links = g.link_entities(more, EMB, 0.3, entities)
+    rows = {r.canonical_name: (r.definition, r.aliases) for r in again.collect()}
+    assert rows == {"GIL": ("a lock", ["the GIL"]), "borrow checker": ("d3", [])} and more_links.count() == 2
     assert g.score_answer(ScriptedLlm(default='{"relevance": 2, "groundedness": 0.5, "completeness": 0}'), "q", "a", "c") == (1.0, 0.5, 0.0)
     assert all(map(math.isnan, g.score_answer(ScriptedLlm(default="?"), "q", "a", "c")))
 
