@@ -19,17 +19,18 @@ ignored, and an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, hashes, materialize, mix64, small_batches, words_of
-from .tokens import public_path, public_pattern, vocabulary
+from .common import materialize, mix64, small_batches, words_of
+from .tokens import joint, public_path, public_pattern, vocabulary
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 SPACES = " \t\n\v\f\r"
@@ -96,33 +97,39 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def token_measures(ids: np.ndarray, chars: int, fallback: np.ndarray) -> tuple[float, float, float]:
-    n = len(ids)
-    if not n:
-        return 0.0, 0.0, 0.0
-    share = np.unique(ids, return_counts=True)[1] / n
-    entropy = float(-(share * np.log2(share)).sum()) / max(np.log2(n), 1.0)
-    return chars / n, float(fallback[ids].mean()), entropy
+def token_measures(ids: np.ndarray, chars: int, fallback: np.ndarray, starts: Sequence[int] = (0,)) -> tuple[float, ...]:
+    """The three measures of each vocabulary; its ids go from its start to the next one's. The ids' order doesn't matter."""
+    values, counts = np.unique(ids, return_counts=True)
+    out: tuple[float, ...] = ()
+    for a, b in pairwise([*np.searchsorted(values, np.asarray(starts, values.dtype)).tolist(), len(values)]):
+        n = int(counts[a:b].sum())
+        if n:
+            share = counts[a:b] / n
+            entropy = float(-(share * np.log2(share)).sum()) / max(np.log2(n), 1.0)
+            out += chars / n, int(counts[a:b][fallback[values[a:b]]].sum()) / n, entropy
+        else:
+            out += 0.0, 0.0, 0.0
+    return out
 
 
 def measure(docs: DataFrame, how: Fertility = Fertility()) -> DataFrame:
     """doc_id, lang, the base measures, and three measures for each vocabulary; a row for each row."""
     small_batches(docs.sparkSession)
     pattern = public_pattern()
-    paths = [f"{how.folder}/{v}" if how.folder else public_path(v) for v in how.vocabularies]
+    paths = tuple(f"{how.folder}/{v}" if how.folder else public_path(v) for v in how.vocabularies)
     base = ["chars", "bytes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     fertility = [f"{m}_{i}" for i in range(len(paths)) for m in MEASURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, vocabs = WordHash(250_000), [(vocabulary(p, pattern), _fallback(p, pattern)) for p in paths]
+        ids, fallback = joint(paths, pattern), np.concatenate([_fallback(p, pattern) for p in paths])
         for batch in batches:
             rows = []
             for text in batch.column(2).to_pylist():
                 text = text or ""
                 words = words_of(text)
-                row: list = [len(text), len(text.encode("utf-8", "surrogatepass")), len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(hashes(words, memo))]
-                for vocab, fallback in vocabs:
-                    row += token_measures(np.frombuffer(vocab.of(text), "<u4"), len(text), fallback)
+                h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)  # only compared within the text
+                row: list = [len(text), len(text.encode("utf-8", "surrogatepass")), len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(h)]
+                row += token_measures(ids.of(text), len(text), fallback, ids.starts)
                 rows.append(row)
             cols = list(zip(*rows)) or [[]] * (len(base) + len(fertility))
             arrays = [pa.array(c, pa.int64()) for c in cols[: len(base)]] + [pa.array(c, pa.float64()) for c in cols[len(base) :]]
