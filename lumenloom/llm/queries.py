@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, fingerprint, html_extract, line_dedup, mixing, near_dup, packing, toxicity, url_filter, warc
+from . import fertility, fingerprint, html_extract, infill, line_dedup, mixing, near_dup, packing, toxicity, url_filter, warc
 from .common import table
 
 #: Path rules of op10: verdict, host, path.
@@ -64,6 +64,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), PATH_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.infill(table(spark, sf_dir, "documents"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(again.cast("binary"), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +83,7 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_warc_archive,
         op10_url_filter,
+        op11_fill_in_middle,
     )
 }
 
@@ -161,6 +168,22 @@ m AS (
   FROM b LEFT JOIN r ON (b.host = r.h OR ends_with(b.host, '.' || r.h)) AND starts_with(b.path, r.p)
 )
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {_ANY_PATTERN} THEN 'block' ELSE 'allow' END) AS verdict FROM m WHERE nth = 1
+""",
+    "op11_fill_in_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), k AS (
+  SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS h1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS h2,
+    ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM t
+), c AS (
+  SELECT doc_id, text, n, CASE WHEN text = '' OR h3 >= 50 OR regexp_matches(text, '<[PSM]>') THEN 'plain' WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(h1, h2)], '') AS p, array_to_string(u[least(h1, h2) + 1:greatest(h1, h2)], '') AS m, array_to_string(u[greatest(h1, h2) + 1:], '') AS s FROM k
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
 """,
 }
 
