@@ -59,7 +59,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table from materialize() that nothing reads any more."""
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, fingerprint, html_extract, infill, line_dedup, mixing, near_dup, packing, toxicity, url_filter, warc
+from . import fertility, fingerprint, html_extract, infill, line_dedup, mixing, near_dup, packing, prefix_trie, toxicity, url_filter, warc
 from .common import table
 
 #: Path rules of op10: verdict, host, path.
@@ -70,6 +70,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(again.cast("binary"), 256).alias("restored_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.replayed_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +88,7 @@ QUERIES = {
         op9_warc_archive,
         op10_url_filter,
         op11_fill_in_middle,
+        op13_prefix_trie,
     )
 }
 
@@ -184,6 +189,33 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
   sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
   sha256(text) AS restored_sha256
 FROM c
+""",
+    # Sequences are compared as lists of whole turns; a subtree is found through the members of its top.
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), l AS (SELECT c, list(x ORDER BY i) AS xs FROM t GROUP BY c),
+h AS (
+  SELECT c, xs, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda p, q: CASE WHEN p % 2 = 1 THEN xor(p >> 1, 3988292384) ELSE p >> 1 END))) % 6 AS h
+  FROM l
+), s AS (
+  SELECT h.c, list_concat(coalesce(f.xs[1:h.h], []), h.xs[h.h + 1:]) AS xs FROM h LEFT JOIN l f ON f.c = h.c - h.c % 100
+), p AS (SELECT c, len(xs)::BIGINT AS n, unnest(range(0, len(xs) + 1))::BIGINT AS depth, xs FROM s),
+k AS (SELECT c, n, depth, xs[1:depth] AS seq, min(c) OVER (PARTITION BY depth, xs[1:depth]) AS conv_id FROM p),
+g AS (
+  SELECT conv_id, depth, count(*)::BIGINT AS n_convs, (count(*) - 1) * coalesce(any_value(length(seq[depth].t)), 0) AS own,
+    sha256(coalesce(string_agg(CASE WHEN n = depth THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM k GROUP BY conv_id, depth
+), u AS (SELECT g.*, k.conv_id AS parent_conv_id FROM g LEFT JOIN k ON k.c = g.conv_id AND k.depth = g.depth - 1),
+v AS (SELECT u.*, (SELECT count(*) FROM u y WHERE y.parent_conv_id = u.conv_id AND y.depth = u.depth + 1)::BIGINT AS n_children FROM u),
+a AS (
+  SELECT k.conv_id AS top, k.depth AS top_depth, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(v.own)::BIGINT AS saved_tokens
+  FROM v JOIN k ON k.c = v.conv_id AND k.depth <= v.depth GROUP BY k.conv_id, k.depth
+)
+SELECT v.conv_id, v.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM v JOIN a ON a.top = v.conv_id AND a.top_depth = v.depth
 """,
 }
 
