@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, fingerprint, html_extract, infill, line_dedup, mixing, near_dup, packing, prefix_trie, toxicity, url_filter, warc
+from . import fertility, fingerprint, html_extract, infill, language, line_dedup, mixing, near_dup, packing, prefix_trie, toxicity, url_filter, warc
 from .common import table
 
 #: Path rules of op10: verdict, host, path.
@@ -70,6 +70,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(again.cast("binary"), 256).alias("restored_sha256"))
 
 
+def op12_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs, ~language.held_out()))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.replayed_trie(table(spark, sf_dir, "conversations"))
 
@@ -88,6 +94,7 @@ QUERIES = {
         op9_warc_archive,
         op10_url_filter,
         op11_fill_in_middle,
+        op12_language_spans,
         op13_prefix_trie,
     )
 }
