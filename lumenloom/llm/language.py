@@ -12,7 +12,7 @@ is by how much the spans' words fit it better than the next best language, in su
 Most texts stay with one language. That is proven without the path: where no run of words gains more than half the penalty in any other language than the text's
 best, every path with switches loses. Other texts take the path word by word. Both give the same spans.
 
-Fitting counts the n-grams of at most `max_texts` different texts a language (those of the smallest hashes of the text, so at random), by hashes of 2 ** `bits` values: at most
+Fitting counts the n-grams of at most `max_texts` different texts of each of at most `max_langs` languages (those of the smallest hashes of the text, so at random), by hashes of 2 ** `bits` values: at most
 2 ** bits counts a language reach the driver, and as many numbers are broadcast. A task holds a block of 2 ** 18 characters with its n-grams at
 once, and of a long text only its words' scores.
 
@@ -54,6 +54,7 @@ class Language:
     order: int = 4  # longest n-gram
     bits: int = 17
     max_texts: int = 1000  # fitted on, a language
+    max_langs: int = 256  # more are an error
     script_share: float = 0.005
     bound: float = 8.0
     penalty: float = 16.0
@@ -253,11 +254,12 @@ def fit(docs: DataFrame, learn: Column, how: Language = Language()) -> Model:
     rows = docs.filter(learn).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text <> ''")
     rows = rows.withColumn("h", F.xxhash64("text"))
     # The smallest hashes: a share by the estimated number of different texts, twice over, then exactly the first ones.
-    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * how.max_texts) / F.col("n"))
-    near = kinds.select(F.col("lang").alias("l"), (share * F.lit(2.0**63)).alias("most"))
-    below = F.shiftrightunsigned("h", 1).cast("double") < F.col("most")
-    sample = rows.join(near, (F.col("lang") == F.col("l")) & below).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).limit(how.max_langs + 1).collect()}
+    if len(counts) > how.max_langs:
+        raise ValueError(f"more than {how.max_langs} languages")
+    # Settled where a row is read, so that only the sample moves.
+    most = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * how.max_texts / n) * 2.0**63)])[F.col("lang")] if counts else F.lit(0.0)
+    sample = rows.filter(F.shiftrightunsigned("h", 1).cast("double") < most).groupBy("lang", "h").agg(F.min("text").alias("text"))
     first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h")  # about 2 * max_texts rows
     sample = sample.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= how.max_texts).select("lang", "text")
 
