@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..shipping import ship
+from .folders import written
+from .similarity import Cells, SimilarityJoin, greedy_filter
 
 
 def changes(seen: DataFrame, known: DataFrame) -> DataFrame:
@@ -92,55 +94,21 @@ def similar_pairs(rows: DataFrame, threshold: float, planes: int = 12, tables: i
     return pairs.join(va, "a").join(vb, "b").select("a", "b", dot(F.col("ea"), F.col("eb")).alias("similarity")).filter(F.col("similarity") > threshold)
 
 
-def matches(queries: DataFrame, corpus: DataFrame, threshold: float, block: int = 20_000, best: bool = False) -> DataFrame:
-    """(id, match, similarity) with similarity over the threshold between rows (id, embedding) of queries and of corpus: exact. Queries are a
-    stated set and go in blocks; each block is held in every worker while the corpus is read once. With `best` only the best match of each
-    query (the smallest of equals)."""
-    spark = queries.sparkSession
-    ship(spark)
-    kind, other = (df.schema["id"].dataType.simpleString() for df in (queries, corpus))
-    rows = queries.select("id", "embedding").filter("embedding is not null").checkpoint()
-    blocks = -(-rows.count() // block)
-    out = None
-    for number in range(blocks):
-        held = rows.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).toArrow()
-        shared = spark.sparkContext.broadcast((held.column(0).to_pylist(), np.array(held.column(1).to_pylist(), float)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                found = np.array(batch.column(1).to_pylist(), float) @ matrix.T
-                r, c = np.nonzero(found > threshold)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in c.tolist()], query_type), batch.column(0).take(pa.array(r)), pa.array(found[r, c])], names=["id", "match", "similarity"])
-
-        query_type = held.column(0).type
-        part = corpus.select("id", "embedding").filter("embedding is not null").mapInArrow(run, f"id {kind}, match {other}, similarity double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return queries.select("id", F.lit(None).cast(other).alias("match"), F.lit(0.0).alias("similarity")).limit(0)
-    if best:
-        top = out.groupBy("id").agg(F.max(F.struct("similarity")).alias("top"))
-        out = out.join(top, "id").filter(F.col("similarity") == F.col("top.similarity")).groupBy("id").agg(F.min("match").alias("match"), F.first("similarity").alias("similarity"))
-    return out
+def matches(queries: DataFrame, corpus: DataFrame, threshold: float, block: int = 4096, best: bool = False) -> DataFrame:
+    """(id, match, similarity) with similarity over the threshold between rows (id, embedding of unit length) of queries and of corpus: exact. With `best` only the best
+    match of each query (the smallest of equals). Neither side is held whole anywhere."""
+    found = SimilarityJoin(queries, corpus, threshold, Cells(block=block))
+    return found.best() if best else found.pairs()
 
 
 def greedy_by_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """greedy_duplicates for a whole table (id, seq, embedding): id, duplicate_of. All similar pairs are found in blocks, equal vectors collapsed
-    first, and settled in rounds; no task holds the table."""
-    rows = rows.select("id", "seq", "embedding")
-    place = F.struct("seq", "id")
-    first = rows.groupBy("embedding").agg(F.min(place).alias("first")).select(F.col("first.id").alias("id"), F.col("first.seq").alias("seq"), "embedding").checkpoint()
-    found = matches(first, first, threshold).filter("id <> match")
-    seq = first.select(F.col("id").alias("match"), F.col("seq").alias("ms"))
-    pairs = found.join(seq, "match").join(first.select("id", "seq"), "id").filter(F.struct("ms", "match") < F.struct("seq", "id"))
-    pairs = pairs.select(F.col("match").alias("a"), F.col("id").alias("b"), "similarity", "ms").checkpoint()
-    kept = keep_by_rounds(first, pairs)
-    near = pairs.join(kept.filter("kept").select(F.col("id").alias("a")), "a", "left_semi")
-    # The most similar of the kept ones before it; of equals the first.
-    best = near.groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct((-F.col("similarity")).alias("s"), "ms", "a")).alias("duplicate_of"))
-    settled = first.join(best, "id", "left").select(F.col("id").alias("head"), "embedding", "duplicate_of")
+    """greedy_duplicates for a whole table (id, seq, embedding of unit length): id, duplicate_of. Equal vectors are collapsed first; no task holds the table."""
+    rows = rows.select("id", "seq", "embedding").filter("embedding is not null")
+    first = rows.groupBy("embedding").agg(F.min(F.struct("seq", "id")).alias("first")).select("first.id", "first.seq", "embedding")
+    # Sorted by ranges, so that numbers rise from partition to partition.
+    numbered = first.orderBy("seq", "id").select("id", F.monotonically_increasing_id().alias("n"), "embedding")
+    numbered = written(numbered, "numbered")
+    settled = numbered.select("id", "embedding").join(greedy_filter(numbered, threshold).select("id", "duplicate_of"), "id").select(F.col("id").alias("head"), "embedding", "duplicate_of")
     # A vector equal to an earlier one repeats it, or what that one repeats.
     out = rows.join(settled, "embedding")
     return out.select("id", F.coalesce("duplicate_of", F.when(F.col("id") != F.col("head"), F.col("head"))).alias("duplicate_of"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import urls
 from ..plans.schemas import DEFAULTS, KEYS, TABLES
+from . import folders
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -135,12 +136,7 @@ class Store:
         return f"{self.folder}/{name}/CURRENT"
 
     def _version(self, name: str) -> str | None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._pointer(name))
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(self._pointer(name), wholetext=True).first()[0].strip()
+        return folders.read_pointer(self.spark, self._pointer(name))
 
     def read(self, name: str) -> DataFrame:
         version = self._version(name)
@@ -152,19 +148,7 @@ class Store:
         """A new version; the pointer moves once it is whole, by a rename that replaces the old one in one step."""
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.folder}/{name}/{version}")
-        jvm = self.spark.sparkContext._jvm
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        pointer = jvm.org.apache.hadoop.fs.Path(self._pointer(name))
-        temporary = jvm.org.apache.hadoop.fs.Path(f"{self._pointer(name)}.{version}")
-        fs = pointer.getFileSystem(hadoop)
-        out = fs.create(temporary, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        kind = jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(kind, 1)
-        options[0] = kind.OVERWRITE
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), hadoop)
-        context.rename(fs.makeQualified(temporary), fs.makeQualified(pointer), options)
+        folders.move_pointer(self.spark, self._pointer(name), version)
 
     def append(self, name: str, rows: DataFrame) -> None:
         """More rows of a table whose rows never change: files beside those of the present version."""

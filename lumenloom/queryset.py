@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions import urls
 from .functions import vectors as vx
-from .operators import chunking, evaluation, fusion, graph, incremental, retrieval, store
+from .operators import chunking, evaluation, folders, fusion, graph, incremental, postings, retrieval, store
 from .plans.settings import Settings
 
 QUERIES: dict = {}
@@ -88,6 +88,41 @@ def bm25_batch(spark, d):
     return retrieval.bm25_batch(retrieval.postings(chunks), retrieval.chunk_lengths(chunks), qs).select("query_id", "chunk_id", F.round("raw", 6).alias("score"))
 
 
+def _kept_index(spark, d):
+    """A stored index over the documents that has seen changes: labelled documents came with other texts first, benchmark passages came and went."""
+    index = postings.Postings(spark, folders.shared_folder(spark, "postings"))
+    chunks, labelled = _chunks(spark, d).select("chunk_id", "text"), T(spark, d, "labels").select(F.col("doc_id").alias("chunk_id")).distinct()
+    guests = T(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("chunk_id"), "text")
+    stale = chunks.join(labelled, "chunk_id", "left_semi").withColumn("text", F.concat(F.lit("the stale "), F.reverse("text")))
+    index.add(chunks.join(labelled, "chunk_id", "left_anti").unionByName(stale).unionByName(guests))
+    index.add(chunks.join(labelled, "chunk_id", "left_semi"))
+    index.delete(guests.select("chunk_id"))
+    return index
+
+
+@query(f"WITH {_BM25} SELECT chunk_id, round(raw, 6) AS score FROM bm ORDER BY raw DESC, chunk_id LIMIT 50")
+def postings_topk(spark, d):
+    return _kept_index(spark, d).search(QUESTION, 50).select("chunk_id", F.round("raw", 6).alias("score"))
+
+
+@query(
+    f"""WITH {_TOK}, q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z][a-zA-Z0-9_-]*'), lambda t: CASE WHEN len({_SUB}) > 1 THEN list_concat([lower(t)], list_transform({_SUB}, lambda p: lower(p))) ELSE [lower(t)] END))[1:12]) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT doc_id AS chunk_id, unnest(toks) AS term FROM tok) GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len(toks)) AS a FROM tok), l AS (SELECT doc_id AS chunk_id, len(toks) AS dl FROM tok),
+i AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM p, st GROUP BY term, n),
+s AS (SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS raw FROM p JOIN q USING (term) JOIN i USING (term) JOIN l USING (chunk_id), st GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS r, max(raw) OVER (PARTITION BY query_id) AS top FROM s WHERE raw > 0)
+SELECT query_id, r::INT AS place, round(raw / top, 6) AS score FROM r WHERE r <= 10"""
+)
+def postings_batch(spark, d):
+    """The first twelve words of every benchmark passage as a query, all in one plan."""
+    words = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(tx.tokenize(F.coalesce("text", F.lit(""))), 1, 12)).alias("term"))
+    index = postings.Postings(spark, folders.shared_folder(spark, "postings"))
+    index.add(_chunks(spark, d))
+    got = index.search_many(words.groupBy("query_id", "term").agg(F.count("*").alias("qtf")), 10)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), "chunk_id"))
+    return got.select("query_id", place.alias("place"), F.round("raw", 6).alias("score"))
+
+
 @query(f"WITH {_COS} SELECT chunk_id, round(raw, 6) AS score FROM co ORDER BY raw DESC, chunk_id LIMIT 25")
 def cosine_topk(spark, d):
     return retrieval.cosine(_vectors(spark, d), _query_vector(spark, d), 25).select("chunk_id", F.round("raw", 6).alias("score"))
