@@ -220,12 +220,31 @@ def html_images(pages: DataFrame) -> DataFrame:
 # Code
 
 #: Languages by file extension.
-LANGUAGES = {
-    "python": "py pyi pyw", "go": "go", "java": "java kt kts groovy gradle", "javascript": "js jsx mjs cjs", "typescript": "ts tsx mts cts", "html": "html htm xhtml svelte vue", "bash": "sh bash zsh fish ksh", "c_sharp": "cs",
-    "xml": "csproj fsproj vbproj sln props targets nuspec xml xsl xsd svg plist xaml resx", "c": "c h", "cpp": "cpp cxx cc hpp hxx hh", "rust": "rs", "ruby": "rb rake", "hcl": "tf tfvars hcl", "dockerfile": "dockerfile", "yaml": "yaml yml", "toml": "toml",
-    "json": "json jsonc", "css": "css scss less", "sql": "sql", "protobuf": "proto", "markdown": "md markdown", "restructuredtext": "rst",
+EXTENSIONS = {
+    "py": "python", "pyi": "python", "pyw": "python",
+    "go": "go",
+    "java": "java", "kt": "java", "kts": "java", "groovy": "java", "gradle": "java",
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript",
+    "html": "html", "htm": "html", "xhtml": "html", "svelte": "html", "vue": "html",
+    "sh": "bash", "bash": "bash", "zsh": "bash", "fish": "bash", "ksh": "bash",
+    "cs": "c_sharp",
+    "csproj": "xml", "fsproj": "xml", "vbproj": "xml", "sln": "xml", "props": "xml", "targets": "xml", "nuspec": "xml", "xml": "xml", "xsl": "xml", "xsd": "xml", "svg": "xml", "plist": "xml", "xaml": "xml", "resx": "xml",
+    "c": "c", "h": "c",
+    "cpp": "cpp", "cxx": "cpp", "cc": "cpp", "hpp": "cpp", "hxx": "cpp", "hh": "cpp",
+    "rs": "rust",
+    "rb": "ruby", "rake": "ruby",
+    "tf": "hcl", "tfvars": "hcl", "hcl": "hcl",
+    "dockerfile": "dockerfile",
+    "yaml": "yaml", "yml": "yaml",
+    "toml": "toml",
+    "json": "json", "jsonc": "json",
+    "css": "css", "scss": "css", "less": "css",
+    "sql": "sql",
+    "proto": "protobuf",
+    "md": "markdown", "markdown": "markdown",
+    "rst": "restructuredtext",
 }
-EXTENSIONS = {e: language for language, names in LANGUAGES.items() for e in names.split()}
 #: Files to index, those that are documents, and folders to leave out.
 INDEXABLE = "py js ts tsx jsx cs java go rb rs c cpp h hpp swift kt scala md rst txt yaml yml json toml html css scss sql sh bash dockerfile".split()
 DOCUMENTS = "md rst txt yaml yml json toml".split()
@@ -414,7 +433,7 @@ def chunk_code(files: DataFrame, branch: str = "", small: int = 500) -> DataFram
 
 def embedding_prefix(language: str, namespace: str, name: str, text: str) -> str:
     """What is embedded for a code chunk: language, qualified name and declared names before the text."""
-    names = [next(filter(None, m.groups())) for p in tx.DECLARATIONS for m in re.finditer(p, text)]
+    names = [next(filter(None, m.groups())) for m in re.finditer(tx.DECLARATION, text)]
     head = " — ".join(filter(None, (language, ".".join(filter(None, (namespace, name))), ", ".join(dict.fromkeys(names)))))
     return f"{head}\n{text}" if head else text
 

@@ -23,6 +23,7 @@ from .providers import Fetcher
 class RateLimit:
     """At least a random wait between requests to one host; search and wiki hosts have bounds of their own."""
 
+    #: Seconds between requests, at least and at most.
     BOUNDS = {"default": (1.0, 3.0), "search": (4.0, 8.0), "wiki": (0.5, 1.5)}
 
     def __init__(self, kind: str = "default", clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, seed: int = 0):
