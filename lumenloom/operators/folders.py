@@ -59,3 +59,13 @@ def move_pointer(spark: SparkSession, name: str, text: str) -> None:
 def remove(spark: SparkSession, name: str) -> None:
     path, fs = _path(spark, name)
     fs.delete(path, True)
+
+
+def names_below(spark: SparkSession, name: str) -> list[str]:
+    path, fs = _path(spark, name)
+    return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def numbers_below(spark: SparkSession, name: str, prefix: str) -> list[int]:
+    """The numbers n of the folders `prefix`n."""
+    return sorted(int(x.removeprefix(prefix)) for x in names_below(spark, name) if x.startswith(prefix))

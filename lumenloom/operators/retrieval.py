@@ -235,9 +235,15 @@ def text_cosine(chunks: DataFrame, query: str, query_vector: list[float], terms:
     return best(out.filter("base is not null").select("chunk_id", (F.col("base") + F.col("extra")).alias("raw")), limit)
 
 
-def maxsim_signal(tokens: DataFrame, query: list[list[float]], candidates: int | None = None, fde_query: list[float] | None = None, limit: int | None = None) -> DataFrame:
+def boosts(chunks: DataFrame, terms: list[str], identifiers: list[str]) -> DataFrame:
+    """chunk_id, extra: the three boosts of a chunk's text together."""
+    named = chunks.select("chunk_id", (F.greatest(identifier_boost(F.col("text"), terms), F.lit(0.0)) + mention_boost(F.col("text"), identifiers)).alias("named"))
+    return named.join(term_boost(chunks, terms), "chunk_id", "left").select("chunk_id", (F.col("named") + F.coalesce("boost", F.lit(0.0))).alias("extra"))
+
+
+def maxsim_signal(tokens: DataFrame, query: list[list[float]], candidates: int | None = None, fde_query: list[float] | None = None, limit: int | None = None, extra: DataFrame | None = None) -> DataFrame:
     """Late interaction with soft token weights. tokens: chunk_id, tokens (matrix) and fde. The candidates are the best by fixed encoding, all
-    without one; token weights come from one aggregate over them."""
+    without one; token weights come from one aggregate over them. extra (chunk_id, extra) is added to the scores."""
     rows = tokens
     if candidates is not None and fde_query is not None:
         rows = tokens.filter("fde is not null").withColumn("s", vx.dot(F.col("fde"), vx.literal(fde_query))).orderBy(F.desc("s"), "chunk_id").limit(candidates).drop("s")
@@ -255,7 +261,10 @@ def maxsim_signal(tokens: DataFrame, query: list[list[float]], candidates: int |
     soft = [1 / (0.5 + F.col(f"m{i}")) for i in range(n)]
     total = sum(soft[1:], soft[0])
     parts = [F.col("best")[i] * soft[i] / total for i in range(n)]
-    return best(found.crossJoin(F.broadcast(means)).select("chunk_id", sum(parts[1:], parts[0]).alias("raw")), limit)
+    scored = found.crossJoin(F.broadcast(means)).select("chunk_id", sum(parts[1:], parts[0]).alias("raw"))
+    if extra is not None:
+        scored = scored.join(extra, "chunk_id", "left").select("chunk_id", (F.col("raw") + F.coalesce("extra", F.lit(0.0))).alias("raw"))
+    return best(scored, limit)
 
 
 def similar_code(chunks: DataFrame, query: list[float], k: int) -> DataFrame:

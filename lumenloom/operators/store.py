@@ -1,11 +1,13 @@
 """Tables and their changes. Parquet has no MERGE, so each change is a new table from the old one: by joins on the key, never by collecting.
 
-A Store keeps each table as numbered folders and a pointer file, so readers see a whole version, and writing never overwrites what is being read."""
+A Store keeps versions of a table's buckets and a pointer file, so readers see a whole version, and writing never overwrites what is being read."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from ..functions import urls
 from ..plans.schemas import DEFAULTS, KEYS, TABLES
 from . import folders
 
+#: The folder column of the tables' buckets.
+BUCKET = "_bucket"
+
 
 def last_wins(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The last row of each key."""
@@ -127,53 +132,117 @@ def last_activity(pages: DataFrame, chunks: DataFrame, searches: DataFrame) -> D
 
 
 class Store:
-    """The eight tables in a folder."""
+    """The tables in a folder. Rows lie in buckets by a hash of their key, and a pointer file says which versions of each bucket count: a change
+    rewrites only the buckets that it touches, and all of them appear at once, when the pointer moves. What a run that stopped had written is not pointed at."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
     def _pointer(self, name: str) -> str:
         return f"{self.folder}/{name}/CURRENT"
 
-    def _version(self, name: str) -> str | None:
-        return folders.read_pointer(self.spark, self._pointer(name))
-
-    def read(self, name: str) -> DataFrame:
+    def _version(self, name: str) -> dict | None:
+        """buckets (how many) and at (bucket -> versions); tables of one folder, as older stores have them, have no buckets."""
+        found = folders.read_pointer(self.spark, self._pointer(name))
+        if found is None:
+            return None
+        return json.loads(found) if found.startswith("{") else {"buckets": 0, "at": {"": [found]}}
+
+    def _files(self, name: str, version: dict, wanted: list[int] | None = None) -> list[str]:
+        top = f"{self.folder}/{name}"
+        if not version["buckets"]:
+            return [f"{top}/{v}" for v in version["at"][""]]
+        return [f"{top}/{v}/{BUCKET}={b}" for b, versions in version["at"].items() for v in versions if wanted is None or int(b) in wanted]
+
+    def read(self, name: str, wanted: list[int] | None = None) -> DataFrame:
+        """The table, or the rows of some of its buckets."""
         version = self._version(name)
-        if version is None:
+        paths = self._files(name, version, wanted) if version else []
+        if not paths:
             return self.spark.createDataFrame([], TABLES[name])
-        return migrate(self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/{name}/{version}"), name)
+        return migrate(self.spark.read.option("mergeSchema", "true").parquet(*paths), name)
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        """A new version; the pointer moves once it is whole, by a rename that replaces the old one in one step."""
+    def has(self, name: str) -> bool:
+        """Whether the table was ever written."""
+        return self._version(name) is not None
+
+    def bucket(self, name: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*KEYS[name]), F.lit(buckets)).cast("int")
+
+    def _put(self, name: str, rows: DataFrame, buckets: int) -> tuple[str, list[int]]:
+        """Write rows as a version: its name, and the buckets that have rows."""
         version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.folder}/{name}/{version}")
-        folders.move_pointer(self.spark, self._pointer(name), version)
+        placed = rows.withColumn(BUCKET, self.bucket(name, buckets))
+        placed.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.folder}/{name}/{version}")
+        return version, folders.numbers_below(self.spark, f"{self.folder}/{name}/{version}", f"{BUCKET}=")
+
+    def _point(self, name: str, buckets: int, at: dict[str, list[str]]) -> None:
+        folders.move_pointer(self.spark, self._pointer(name), json.dumps({"buckets": buckets, "at": at}))
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        """The table anew."""
+        version, filled = self._put(name, rows, self.buckets)
+        self._point(name, self.buckets, {str(b): [version] for b in filled})
 
     def append(self, name: str, rows: DataFrame) -> None:
         """More rows of a table whose rows never change: files beside those of the present version."""
+        before = self._version(name)
+        if before is None or not before["buckets"]:
+            self.write(name, rows if before is None else self.read(name).unionByName(rows))
+            return
+        version, filled = self._put(name, rows, before["buckets"])
+        self._point(name, before["buckets"], before["at"] | {str(b): [*before["at"].get(str(b), []), version] for b in filled})
+
+    def merge(self, name: str, rows: DataFrame | None = None, gone: DataFrame | None = None, now: Column | None = None, then: Callable[[DataFrame], DataFrame] | None = None, also: DataFrame | None = None) -> list[int] | None:
+        """Put rows in and take the keys `gone` out; `then` sees the result, of the buckets touched. `also` has keys of rows that `then` will change. A key that is in both
+        rows and gone is put in anew. Returns the buckets written (None: all)."""
         version = self._version(name)
-        if version is None:
-            self.write(name, rows)
-        else:
-            rows.write.mode("append").parquet(f"{self.folder}/{name}/{version}")
-
-    def upsert(self, name: str, rows: DataFrame, now: Column | None = None, old: DataFrame | None = None, then: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
-        """One new version: `old` (the present rows by default) with rows merged in, and `then` applied."""
-        now = F.current_timestamp() if now is None else now
-        old = self.read(name) if old is None else old
+        keys = KEYS[name]
+        parts = [df.select(*keys) for df in (rows, gone, also) if df is not None]
+        if not parts:
+            return []
+        touched = None
+        if version and version["buckets"]:
+            each = [df.select(self.bucket(name, version["buckets"]).alias("b")) for df in parts]
+            touched = sorted(r["b"] for r in reduce(DataFrame.unionByName, each).distinct().collect())  # at most as many as there are buckets
+            if not touched:
+                return []
+        old = self.read(name, touched)
+        if gone is not None:
+            old = old.join(gone.select(*keys).distinct(), keys, "left_anti").select(*old.columns)
+        out = old if rows is None else self._merged(name, old, rows, F.current_timestamp() if now is None else now)
+        out = then(out) if then else out
+        if touched is None:
+            self.write(name, out)
+            return None
+        fresh, filled = self._put(name, out, version["buckets"])
+        at = {b: v for b, v in version["at"].items() if int(b) not in touched} | {str(b): [fresh] for b in filled}
+        self._point(name, version["buckets"], at)
+        return touched
+
+    def _merged(self, name: str, old: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
         stamp = {"pages": "fetched_at", "chunks": "created_at", "images": "created_at", "entities": "created_at"}.get(name)
         if stamp and stamp not in rows.columns:
             rows = rows.withColumn(stamp, now)
         if name in ("page_links", "chunk_entities"):
-            out = insert_or_ignore(old, rows, KEYS[name])
-        elif name == "pages":
-            out = upsert(old, rows, KEYS[name], merge=["content_hash", "crawl_status"], defaults={"crawl_status": F.lit("active")})
-        elif name == "chunks":
-            out = upsert(old, rows, KEYS[name], keep=["corroboration_strength", "last_corroborated_at"], defaults={"corroboration_strength": F.lit(0.0), "last_corroborated_at": now, "content_type": F.lit("text"), "is_child": F.lit(False), "embedding_version": F.when(F.col("b.embedding").isNotNull(), 1).otherwise(0) if "embedding" in rows.columns else F.lit(0)})
-        else:
-            out = upsert(old, rows, KEYS[name], keep=["created_at"] if name == "entities" else [])
-        self.write(name, then(out))
+            return insert_or_ignore(old, rows, KEYS[name])
+        if name == "pages":
+            return upsert(old, rows, KEYS[name], merge=["content_hash", "crawl_status"], defaults={"crawl_status": F.lit("active")})
+        if name == "chunks":
+            return upsert(old, rows, KEYS[name], keep=["corroboration_strength", "last_corroborated_at"], defaults={"corroboration_strength": F.lit(0.0), "last_corroborated_at": now, "content_type": F.lit("text"), "is_child": F.lit(False), "embedding_version": F.when(F.col("b.embedding").isNotNull(), 1).otherwise(0) if "embedding" in rows.columns else F.lit(0)})
+        return upsert(old, rows, KEYS[name], keep=["created_at"] if name == "entities" else [])
+
+    def upsert(self, name: str, rows: DataFrame, now: Column | None = None) -> None:
+        self.merge(name, rows, now=now)
+
+    def vacuum(self, name: str) -> int:
+        """Remove the versions that nothing points at; how many they were. Not while others read or write the table."""
+        version = self._version(name)
+        held = {v for versions in version["at"].values() for v in versions} if version else set()
+        idle = [v for v in folders.names_below(self.spark, f"{self.folder}/{name}") if v not in held and not v.startswith("CURRENT")]
+        for v in idle:
+            folders.remove(self.spark, f"{self.folder}/{name}/{v}")
+        return len(idle)
 
     def log_search(self, query: str, count: int, now: Column | None = None) -> None:
         old = self.read("searches")

@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls
 from ..functions import vectors as vx
-from ..operators import chunking, fusion, graph, incremental, retrieval
+from ..operators import fusion, graph, incremental, retrieval
+from ..operators.folders import written
+from ..operators.postings import Postings
 from ..operators.store import Store, corroborate
-from ..sources.providers import Embedder, Fetcher, HashingEmbedder, HashingTokenEmbedder, Llm, Reranker, ScriptedLlm, Search, TokenEmbedder, embed, embed_tokens, fetch, json_between, rerank_logits, search_rows
+from ..sources.providers import Embedder, Fetcher, HashingEmbedder, HashingTokenEmbedder, Llm, Reranker, ScriptedLlm, Search, TokenEmbedder, ImageEmbedder, json_between, rerank_logits, search_rows
+from .fetching import safe_fetch
+from .ingest import Providers, ingest_pages
 from .settings import Settings
 
 
@@ -29,8 +33,9 @@ def unmigrated(chunks: DataFrame) -> DataFrame:
 
 
 class QueryEngine:
-    def __init__(self, spark: SparkSession, store: Store, embedder: Embedder | None = None, reranker: Reranker | None = None, llm: Llm | None = None, tokens: TokenEmbedder | None = None, settings: Settings = Settings()):
+    def __init__(self, spark: SparkSession, store: Store, embedder: Embedder | None = None, reranker: Reranker | None = None, llm: Llm | None = None, tokens: TokenEmbedder | None = None, settings: Settings = Settings(), code_embedder: Embedder | None = None, image_embedder: ImageEmbedder | None = None, postings: Postings | None = None):
         self.spark, self.store, self.settings = spark, store, settings
+        self.code_embedder, self.image_embedder, self.postings = code_embedder, image_embedder, postings
         self.embedder, self.reranker, self.llm, self.tokens = embedder or HashingEmbedder(), reranker, llm, tokens or HashingTokenEmbedder()
 
     def index(self) -> DataFrame:
@@ -44,13 +49,19 @@ class QueryEngine:
         s, depth = self.settings, k * self.settings.signal_depth
         terms = self.spark.range(1).select(tx.query_terms(F.lit(query)).alias("t"), tx.query_identifiers(F.lit(query)).alias("i"), tx.key_terms(F.lit(query)).alias("k")).first()
         vector = self.embedder.embed([query], "query")[0]
-        out = [fusion.ranked("bm25", retrieval.bm25(index, retrieval.query_tokens(self.spark, query), s, depth))]
+        counted = retrieval.query_tokens(self.spark, query)
+        words = self.postings.search(counted, depth) if self.postings is not None and counted else retrieval.bm25(index, counted, s, depth)
+        out = [fusion.ranked("bm25", words)]
         if vector is not None:
             focused = self.embedder.embed([terms["k"]], "query")[0] if terms["k"] else None
-            out.append(fusion.ranked("text_cosine", retrieval.text_cosine(index, query, vector, terms["t"], terms["i"], focused, limit=depth)))
+            out.append(fusion.ranked("text_cosine", retrieval.text_cosine(index, query, vector, terms["t"], terms["i"], focused, self._one(self.code_embedder, query), limit=depth)))
         if not ingest:
             members = index.select("chunk_id")
             authority = self.store.read("pages").select(F.col("url").alias("page_url"), "authority_score")
+            seen = self.image_embedder.embed_labels([query])[0] if self.image_embedder is not None else None
+            if seen is not None:
+                near = retrieval.images_signal(self.store.read("images"), seen).join(members, "chunk_id", "left_semi")
+                out.append(fusion.ranked("image_cosine", near, depth))
             out.append(fusion.ranked("graph", retrieval.graph_signal(index, authority)))
             if now is not None:
                 out.append(fusion.ranked("recency", retrieval.recency_signal(index, now, s)))
@@ -60,13 +71,17 @@ class QueryEngine:
             matrix = self.tokens.embed_tokens([query])[0]
             if matrix and not token_rows.isEmpty():
                 fde = vx.fixed_encoding(np.array(matrix, np.float32), vx.hyperplanes(s.fde_buckets, len(matrix[0]), s.fde_seed)).tolist()
-                out.append(fusion.ranked("maxsim", retrieval.maxsim_signal(token_rows, matrix, 3 * depth, fde, depth)))
+                out.append(fusion.ranked("maxsim", retrieval.maxsim_signal(token_rows, matrix, 3 * depth, fde, depth, retrieval.boosts(index, terms["t"], terms["i"]))))
             entities = self.store.read("entities")
             if vector is not None and not entities.isEmpty():
                 found = retrieval.entity_signal(entities, self.store.read("chunk_entities"), vector, s).join(members, "chunk_id", "left_semi")
                 out.append(fusion.ranked("entity", found))
         return fusion.union(out)
 
+    @staticmethod
+    def _one(embedder: Embedder | None, query: str) -> list[float] | None:
+        return embedder.embed([query], "query")[0] if embedder is not None else None
+
     def retrieve(self, query: str, k: int, weights: dict[str, float] | None = None, hyde: list[float] | None = None, now: str | None = None, ingest: bool = False) -> DataFrame:
         s, index = self.settings, self.index()
         wide = s.rerank_candidates if self.reranker is not None and not ingest else k
@@ -116,40 +131,6 @@ class QueryEngine:
         return self.store.status()
 
 
-def ingest_pages(store: Store, pages: DataFrame, embedder: Embedder, settings: Settings = Settings(), tokens: TokenEmbedder | None = None, chunker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """pages: url, html. Extract, skip what is unchanged, chunk, embed, filter near-duplicates against the whole store and within the batch, store.
-    chunker makes chunks (as chunk_paragraphs, with section_title) of the fresh pages (url, title, text, html). Returns url, change.
-
-    Chunks come first, in one version with the old pages' chunks left out, and pages last: a run that stops in between is
-    found as changed again, and makes the same chunks. (Its duplicates then corroborate their chunks a second time.)"""
-    s = settings
-    extracted = chunking.html_text(pages.select(F.col("url").alias("page_url"), "html")).withColumnRenamed("page_url", "url")
-    extracted = extracted.filter(F.length(F.trim("text")) >= s.min_content_chars).join(pages, "url").checkpoint()
-    known = store.read("pages")
-    changed = incremental.changes(extracted, known).checkpoint()
-    fresh = extracted.join(changed.filter("change <> 'unchanged'"), "url")
-    old = store.read("chunks")
-    kept_old = old.join(fresh.select(F.col("url").alias("page_url")), "page_url", "left_anti").select(*old.columns)
-    chunks = chunker(fresh) if chunker else chunking.chunk_paragraphs(fresh.select(F.col("url").alias("page_url"), "text"), s.paragraph_tokens).withColumn("section_title", F.lit(""))
-    chunks = embed(chunks, embedder).checkpoint()
-    embedded = chunks.filter("embedding is not null").select(F.col("chunk_id").alias("id"), F.struct("page_url", "chunk_no").alias("seq"), "embedding")
-    stored = kept_old.filter("embedding is not null and not coalesce(is_child, false)").select(F.col("chunk_id").alias("id"), "embedding")
-    of_store = incremental.matches(embedded, stored, s.duplicate_threshold, best=True).select("id", F.col("match").alias("duplicate_of"))
-    of_store = of_store.checkpoint()
-    of_batch = incremental.greedy_by_pairs(embedded.join(of_store, "id", "left_anti"), s.duplicate_threshold).filter("duplicate_of is not null")
-    duplicates = of_store.union(of_batch).checkpoint()
-    new = chunks.join(duplicates.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")
-    parents = new.select("chunk_id", "page_url", "section_title", "text", "embedding", "content_type", F.lit(None).cast("string").alias("parent_chunk_id"), F.lit(False).alias("is_child"), F.lit(1).alias("embedding_version"))
-    children = chunking.chunk_children(parents, s.child_tokens, keep_single=False)
-    children = embed(children, embedder).select("chunk_id", "page_url", "section_title", "text", "embedding", "content_type", "parent_chunk_id", "is_child", F.lit(1).alias("embedding_version"))
-    store.upsert("chunks", parents.unionByName(children) if s.parent_child else parents, old=kept_old, then=lambda rows: corroborate(rows, duplicates.select(F.col("duplicate_of").alias("chunk_id")), F.current_timestamp(), s.dedup_increment))
-    if tokens is not None:
-        store.upsert("chunk_token_embeddings", embed_tokens(store.read("chunks").select("chunk_id", "text"), tokens).filter("tokens is not null").select("chunk_id", "tokens", "token_count", "fde"))
-    store.upsert("page_links", chunking.html_links(fresh.select(F.col("url").alias("page_url"), "html")))
-    store.upsert("pages", fresh.select("url", "title", "html", F.col("text").alias("extracted_text"), "content_hash"))
-    return changed
-
-
 def refresh_graph(store: Store, settings: Settings = Settings()) -> None:
     """Centrality of pages by links; chunks of pages that rose are corroborated."""
     before = store.read("pages")
@@ -166,7 +147,8 @@ def refresh_graph(store: Store, settings: Settings = Settings()) -> None:
 class ResearchLoop:
     """Query, search, fetch, ingest, until nothing new comes."""
 
-    def __init__(self, spark: SparkSession, store: Store, llm: Llm, search: Search, fetcher: Fetcher, embedder: Embedder, resolver: urls.Resolver, settings: Settings = Settings(), progress: Callable[[str], None] = lambda text: None):
+    def __init__(self, spark: SparkSession, store: Store, llm: Llm, search: Search, fetcher: Fetcher, embedder: Embedder, resolver: urls.Resolver, settings: Settings = Settings(), progress: Callable[[str], None] = lambda text: None, providers: Providers | None = None):
+        self.providers = providers
         self.spark, self.store, self.llm, self.search, self.fetcher, self.embedder, self.resolver, self.settings, self.progress = spark, store, llm, search, fetcher, embedder, resolver, settings, progress
 
     def queries(self, prompt: str, context: str) -> list[str]:
@@ -186,8 +168,8 @@ class ResearchLoop:
             for q in asked:
                 self.store.log_search(q, counts.get(q, 0))
             fresh = incremental.unseen(found.select("url").distinct(), self.store.read("pages"))
-            got = fetch(urls.safe_rows(fresh, self.resolver), self.fetcher, urls.netloc(F.col("url"))).checkpoint()
-            changed = ingest_pages(self.store, got.select("url", "html"), self.embedder, self.settings)
+            got = written(safe_fetch(fresh, self.fetcher, self.resolver), "fetched")
+            changed = ingest_pages(self.store, got.select("url", "html"), self.embedder, self.settings, providers=self.providers)
             new = changed.filter("change = 'new'").count()
             refresh_graph(self.store, self.settings)
             pages += new

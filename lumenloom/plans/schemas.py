@@ -12,9 +12,13 @@ TABLES = {
     "chunk_token_embeddings": "chunk_id string, tokens array<array<float>>, token_count int, fde array<float>",
     "entities": "entity_id string, canonical_name string, definition string, aliases array<string>, entity_embedding array<float>, created_at timestamp",
     "chunk_entities": "chunk_id string, entity_id string",
+    "pending_changes": "chunk_id string, page_url string",
+    "embedding_memo": "kind string, text_hash string, embedding array<float>",
 }
 KEYS = {
     "pages": ["url"], "chunks": ["chunk_id"], "searches": ["id"], "images": ["image_id"], "page_links": ["source_url", "target_url"], "chunk_token_embeddings": ["chunk_id"], "entities": ["entity_id"], "chunk_entities": ["chunk_id", "entity_id"],
+    "pending_changes": ["chunk_id"],
+    "embedding_memo": ["kind", "text_hash"],
 }
 #: Values for columns that older tables lack.
 DEFAULTS = {"pages": {"crawl_status": "'active'"}, "chunks": {"content_type": "'text'", "is_child": "false", "embedding_version": "0", "corroboration_strength": "0.0D", "last_corroborated_at": "created_at"}, "images": {"is_chart": "false"}}

@@ -12,20 +12,16 @@ from ..functions import urls
 from ..operators import chunking
 from ..operators import store as tables
 from ..operators.store import Store
-from ..sources.providers import Embedder, Fetcher, fetch
-from .engine import ingest_pages, refresh_graph
+from ..sources.providers import Embedder, Fetcher
+from .engine import refresh_graph
+from .fetching import safe_fetch
+from .ingest import ingest_pages
 from .settings import Settings
 
 #: What became of a URL that the crawl met.
 OUTCOMES = ("fetched", "failed", "unsafe", "redirected away", "of a repository", "repository", "external", "beyond depth")
 
 
-def safe_fetch(todo: DataFrame, fetcher: Fetcher, resolver: urls.Resolver, wait: Callable[[str], None] | None = None) -> DataFrame:
-    """url, html, final_url: addresses are checked before a page is fetched and, as it may redirect, again after."""
-    got = fetch(urls.safe_rows(todo.select("url"), resolver), fetcher, urls.netloc(F.col("url")), wait)
-    return urls.safe_rows(got, resolver, "final_url")
-
-
 def with_browser(got: DataFrame, browser: Fetcher | None, resolver: urls.Resolver, wait: Callable[[str], None] | None = None) -> DataFrame:
     """Pages that need scripts are fetched again by a second fetcher; where it fails the first answer stays."""
     if browser is None:

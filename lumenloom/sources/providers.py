@@ -150,7 +150,7 @@ def embed_column(text: Column, embedder: Embedder, mode: str = "document") -> Co
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(embedder.embed(texts.tolist(), mode))
 
-    return run(text)
+    return run.asNondeterministic()(text)  # a filter on vectors is not to encode texts again
 
 
 def embed(df: DataFrame, embedder: Embedder, column: str = "text", to: str = "embedding", mode: str = "document") -> DataFrame:
@@ -165,18 +165,16 @@ def embed_tokens(df: DataFrame, embedder: TokenEmbedder, column: str = "text") -
     ship(df.sparkSession)
     from ..functions.vectors import fixed_encoding, hyperplanes
 
-    planes = hyperplanes()
+    planes = hyperplanes(dims=getattr(embedder, "dims", 128))
 
-    @F.pandas_udf("array<array<float>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(embedder.embed_tokens(texts.tolist()))
-
-    @F.pandas_udf("array<float>")
-    def encode(tokens: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else fixed_encoding(np.array([list(x) for x in t], np.float32), planes).tolist() for t in tokens])
+    @F.pandas_udf("tokens array<array<float>>, fde array<float>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = embedder.embed_tokens(texts.tolist())
+        return pd.DataFrame({"tokens": found, "fde": [None if t is None else fixed_encoding(np.array(t, np.float32), planes).tolist() for t in found]})
 
-    out = df.withColumn("tokens", run(F.col(column)))
-    return out.withColumn("token_count", F.size("tokens")).withColumn("fde", encode(F.col("tokens")))
+    # Not to be repeated for each column that is taken from it, nor for a filter.
+    out = df.withColumn("_made", run.asNondeterministic()(F.col(column)))
+    return out.select(*df.columns, F.col("_made.tokens").alias("tokens"), F.size("_made.tokens").alias("token_count"), F.col("_made.fde").alias("fde"))
 
 
 def fetch_images(images: DataFrame, download: Callable[[str], bytes | None], host: Column, tasks: int = 16) -> DataFrame:
