@@ -11,7 +11,8 @@ root on, the one child that holds `most` of the text is entered as long as it is
 headings passed on the way belong to the text. The element reached is the region, in pages with little text too. Names refine it:
 a region within an article grows to the article, a region around articles shrinks to them.
 Elements that are menus, headers, footers, sidebars, notices, adverts, forms or reader comments by name, role or class
-are never content, nor are scripts, styles and hidden elements. Text that is itself a template token is dropped. A page whose host
+are never content, nor are scripts, styles and hidden elements. Text that is itself a template token is dropped outside articles, and within a region
+only where most of the page's text there is its own: of near-copies on one host, which share most of it, all text stays. A page whose host
 has no template, or which doesn't fit it, is on its own: its articles, or else its main element, or else the element with most text.
 
 Copies of a page (equal html on one host) are one page for the vectors and counts, so that repeated rows change no template and
@@ -20,7 +21,7 @@ so a host with a third of all pages needs no more room than any other. Templates
 salt, so that no host is one task's.
 
 Defined results: null html gives an empty text, a null url or one without host is a host of its own without a
-template. Repeated rows are extracted alike. Block text has single spaces, blocks are joined by \\n, nothing is cut.
+template. Repeated rows are extracted alike. Block text has single spaces, blocks are joined by \\n; no text is cut.
 Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -333,6 +334,25 @@ def _nested(a: list[int], b: list[int]) -> bool:
     return bisect(a, b[0]) == bisect(a, b[-1]) or bisect(b, a[0]) == bisect(b, a[-1])
 
 
+def _below(node: Node | None, top: Node) -> bool:
+    while node is not None:
+        if node is top:
+            return True
+        node = node.parent
+    return False
+
+
+def _mostly_fixed(items: list[tuple], fixed: set[int], region: Node) -> bool:
+    """Whether template text is half of the region's content or more, as in pages that are near-copies of each other."""
+    total = shared = 0
+    for place, (_, kind, value, node, _) in enumerate(items):
+        if kind == "t" and not node.aside and _below(node, region):
+            n = len(value.strip())
+            total += n
+            shared += n if place in fixed else 0
+    return 2 * shared >= total
+
+
 def main_text(html: str | None, template: Template | None) -> str:
     """The text of the slots in the content region."""
     if not html:
@@ -345,6 +365,9 @@ def main_text(html: str | None, template: Template | None) -> str:
     region = items[places[template.region]][3] if template is not None and template.region in places else None
     heads = {items[places[r]][3].number for r in template.heads if r in places} if region is not None else set()
 
+    if fixed and region is not None and _mostly_fixed(items, fixed, region):
+        fixed = {place for place in fixed if not _below(items[place][3], region)}
+
     def within(node: Node) -> bool:
         while node is not None:
             if node is region or node.number in heads:
@@ -362,7 +385,7 @@ def main_text(html: str | None, template: Template | None) -> str:
             elif kind == "<" and node.name == "br" and last is not None and blocks:
                 blocks[-1][4].append(" ")
             continue
-        if node.aside or place in fixed:
+        if node.aside or place in fixed and node.article < 0:
             continue
         if last is not block:
             blocks.append([block, node.article, node.main, region is not None and within(node), []])

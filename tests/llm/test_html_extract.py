@@ -60,6 +60,20 @@ def test_copies_of_one_page_are_no_template(spark):
     assert len(got) == 20 and {r.text for r in got} == {text}
 
 
+def near_copy(i, article):
+    tag = "article" if article else "div class=box"
+    body = f"<h1>One title for all</h1><p>The first paragraph is the same.</p><p>So is the second, word by word.</p><p>Only the third, of page {i}, differs.</p>"
+    return f"<html><body><div class=top><b>Our site</b></div><{tag}>{body}</{tag.split()[0]}><div>end of site</div></body></html>"
+
+
+def test_near_copies_of_a_host_keep_their_texts(spark):
+    """Few or many: text that a host's pages share stays where it is part of the article."""
+    rows = [(1000 * n + i, f"http://n{n}.org/{i}", near_copy(i, n % 2)) for n in (6, 7, 8, 9, 100, 101) for i in range(n)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: f"One title for all\nThe first paragraph is the same.\nSo is the second, word by word.\nOnly the third, of page {k % 1000}, differs." for k in got}
+    assert len(got) == len(rows) and got == want
+
+
 def test_repeated_rows_change_no_template(spark):
     rows = [(i, f"http://h.org/{i}", page(i, f"<p>word{i} and more text.</p>")) for i in range(20)]
     schema = "page_id long, url string, html string"
