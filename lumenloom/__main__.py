@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .operators import evaluation
 from .operators.store import Store
 from .plans.benchmark import BenchmarkRunner
-from .plans.engine import QueryEngine, ResearchLoop, ingest_pages, log_to, refresh_graph, unmigrated
+from .plans.engine import QueryEngine, ResearchLoop, log_to, refresh_graph, unmigrated
+from .plans.ingest import Providers, ingest_pages
 from .plans.settings import Settings
 from .plans.wiki import ingest_wiki
 from .sources import files
@@ -91,13 +92,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         spark.sparkContext.setCheckpointDir(f"{a.store}/_checkpoints")
     given = providers(a.providers)
     store, embedder = Store(spark, a.store), given.get("embedder") or HashingEmbedder()
-    engine = QueryEngine(spark, store, embedder, given.get("reranker") or (OverlapReranker() if getattr(a, "rerank", False) else None), given.get("llm"))
+    engine = QueryEngine(spark, store, embedder, given.get("reranker") or (OverlapReranker() if getattr(a, "rerank", False) else None), given.get("llm"), given.get("tokens"), code_embedder=given.get("code_embedder"), image_embedder=given.get("image_embedder"))
+    made = Providers(embedder, **{k: given.get(k) for k in ("code_embedder", "tokens", "llm", "image_embedder", "download")}, memo=True, contextual=bool(given.get("contextual")))
     progress, resolver = log_to(a.log) if a.log else (lambda text: None), given.get("resolver") or resolve_host
     show = lambda rows: print("\n".join(r for r in rows.limit(1000).toJSON().collect()) if a.json else files.format_table(rows))
     if a.command == "research":
         llm, search, fetcher = needed(given, "llm", "search", "fetcher")
         settings = Settings(duplicate_threshold=a.similarity_threshold)
-        print(json.dumps(ResearchLoop(spark, store, llm, search, fetcher, embedder, resolver, settings, progress).run(a.prompt, a.max_depth)))
+        print(json.dumps(ResearchLoop(spark, store, llm, search, fetcher, embedder, resolver, settings, progress, made).run(a.prompt, a.max_depth)))
     elif a.command == "wiki":
         (fetcher,) = needed(given, "fetcher")
         show(ingest_wiki(store, a.url, fetcher, embedder, resolver, browser=given.get("browser"), max_depth=a.max_depth, wait=given.get("wait")))
@@ -105,7 +107,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         docs, queries = files.corpus(spark, a.truth, a.folder)
         wanted = a.config.split(",") if a.config else None
         configs = [c for c in evaluation.benchmark_matrix() if wanted is None or c["config_name"] in wanted]
-        details, errors = BenchmarkRunner(spark, f"{a.store}/_benchmark", embedder, progress=progress).run(docs, [r.asDict() for r in queries.collect()], configs, a.top_k)
+        details, errors = BenchmarkRunner(spark, f"{a.store}/_benchmark", embedder, progress=progress, code_embedder=given.get("code_embedder"), tokens=given.get("tokens")).run(docs, [r.asDict() for r in queries.collect()], configs, a.top_k)
         show(evaluation.roll_up(details))
         if not errors.isEmpty():
             show(errors)
@@ -118,12 +120,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "query":
         print(engine.ask(a.question, a.now)["context"])
     elif a.command == "ingest":
-        print(files.format_table(ingest_pages(store, spark.read.parquet(a.pages).select("url", "html"), embedder).groupBy("change").count()))
+        print(files.format_table(ingest_pages(store, spark.read.parquet(a.pages).select("url", "html"), embedder, providers=made).groupBy("change").count()))
         refresh_graph(store)
     elif a.command == "reingest":
         pages = store.read("pages").select("url", "html").checkpoint()
         store.write("pages", store.read("pages").withColumn("content_hash", F.lit(None).cast("string")))
-        print(files.format_table(ingest_pages(store, pages, embedder).groupBy("change").count()))
+        print(files.format_table(ingest_pages(store, pages, embedder, providers=made).groupBy("change").count()))
     elif a.command == "migrate":
         chunks = store.read("chunks")
         todo = unmigrated(chunks).drop("embedding", "embedding_version")
@@ -140,12 +142,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "compare":
         show(files.compare_files(spark, a.a, a.b))
     elif a.command == "eval":
-        queries = files.eval_set(spark, a.queries).collect()
-        ranked, relevant = [], []
-        for i, q in enumerate(queries):
-            ranked += [(i, r["chunk_id"], n) for n, r in enumerate(engine.retrieve(q["query"], a.k).collect())]
-            relevant += [(i, c) for c in q["relevant_chunk_ids"]]
-        found = evaluation.precision_recall(spark.createDataFrame(ranked, "query_id int, chunk_id string, rank int"), spark.createDataFrame(relevant, "query_id int, chunk_id string"), a.k)
+        queries = files.eval_set(spark, a.queries).collect()  # a stated set
+        ranked = engine.retrieve_many({i: q["query"] for i, q in enumerate(queries)}, a.k).select("query_id", "chunk_id", (F.col("place") - 1).alias("rank"))
+        relevant = spark.createDataFrame([(i, c) for i, q in enumerate(queries) for c in q["relevant_chunk_ids"]], "query_id int, chunk_id string")
+        found = evaluation.precision_recall(ranked, relevant, a.k)
         show(evaluation.macro(found))
     return 0
 

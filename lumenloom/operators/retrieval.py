@@ -91,14 +91,14 @@ def bm25(chunks: DataFrame, tokens: Counter, s: Settings = Settings(), limit: in
     return scored.crossJoin(F.broadcast(top)).select("chunk_id", (F.col("raw") / F.col("top")).alias("raw"))
 
 
-def bm25_batch(posted: DataFrame, lengths: DataFrame, queries: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """query_id, chunk_id, raw for many queries (query_id, term, qtf): postings join on the term."""
+def bm25_batch(posted: DataFrame, lengths: DataFrame, queries: DataFrame, s: Settings = Settings(), over_best: bool = True) -> DataFrame:
+    """query_id, chunk_id, raw for many queries (query_id, term, qtf): postings join on the term. The scores are over their query's best unless told otherwise."""
     stats = corpus_stats(lengths)
     idf = term_stats(posted).crossJoin(F.broadcast(stats)).select("term", "avg_dl", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     hits = posted.join(queries, "term").join(idf, "term").join(lengths, "chunk_id")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.col("avg_dl")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("raw")).filter("raw > 0")
-    return scored.withColumn("raw", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")))
+    return scored.withColumn("raw", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id"))) if over_best else scored
 
 
 def best(scored: DataFrame, limit: int | None) -> DataFrame:

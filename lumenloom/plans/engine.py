@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls
 from ..functions import vectors as vx
-from ..operators import fusion, graph, incremental, retrieval
+from ..operators import batch, fusion, graph, incremental, retrieval
 from ..operators.folders import written
 from ..operators.postings import Postings
 from ..operators.store import Store, corroborate
@@ -82,6 +82,14 @@ class QueryEngine:
     def _one(embedder: Embedder | None, query: str) -> list[float] | None:
         return embedder.embed([query], "query")[0] if embedder is not None else None
 
+    def retrieve_many(self, queries: dict[int, str], k: int, grid: dict[str, dict[str, float]] | None = None, now: str | None = None) -> DataFrame:
+        """combo, query_id, chunk_id, rrf, place: the best k of each question under each weighting (that of the settings alone by default). The lists of a question are made
+        once for all weightings, and all questions and weightings are fused in one plan."""
+        s, index = self.settings, self.index()
+        lists = [self.lists(q, index, k, now=now).withColumn("query_id", F.lit(i)) for i, q in queries.items()]
+        held = written(fusion.union(lists), "lists")
+        return batch.fuse_many(held, None, {c: {**s.weights, **w} for c, w in (grid or {"": {}}).items()}, k, s.rrf_k)
+
     def retrieve(self, query: str, k: int, weights: dict[str, float] | None = None, hyde: list[float] | None = None, now: str | None = None, ingest: bool = False) -> DataFrame:
         s, index = self.settings, self.index()
         wide = s.rerank_candidates if self.reranker is not None and not ingest else k

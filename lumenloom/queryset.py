@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions import urls
 from .functions import vectors as vx
-from .operators import chunking, evaluation, folders, fusion, graph, incremental, postings, retrieval, store
+from .operators import batch, chunking, evaluation, folders, fusion, graph, incremental, postings, retrieval, store
 from .plans.settings import Settings
 
 QUERIES: dict = {}
@@ -207,6 +207,10 @@ def entity_rank(spark, d):
 _GRAPH = "au AS (SELECT source, n / max(n) OVER () AS a FROM (SELECT source, sum(n_chars)::DOUBLE AS n FROM documents GROUP BY source)), gr AS (SELECT doc_id AS chunk_id, a AS raw FROM documents JOIN au USING (source) WHERE a > 0)"
 
 
+#: Weightings of the batch query: 24 of them.
+_GRID = {f"{b}/{c}/{g}/{r}": {"bm25": b, "text_cosine": c, "graph": g, "recency": r} for b in (0.0, 1.0, 2.0) for c in (0.5, 1.0) for g in (0.0, 0.3) for r in (0.0, 0.4)}
+
+
 def _authority(spark, d):
     s = T(spark, d, "documents").groupBy(F.col("source").alias("page_url")).agg(F.sum("n_chars").cast("double").alias("n"))
     return s.crossJoin(F.broadcast(s.agg(F.max("n").alias("top")))).select("page_url", (F.col("n") / F.col("top")).alias("authority_score"))
@@ -217,6 +221,38 @@ def authority_join(spark, d):
     return retrieval.graph_signal(_chunks(spark, d), _authority(spark, d)).select("chunk_id", F.round("raw", 6).alias("score"))
 
 
+@query(
+    f"""WITH {_TOK}, {_GRAPH}, {_REC}, q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z][a-zA-Z0-9_-]*'), lambda t: CASE WHEN len({_SUB}) > 1 THEN list_concat([lower(t)], list_transform({_SUB}, lambda p: lower(p))) ELSE [lower(t)] END))[1:12]) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT doc_id AS chunk_id, unnest(toks) AS term FROM tok) GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len(toks)) AS a FROM tok), l AS (SELECT doc_id AS chunk_id, len(toks) AS dl FROM tok),
+i AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM p, st GROUP BY term, n),
+bm AS (SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS raw FROM p JOIN q USING (term) JOIN i USING (term) JOIN l USING (chunk_id), st GROUP BY ALL),
+co AS (SELECT a.vec_id // 20 AS query_id, b.vec_id AS chunk_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS raw FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id // 20 IN (SELECT item_id FROM benchmark)),
+own AS (SELECT * FROM (SELECT 'bm25' AS signal, query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, chunk_id) AS r FROM bm UNION ALL SELECT 'text_cosine', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, chunk_id) FROM co) WHERE r <= 30),
+common AS (SELECT 'graph' AS signal, chunk_id, row_number() OVER (ORDER BY round(raw, 9) DESC, chunk_id) AS r FROM gr UNION ALL SELECT 'recency', chunk_id, row_number() OVER (ORDER BY round(raw, 9) DESC, chunk_id) FROM rc),
+g(combo, signal, w) AS (VALUES {", ".join(f"('{c}', '{s}', {w}::DOUBLE)" for c, ws in _GRID.items() for s, w in ws.items())}),
+u AS (SELECT query_id, signal, chunk_id, r FROM own UNION ALL SELECT item_id, signal, chunk_id, r FROM common, benchmark),
+f AS (SELECT combo, query_id, chunk_id, sum(w / (60 + r)) AS rrf FROM u JOIN g USING (signal) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY combo, query_id ORDER BY round(rrf, 12) DESC, chunk_id) AS place FROM f)
+SELECT combo, query_id, chunk_id, place::INT AS place, round(rrf, 9) AS rrf FROM o WHERE place <= 10"""
+)
+def retrieval_matrix(spark, d):
+    """Every benchmark passage as a question (its first words, and a vector where there is one of its number), by four signals under 24 weightings, in one plan."""
+    words = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(tx.tokenize(F.coalesce("text", F.lit(""))), 1, 12)).alias("term"))
+    asked = words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    v = T(spark, d, "embeddings")
+    vectors = v.filter("vec_id % 20 = 0").select((F.col("vec_id") / 20).cast("long").alias("query_id"), F.col("embedding").alias("vector")).join(T(spark, d, "benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
+    chunks = folders.written(retrieval.postings(_chunks(spark, d)), "postings")
+    lengths = retrieval.chunk_lengths(_chunks(spark, d))
+    even = lambda df: df.withColumn("raw", F.round("raw", 9))  # noqa: E731  equal scores tie on any engine
+    bm25 = batch.best_many(retrieval.bm25_batch(chunks, lengths, asked, over_best=False).withColumn("raw", F.round("raw", 9)), 30)
+    cosine = batch.best_many(even(batch.cosine_many(v.withColumnRenamed("vec_id", "chunk_id"), vectors, 60)), 30)
+    own = batch.ranked_many("bm25", bm25).unionByName(batch.ranked_many("text_cosine", cosine))
+    graph_list = batch.ranked_whole("graph", even(retrieval.graph_signal(_chunks(spark, d), _authority(spark, d))))
+    recency = batch.ranked_whole("recency", even(retrieval.recency_signal(_corroborated(spark, d), NOW)))
+    found = batch.fuse_many(own, graph_list.unionByName(recency), _GRID, 10)
+    return found.select("combo", "query_id", "chunk_id", "place", F.round("rrf", 9).alias("rrf"))
+
+
 _FLAG = [("bm", 2.0, 150), ("co", 1.0, 150), ("gr", 0.3, None), ("rc", 0.4, None), ("en", 0.6, None)]
 _PARTS = " UNION ALL ".join(
     f"SELECT chunk_id, {w}::DOUBLE / (60 + row_number() OVER (ORDER BY round(raw, 9) DESC, chunk_id)) AS p FROM " + (f"(SELECT * FROM {t} ORDER BY round(raw, 9) DESC, chunk_id LIMIT {n})" if n else t) for t, w, n in _FLAG
