@@ -1,5 +1,4 @@
-"""Chunkers: rows of text, HTML or code become rows of chunks. They run on Arrow batches; each row is chunked by itself, so
-nothing is shuffled."""
+"""Chunkers: rows of text, HTML or code become rows of chunks; each row is chunked by itself, so nothing is shuffled. Text is packed in the JVM, HTML and code run on Arrow batches."""
 
 from __future__ import annotations
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dom
+from ..functions import dom, packing
 from ..functions import text as tx
 from ..shipping import ship
 
@@ -78,26 +77,18 @@ def _per_row(df: DataFrame, columns: list[str], schema: pa.Schema, ddl: str, mak
     return df.select(*columns).mapInArrow(run, ddl)
 
 
-_CHUNK = pa.schema([("page_url", pa.string()), ("chunk_no", pa.int32()), ("text", pa.string())])
-
-
 def chunk_paragraphs(pages: DataFrame, limit: int = 400) -> DataFrame:
-    """pages: page_url, text. page_url, chunk_no, text, chunk_id, content_type."""
-    rows = _per_row(pages, ["page_url", "text"], _CHUNK, "page_url string, chunk_no int, text string", lambda url, text: ((url, i, t) for i, t in enumerate(paragraphs(text, limit))))
+    """pages: page_url, text. page_url, chunk_no, text, chunk_id, content_type. In the JVM, row by row."""
+    rows = pages.select("page_url", F.posexplode(packing.paragraphs(F.col("text"), limit)).alias("chunk_no", "text"))
     return rows.withColumn("chunk_id", tx.web_chunk_id(F.col("page_url"), F.col("chunk_no"))).withColumn("content_type", tx.content_type(F.col("text")))
 
 
 def chunk_children(chunks: DataFrame, limit: int = 200, keep_single: bool = True) -> DataFrame:
     """Chunks (chunk_id, page_url, section_title, text, content_type) split into children; a chunk that makes one child only is left out unless keep_single."""
-    schema = pa.schema([(c, pa.string()) for c in ("parent_chunk_id", "page_url", "section_title", "content_type")] + [("child_no", pa.int32()), ("text", pa.string())])
-
-    def make(chunk_id, url, title, kind, text):
-        found = paragraphs(text, limit)
-        if keep_single or len(found) > 1:
-            for i, t in enumerate(found):
-                yield chunk_id, url, title, kind, i, t
-
-    rows = _per_row(chunks, ["chunk_id", "page_url", "section_title", "content_type", "text"], schema, "parent_chunk_id string, page_url string, section_title string, content_type string, child_no int, text string", make)
+    made = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), "page_url", "section_title", "content_type", packing.paragraphs(F.col("text"), limit).alias("_made"))
+    if not keep_single:
+        made = made.filter(F.size("_made") > 1)
+    rows = made.select("parent_chunk_id", "page_url", "section_title", "content_type", F.posexplode("_made").alias("child_no", "text"))
     return rows.withColumn("chunk_id", tx.child_chunk_id(F.col("parent_chunk_id"), F.col("child_no"))).withColumn("is_child", F.lit(True))
 
 

@@ -741,15 +741,39 @@ def index_membership(spark, d):
 # Without SQL: checked by tests against plain code
 
 
-@query()
+def _packed(limit: int) -> str:
+    """SQL for pack(doc_id, pieces): paragraphs, or in place of longer ones sentences, clauses, words, joined greedily within their kind."""
+    n = lambda t: f"len(regexp_extract_all({t}, '[a-zA-Z][a-zA-Z0-9_-]*'))"
+    cut = lambda t, p: f"string_split(regexp_replace({t}, '({p})\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    nth = lambda xs: f"unnest({xs}) AS t, generate_subscripts({xs}, 1) AS j"
+    return rf"""p0 AS (SELECT doc_id, {nth(r"string_split_regex(trim(coalesce(text, ''), E' \t\n\r'), '\n\s*\n')")} FROM documents),
+p AS (SELECT doc_id, j, trim(t, E' \t\n\r') AS t, {n("t")} AS n FROM p0 WHERE trim(t, E' \t\n\r') <> ''),
+s0 AS (SELECT doc_id, j AS a, {cut("t", "[.!?]")} AS xs FROM p WHERE n > {limit}),
+s1 AS (SELECT doc_id, a, xs, {nth("xs")} FROM s0), s AS (SELECT doc_id, a, j AS b, t, len(xs) AS many, {n("t")} AS n FROM s1),
+c0 AS (SELECT doc_id, a, b, many, {cut("t", "[,;:]")} AS xs FROM s WHERE many = 1 OR n > {limit}),
+c1 AS (SELECT doc_id, a, b, xs, {nth("xs")} FROM c0), c AS (SELECT doc_id, a, b, j AS d, t, len(xs) AS many, {n("t")} AS n FROM c1),
+w0 AS (SELECT doc_id, a, b, d, list_filter(string_split_regex(t, '\s+'), lambda x: x <> '') AS xs FROM c WHERE many = 1 OR n > {limit}),
+w1 AS (SELECT doc_id, a, b, d, {nth("xs")} FROM w0), w AS (SELECT doc_id, a, b, d, j AS e, t, {n("t")} AS n FROM w1),
+atoms AS (
+  SELECT doc_id, j AS a, 0 AS b, 0 AS d, 0 AS e, t, n, '' AS k FROM p WHERE n <= {limit}
+  UNION ALL SELECT doc_id, a, b, 0, 0, t, n, 's' || a FROM s WHERE many > 1 AND n <= {limit}
+  UNION ALL SELECT doc_id, a, b, d, 0, t, n, 'c' || a || '.' || b FROM c WHERE many > 1 AND n <= {limit}
+  UNION ALL SELECT doc_id, a, b, d, e, t, n, 'w' || a || '.' || b || '.' || d FROM w
+), l AS (SELECT doc_id, list({{'o': []::VARCHAR[], 'h': t, 'n': n::BIGINT, 'k': k}} ORDER BY a, b, d, e) AS xs FROM atoms GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(xs, lambda s, x: CASE WHEN s.k <> x.k OR s.n + x.n > {limit} THEN {{'o': list_append(s.o, s.h), 'h': x.h, 'n': x.n, 'k': x.k}}
+  ELSE {{'o': s.o, 'h': s.h || CASE WHEN x.k = '' THEN chr(10) || chr(10) ELSE ' ' END || x.h, 'n': s.n + x.n, 'k': x.k}} END) AS r FROM l),
+pack AS (SELECT doc_id, list_append(r.o, r.h) AS pieces FROM f)"""
+
+
+@query(f"WITH {_packed(400)}, x AS (SELECT doc_id, unnest(pieces) AS text, generate_subscripts(pieces, 1) - 1 AS chunk_no FROM pack) SELECT source AS page_url, chunk_no::INT AS chunk_no, x.text, substr(sha256(source), 1, 12) || '::chunk-' || chunk_no AS chunk_id FROM x JOIN documents USING (doc_id)")
 def paragraph_chunks(spark, d):
-    return chunking.chunk_paragraphs(T(spark, d, "documents").select(F.col("source").alias("page_url"), "text"))
+    return chunking.chunk_paragraphs(T(spark, d, "documents").select(F.col("source").alias("page_url"), "text")).select("page_url", "chunk_no", "text", "chunk_id")
 
 
-@query()
+@query(f"WITH {_packed(200)}, x AS (SELECT doc_id, unnest(pieces) AS text, generate_subscripts(pieces, 1) - 1 AS child_no FROM pack) SELECT doc_id::VARCHAR AS parent_chunk_id, source AS page_url, child_no::INT AS child_no, x.text, doc_id || '::child:' || child_no AS chunk_id, true AS is_child FROM x JOIN documents USING (doc_id)")
 def child_chunks(spark, d):
     parents = T(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("page_url"), F.lit("").alias("section_title"), F.lit("text").alias("content_type"), "text")
-    return chunking.chunk_children(parents)
+    return chunking.chunk_children(parents).select("parent_chunk_id", "page_url", "child_no", "text", "chunk_id", "is_child")
 
 
 @query()

@@ -125,3 +125,20 @@ def test_tiers_of_text(spark):
     assert dom.tiered(" ") == ("", "", "none") and dom.tiered("<p>x</p>", [("dense", dom.dense_text)]) == ("", "x", "strip")
     rows = html_text(spark.createDataFrame([("u", page), ("v", None)], "page_url string, html string"), [("dense", dom.dense_text)]).collect()
     assert [(r.page_url, r.title, r.method) for r in rows] == [("u", "T", "dense"), ("v", "", "none")]
+
+
+def test_packing_in_the_jvm_equals_the_plain_packer(spark):
+    """Random texts with all kinds of borders, small budgets, and Python's packer as the measure."""
+    import random
+
+    from lumenloom.functions import packing
+
+    r = random.Random(11)
+    pieces = ["word", "a-b", "x1", "12", "e.g.", "i.e.", "end.", "why?", "so,", "then;", "ü", "é.", "a.b.c", " ", "!"]
+    borders = [" ", " ", " ", "\n", "\n\n", "\n \t\n", "  ", " ", "\xa0", "　", "\x1f", "\x0b", "\x85"]
+    texts = ["", " \n ", None, "no borders at all", "word " * 500, "a, " * 300, "One. " * 300] + ["".join(r.choice(pieces) + r.choice(borders) for _ in range(r.randrange(90))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for limit in (1, 3, 10, 200):
+        got = {x.i: x.p for x in df.select("i", packing.paragraphs(F.col("t"), limit).alias("p")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == ch.paragraphs(t, limit), (limit, t)
