@@ -169,11 +169,11 @@ class Store:
     def bucket(self, name: str, buckets: int) -> Column:
         return F.pmod(F.xxhash64(*KEYS[name]), F.lit(buckets)).cast("int")
 
-    def _put(self, name: str, rows: DataFrame, buckets: int) -> tuple[str, list[int]]:
-        """Write rows as a version: its name, and the buckets that have rows."""
-        version = uuid.uuid4().hex
+    def _put(self, name: str, rows: DataFrame, buckets: int, version: str | None = None) -> tuple[str, list[int]]:
+        """Write rows as a new version, or add them to one that all buckets are of: its name, and the buckets that have rows in it."""
+        version = version or uuid.uuid4().hex
         placed = rows.withColumn(BUCKET, self.bucket(name, buckets))
-        placed.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.folder}/{name}/{version}")
+        placed.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(f"{self.folder}/{name}/{version}")
         return version, folders.numbers_below(self.spark, f"{self.folder}/{name}/{version}", f"{BUCKET}=")
 
     def _point(self, name: str, buckets: int, at: dict[str, list[str]]) -> None:
@@ -190,8 +190,11 @@ class Store:
         if before is None or not before["buckets"]:
             self.write(name, rows if before is None else self.read(name).unionByName(rows))
             return
-        version, filled = self._put(name, rows, before["buckets"])
-        self._point(name, before["buckets"], before["at"] | {str(b): [*before["at"].get(str(b), []), version] for b in filled})
+        held = {v for versions in before["at"].values() for v in versions}
+        version, filled = self._put(name, rows, before["buckets"], held.pop() if len(held) == 1 else None)
+        at = before["at"] | {str(b): sorted({*before["at"].get(str(b), []), version}) for b in filled}
+        if at != before["at"]:
+            self._point(name, before["buckets"], at)
 
     def merge(self, name: str, rows: DataFrame | None = None, gone: DataFrame | None = None, now: Column | None = None, then: Callable[[DataFrame], DataFrame] | None = None, also: DataFrame | None = None) -> list[int] | None:
         """Put rows in and take the keys `gone` out; `then` sees the result, of the buckets touched. `also` has keys of rows that `then` will change. A key that is in both
