@@ -24,6 +24,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..plans.settings import Settings
@@ -61,7 +62,7 @@ class Postings:
         folders.move_pointer(self.spark, f"{self.folder}/SEGMENTS", json.dumps(segments))
 
     def _read(self, segment: dict, kind: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{segment['name']}/{kind}")
+        return self.spark.read.schema(T.StructType.fromJson(segment[kind])).parquet(f"{self.folder}/{segment['name']}/{kind}")
 
     def _bucket(self, column: Column) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
@@ -105,7 +106,7 @@ class Postings:
         spread = made.repartition("bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "term", "block")
         spread.write.partitionBy("bucket").parquet(f"{top}/postings")
         # A later segment that has a chunk again replaces what earlier ones have of it.
-        self._publish([*base, {"name": name, "n": n, "dl": dl}])
+        self._publish([*base, {"name": name, "n": n, "dl": dl, "chunks": kept.schema.jsonValue(), "postings": made.schema.jsonValue()}])
 
     # Changes
 

@@ -160,6 +160,8 @@ class Store:
         paths = self._files(name, version, wanted) if version else []
         if not paths:
             return self.spark.createDataFrame([], TABLES[name])
+        if version.get("schema") == TABLES[name]:  # all files have its columns: none is opened to find them
+            return self.spark.read.schema(TABLES[name]).parquet(*paths)
         return migrate(self.spark.read.option("mergeSchema", "true").parquet(*paths), name)
 
     def has(self, name: str) -> bool:
@@ -172,17 +174,18 @@ class Store:
     def _put(self, name: str, rows: DataFrame, buckets: int, version: str | None = None) -> tuple[str, list[int]]:
         """Write rows as a new version, or add them to one that all buckets are of: its name, and the buckets that have rows in it."""
         version = version or uuid.uuid4().hex
-        placed = rows.withColumn(BUCKET, self.bucket(name, buckets))
+        placed = migrate(rows, name).withColumn(BUCKET, self.bucket(name, buckets))
         placed.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(f"{self.folder}/{name}/{version}")
         return version, folders.numbers_below(self.spark, f"{self.folder}/{name}/{version}", f"{BUCKET}=")
 
-    def _point(self, name: str, buckets: int, at: dict[str, list[str]]) -> None:
-        folders.move_pointer(self.spark, self._pointer(name), json.dumps({"buckets": buckets, "at": at}))
+    def _point(self, name: str, buckets: int, at: dict[str, list[str]], schema: str | None = None) -> None:
+        """schema: that of all files, if they have one."""
+        folders.move_pointer(self.spark, self._pointer(name), json.dumps({"buckets": buckets, "at": at, "schema": schema}))
 
     def write(self, name: str, rows: DataFrame) -> None:
         """The table anew."""
         version, filled = self._put(name, rows, self.buckets)
-        self._point(name, self.buckets, {str(b): [version] for b in filled})
+        self._point(name, self.buckets, {str(b): [version] for b in filled}, TABLES[name])
 
     def append(self, name: str, rows: DataFrame) -> None:
         """More rows of a table whose rows never change: files beside those of the present version."""
@@ -194,7 +197,7 @@ class Store:
         version, filled = self._put(name, rows, before["buckets"], held.pop() if len(held) == 1 else None)
         at = before["at"] | {str(b): sorted({*before["at"].get(str(b), []), version}) for b in filled}
         if at != before["at"]:
-            self._point(name, before["buckets"], at)
+            self._point(name, before["buckets"], at, TABLES[name] if before.get("schema") == TABLES[name] else None)
 
     def merge(self, name: str, rows: DataFrame | None = None, gone: DataFrame | None = None, now: Column | None = None, then: Callable[[DataFrame], DataFrame] | None = None, also: DataFrame | None = None) -> list[int] | None:
         """Put rows in and take the keys `gone` out; `then` sees the result, of the buckets touched. `also` has keys of rows that `then` will change. A key that is in both
@@ -220,7 +223,7 @@ class Store:
             return None
         fresh, filled = self._put(name, out, version["buckets"])
         at = {b: v for b, v in version["at"].items() if int(b) not in touched} | {str(b): [fresh] for b in filled}
-        self._point(name, version["buckets"], at)
+        self._point(name, version["buckets"], at, TABLES[name] if version.get("schema") == TABLES[name] else None)
         return touched
 
     def _merged(self, name: str, old: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
