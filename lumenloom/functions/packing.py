@@ -10,18 +10,28 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import token_count
-
-#: What Python takes for white space, as a class of the JVM's patterns.
+#: What Python takes for white space: as a class of the JVM's patterns, and its characters.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A sentence ends in . ! or ? before white space, but not after e.g. or i.e.
 SENTENCE = rf"(?<=[.!?])(?<!e\.g\.)(?<!i\.e\.){SPACE}+"
 CLAUSE = rf"(?<=[,;:]){SPACE}+"
 PARAGRAPH = rf"\n{SPACE}*\n"
 
 
+def token_count(text: Column) -> Column:
+    """As many as text.token_count says, without an array of them: each token with what is before it becomes an x, and the rest has no letters."""
+    marked = F.regexp_replace(text, "[^a-zA-Z]*+[a-zA-Z][a-zA-Z0-9_-]*+", "x")
+    return _with(marked, lambda m: F.length(m) - F.length(F.ltrim(m, F.lit("x"))))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def _counted(parts: Column) -> Column:
@@ -42,15 +52,13 @@ def _words(text: Column, key: Column) -> Column:
 
 def _clauses(text: Column, key: Column, limit: int) -> Column:
     """By clauses if there are several, else by words."""
-    parts = F.split(text, CLAUSE, -1)
-    return F.when(F.size(parts) > 1, _atoms(parts, limit, key, _words)).otherwise(_words(text, key))
+    return _with(F.split(text, CLAUSE, -1), lambda parts: F.when(F.size(parts) > 1, _atoms(parts, limit, key, _words)).otherwise(_words(text, key)))
 
 
 def _sentences(text: Column, key: Column, limit: int) -> Column:
     """By sentences if there are several, else by clauses."""
-    parts = F.split(text, SENTENCE, -1)
     finer = lambda t, k: _clauses(t, k, limit)
-    return F.when(F.size(parts) > 1, _atoms(parts, limit, key, finer)).otherwise(_clauses(text, key, limit))
+    return _with(F.split(text, SENTENCE, -1), lambda parts: F.when(F.size(parts) > 1, _atoms(parts, limit, key, finer)).otherwise(_clauses(text, key, limit)))
 
 
 def _fold(atoms: Column, limit: int) -> Column:
