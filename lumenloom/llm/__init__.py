@@ -1,2 +1,2 @@
 """Training-data operators: HTML extraction, fingerprints, quality, toxicity, packing,
-mixing, line dedup, near-duplicates, WARC archives and URL filters."""
+mixing, line dedup, near-duplicates, WARC archives, URL filters, fill-in-the-middle, languages and prefix tries."""
