@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.settings import Settings
+from . import folders
 
 
 def adjacency(links: DataFrame) -> DataFrame:
@@ -81,39 +82,104 @@ def centrality_of(pairs: list[tuple[str, str]], iterations: int = 100) -> dict[s
     return {v: float(x[i] / top) if top else 0.0 for v, i in at.items()}
 
 
-def spectral(pairs: list[tuple[str, str]], dims: int = 8, largest: int = 3000) -> dict[str, list[float]]:
-    """Unit positions from the smallest non-trivial eigenvectors of the normalised Laplacian. Dense up to `largest` nodes, by subspace
-    iteration over the edge list beyond."""
-    names = sorted({x for p in pairs for x in p})
-    n = len(names)
-    if n < 2:
-        return {v: [0.0] for v in names}
-    at = {v: i for i, v in enumerate(names)}
-    src = np.array([at[u] for u, v in pairs] + [at[v] for u, v in pairs if u != v])
-    dst = np.array([at[v] for u, v in pairs] + [at[u] for u, v in pairs if u != v])
-    keep = np.unique(src.astype(np.int64) * n + dst)
-    src, dst = keep // n, keep % n
-    deg = np.bincount(src, minlength=n).astype(float)
-    scale = np.where(deg > 0, 1 / np.sqrt(np.maximum(deg, 1)), 0)
-    k = min(dims, n - 1)
-    if n <= largest:
-        m = np.zeros((n, n))
-        m[src, dst] = scale[src] * scale[dst]
-        values, vectors = np.linalg.eigh(np.eye(n) - m)
-        found = vectors[:, np.argsort(values, kind="stable")[1 : k + 1]]
-    else:
-        q = np.linalg.qr(np.random.RandomState(0).randn(n, k + 4))[0]
-        for _ in range(200):
-            y = np.zeros_like(q)
-            np.add.at(y, src, (scale[src] * scale[dst])[:, None] * q[dst])
-            q = np.linalg.qr(y + q)[0]
-        y = np.zeros_like(q)
-        np.add.at(y, src, (scale[src] * scale[dst])[:, None] * q[dst])
-        values, mixed = np.linalg.eigh(q.T @ y)
-        found = (q @ mixed)[:, ::-1][:, 1 : k + 1]
-    length = np.linalg.norm(found, axis=1, keepdims=True)
-    found = np.where(length > 1e-12, found / np.maximum(length, 1e-12), 0)
-    return {v: found[i].tolist() for v, i in at.items()}
+def spectral(links: DataFrame, dims: int = 8, rounds: int = 40, degree: int = 10, tolerance: float = 1e-6, split: int = 200_000) -> DataFrame:
+    """links: source_url, target_url. node, embedding (array<double>): places of unit length from the `dims` smallest eigenvectors of the
+    normalised Laplacian after the trivial one, square roots of degrees; links count both ways and as often as they occur.
+
+    A block of a few more vectors is filtered by Chebyshev polynomials of the edge table, which damp the far end of the spectrum, and turned to
+    its eigenvectors by its Gram matrices (Rayleigh-Ritz) until the residuals are below `tolerance`. Each polynomial step is one join and one
+    sum; the driver sees matrices of dims + 4 rows only. A node's links beyond `split` are dealt over tasks, each with the node's vectors.
+
+    Defined results: n nodes give min(dims, n - 2) numbers; two nodes or one give [0.0]; null ends are no links. After `rounds` rounds without convergence
+    all values are 0. Vectors of one eigenvalue (as of a graph in pieces) are fixed up to a rotation, which cosines over the whole eigenspace don't see."""
+    spark = links.sparkSession
+    matrix = symmetric(links.filter("source_url is not null and target_url is not null"))
+    nodes = matrix.groupBy("node").agg(F.sum("weight").alias("degree"), F.ceil(F.count("*") / split).cast("int").alias("parts"))
+    nodes = folders.written(nodes, "nodes")
+    n, volume = nodes.agg(F.count("*"), F.sum("degree")).first()
+    if n <= 2:
+        return nodes.select("node", F.array(F.lit(0.0)).alias("embedding"))
+    wanted, p = min(dims, n - 2), min(dims + 4, n - 1)
+    ends = nodes.select(F.col("node").alias("other"), F.col("degree").alias("other_degree"), "parts")
+    edges_ = matrix.join(nodes.drop("parts"), "node").join(ends, "other")
+    scaled = edges_.select("node", "other", (F.col("weight") / F.sqrt(F.col("degree") * F.col("other_degree"))).alias("w"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    # A row of its own carries each node's vectors over to the next step.
+    own = nodes.select("node", F.col("node").alias("other"), F.lit(None).cast("double").alias("w"), F.lit(0).alias("part"))
+    scaled = folders.written(scaled.unionByName(own), "edges")
+
+    now, before, product = ([f"{c}{j}" for j in range(p)] for c in "qry")
+    held: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = folders.shared_folder(spark, "vectors")
+        df.write.parquet(path)
+        held.append(path)
+        for old in held[:-1]:
+            folders.remove(spark, old)
+        del held[:-1]
+        return spark.read.schema(df.schema).parquet(path)
+
+    def spread(x: DataFrame, carried: list[str]) -> DataFrame:
+        """Each link beside the vectors of its other end; `mine` marks the node's own row."""
+        sent = x.select(F.col("node").alias("other"), "root", "parts", *carried, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        return scaled.join(sent, ["other", "part"]).withColumn("mine", F.col("w").isNull()).groupBy("node")
+
+    mine = lambda c: F.max(F.when(F.col("mine"), F.col(c)))
+    fixed = [mine("root").alias("root"), mine("parts").alias("parts")]
+    start = [(F.pmod(F.xxhash64("node", F.lit(j)), F.lit(1 << 20)) / (1 << 19) - 1.0).alias(c) for j, c in enumerate(now)]
+    x = nodes.select("node", F.sqrt(F.col("degree") / volume).alias("root"), "parts", *start)
+    for turn in range(rounds):
+        x = keep(spread(x, now).agg(*fixed, *[mine(c).alias(c) for c in now], *[F.sum(F.when(~F.col("mine"), F.col("w") * F.col(c))).alias(y) for c, y in zip(now, product)]))
+        turned, values, residuals = _ritz(x, now, product)
+        found = len(values) >= wanted and bool((residuals[:wanted] <= tolerance).all())
+        along = [sum((F.col(c) - F.col("root") * float(s)) * float(t) for c, s, t in zip(now, turned[0], column)) for column in turned[1].T]
+        if found:
+            length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda total, v: total + v * v))
+            unit = F.when(length > 1e-12, F.transform("e", lambda v: v / length)).otherwise(F.transform("e", lambda v: F.lit(0.0)))
+            # As the vectors have length 1, an average entry is 1 / sqrt(n).
+            return x.select("node", F.array(*[v * float(np.sqrt(n)) for v in along[:wanted]]).alias("e")).select("node", unit.alias("embedding"))
+        if turn == rounds - 1:
+            break
+        p = len(values)
+        now, before, product = now[:p], before[:p], product[:p]
+        # What lies between -1 and `high` is damped; the margin below the block's last value shrinks with the rounds. The first block is random.
+        high = float(np.clip(values[-1] - 0.1 * (1 + values[-1]) * 0.5**turn if turn else values[0], -0.9, 1 - 1e-9))
+        middle, half = (high - 1) / 2, (high + 1) / 2
+        image = [sum((F.col(y) - F.col("root") * float(s)) * float(t) for y, s, t in zip(product, turned[0], column)) for column in turned[1].T]
+        first = [((y - middle * q) / half).alias(c) for y, q, c in zip(image, along, now)]
+        x = keep(x.select("node", "root", "parts", *first, *[q.alias(c) for q, c in zip(along, before)]))
+        for _ in range(degree - 1):
+            step = [
+                F.sum(F.when(F.col("mine"), F.col(q) * (-2 * middle / half) - F.col(r)).otherwise(F.col("w") * F.col(q) * (2 / half))).alias(q)
+                for q, r in zip(now, before)
+            ]
+            x = keep(spread(x, now + before).agg(*fixed, *step, *[mine(q).alias(r) for q, r in zip(now, before)]))
+    return nodes.select("node", F.array_repeat(F.lit(0.0), wanted).alias("embedding"))
+
+
+def _ritz(x: DataFrame, now: list[str], product: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """(shares of the trivial vector, turn to Ritz vectors), Ritz values from the largest, their residuals."""
+    p = len(now)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = [F.sum(F.col("root") * F.col(c)) for c in now] + [F.sum(F.col(a[i]) * F.col(b[j])) for a, b in ((now, now), (now, product), (product, product)) for i, j in pairs]
+    got = x.agg(*[c.alias(f"s{k}") for k, c in enumerate(sums)]).first()
+    share = np.array(got[:p])
+    grams = []
+    for k in range(3):
+        m = np.zeros((p, p))
+        for (i, j), v in zip(pairs, got[p + k * len(pairs) : p + (k + 1) * len(pairs)]):
+            m[i, j] = m[j, i] = v
+        grams.append(m - np.outer(share, share))
+    size = np.sqrt(np.maximum(np.diag(grams[0]), 1e-300))
+    g, h, k = (m / np.outer(size, size) for m in grams)
+    weights, basis = np.linalg.eigh(g)
+    use = weights > 1e-13 * weights.max()
+    white = basis[:, use] / np.sqrt(weights[use])
+    values, mixed = np.linalg.eigh(white.T @ h @ white)
+    turn = (white @ mixed)[:, ::-1]
+    values = values[::-1]
+    residuals = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", turn, k, turn) - values**2, 0))
+    return (share, turn / size[:, None]), values, residuals
 
 
 def reach(e: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:

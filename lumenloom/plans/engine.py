@@ -15,7 +15,7 @@ from ..functions import vectors as vx
 from ..operators import batch, fusion, graph, incremental, retrieval
 from ..operators.folders import written
 from ..operators.postings import Postings
-from ..operators.store import Store, corroborate
+from ..operators.store import Store, corroborate, store_graph
 from ..sources.providers import Embedder, Fetcher, HashingEmbedder, HashingTokenEmbedder, Llm, Reranker, ScriptedLlm, Search, TokenEmbedder, ImageEmbedder, json_between, rerank_logits, search_rows
 from .fetching import safe_fetch
 from .ingest import Providers, ingest_pages
@@ -140,16 +140,17 @@ class QueryEngine:
 
 
 def refresh_graph(store: Store, settings: Settings = Settings()) -> None:
-    """Centrality of pages by links; chunks of pages that rose are corroborated."""
-    before = store.read("pages")
-    scores = graph.centrality(store.read("page_links"), settings).withColumnsRenamed({"node": "url", "score": "authority_score"})
+    """Centrality and spectral places of pages by links; chunks of pages that rose are corroborated."""
+    before, links = store.read("pages"), store.read("page_links")
+    scores = graph.centrality(links, settings).withColumnsRenamed({"node": "url", "score": "authority_score"})
     after = before.select("url").join(scores, "url", "left").select("url", F.coalesce("authority_score", F.lit(0.0)).alias("authority_score"))
     risen = incremental.authority_increases(before, after)
     chunks = store.read("chunks")
     hits = chunks.join(risen.select(F.col("url").alias("page_url")), "page_url", "left_semi").select("chunk_id")
     updated = corroborate(chunks, hits, F.current_timestamp(), settings.graph_increment)
     store.write("chunks", updated)
-    store.write("pages", before.drop("authority_score").join(after, "url", "left").select(*before.columns))
+    places = graph.spectral(links, settings.spectral_dims).select(F.col("node").alias("url"), F.col("embedding").cast("array<float>").alias("graph_embedding"))
+    store.write("pages", store_graph(before, after.join(places, "url", "left"), settings.spectral_dims))
 
 
 class ResearchLoop:

@@ -462,6 +462,12 @@ def centrality(spark, d):
     return graph.centrality(_links(spark, d), iterations=6, tolerance=False).select("node", F.round("score", 6).alias("score"))
 
 
+@query()
+def spectral_positions(spark, d):
+    """Without SQL: held against a dense solver in tests."""
+    return graph.spectral(_links(spark, d)).select("node", F.transform("embedding", lambda v: F.round(v, 6)).alias("embedding"))
+
+
 def _checkpoints(spark):
     """Iterations cut lineage in the folder the cluster names, or a temporary one in local mode."""
     import re

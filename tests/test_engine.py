@@ -28,6 +28,7 @@ def test_ingest_query_and_change(spark, tmp_path):
     assert {r.change for r in ingest_pages(store, pages, EMB, s).collect()} == {"new"}
     assert {r.change for r in ingest_pages(store, pages, EMB, s).collect()} == {"unchanged"}
     refresh_graph(store, s)
+    assert {tuple(map(abs, r.graph_embedding)) for r in store.read("pages").collect()} == {(1.0,)}
     engine = QueryEngine(spark, store, EMB, OverlapReranker(), ScriptedLlm(default="an answer"), settings=s)
     got = engine.ask("how do kafka brokers replicate logs, and why", now="2030-01-01 00:00:00")
     assert got["answer"] == "an answer" and got["complexity"] == "complex" and "kafka" in got["context"].split("---")[0]

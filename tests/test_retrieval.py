@@ -141,11 +141,48 @@ def test_centrality(spark):
     assert graph.centrality(edge([("a", "b")]).limit(0)).collect() == []
 
 
-def test_spectral():
-    star = [("hub", f"s{i}") for i in range(4)]
-    found = graph.spectral(star, 3)
-    assert all(np.linalg.norm(v) == pytest.approx(1, abs=1e-6) or not np.any(v) for v in found.values())
-    assert graph.spectral([("a", "a")]) == {"a": [0.0]} and graph.spectral([]) == {}
+def dense_spectrum(pairs):
+    """Eigenvalues and vectors of the normalised adjacency, largest first."""
+    names = sorted({x for p in pairs for x in p})
+    a = np.zeros((len(names), len(names)))
+    for u, v in pairs:
+        a[names.index(u), names.index(v)] += 1
+        a[names.index(v), names.index(u)] += 1
+    root = np.sqrt(a.sum(axis=0))
+    values, vectors = np.linalg.eigh(a / np.outer(root, root))
+    return names, values[::-1], vectors[:, ::-1]
+
+
+def grid(w, h):
+    return [(f"{i:02}-{j:02}", f"{i + a:02}-{j + b:02}") for i in range(w) for j in range(h) for a, b in ((0, 1), (1, 0)) if i + a < w and j + b < h]
+
+
+@pytest.mark.parametrize("pairs", [grid(4, 2), grid(11, 7) + [("00-00", "00-00"), ("00-01", "00-00")]])
+def test_spectral(spark, pairs):
+    """Cosines are those of a dense solver: below 13 nodes at once, above by filtered rounds; links to itself, both ways."""
+    dims = 4
+    names, values, vectors = dense_spectrum(pairs)
+    assert values[dims] - values[dims + 1] > 1e-3
+    want = vectors[:, 1 : dims + 1] / np.linalg.norm(vectors[:, 1 : dims + 1], axis=1, keepdims=True)
+    got = {r.node: r.embedding for r in graph.spectral(spark.createDataFrame(pairs, "source_url string, target_url string"), dims, split=3).collect()}
+    assert sorted(got) == names
+    found = np.array([got[x] for x in names])
+    assert np.abs(found @ found.T - want @ want.T).max() < 1e-4
+
+
+def test_spectral_in_pieces_and_small(spark):
+    """Pages of one piece get one place; a star's rest has one eigenvalue; small graphs have their defined results."""
+    links = lambda pairs: spark.createDataFrame(pairs, "source_url string, target_url string")
+    pairs = [(f"{c}{i}", f"{c}{j}") for c in "abc" for i in range(6) for j in range(i)]
+    got = {r.node: np.array(r.embedding) for r in graph.spectral(links(pairs), 2).collect()}
+    assert all(got[f"{c}{i}"] @ got[f"{c}0"] == pytest.approx(1, abs=1e-5) for c in "abc" for i in range(6))
+    assert got["a0"] @ got["b0"] < 0.99
+    star = {r.node: np.array(r.embedding) for r in graph.spectral(links([("hub", f"s{i}") for i in range(40)]), 3, split=7).collect()}
+    assert all(np.linalg.norm(v) == pytest.approx(1, abs=1e-6) for k, v in star.items() if k != "hub") and not np.any(star["hub"].round(3)) and len(star) == 41
+    assert [(r.node, r.embedding) for r in graph.spectral(links([("a", "a"), (None, "b")])).collect()] == [("a", [0.0])]
+    assert [len(r.embedding) for r in graph.spectral(links([("a", "b"), ("b", "c")])).collect()] == [1, 1, 1]
+    assert graph.spectral(links([("a", "b")]).limit(0)).collect() == []
+    assert {tuple(r.embedding) for r in graph.spectral(links(grid(9, 3)), 2, rounds=1).collect()} == {(0.0, 0.0)}
 
 
 def test_reach(spark):
