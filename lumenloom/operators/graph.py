@@ -88,12 +88,12 @@ def spectral(links: DataFrame, dims: int = 8, rounds: int = 40, degree: int = 10
 
     A block of a few more vectors is filtered by Chebyshev polynomials of the edge table, which damp the far end of the spectrum, and turned to
     its eigenvectors by its Gram matrices (Rayleigh-Ritz) until the residuals are below `tolerance`. Each polynomial step is one join and one
-    sum; the driver sees matrices of dims + 4 rows only. A node's links beyond `split` are dealt over tasks, each with the node's vectors.
+    sum, and reads the step before once, so that a round is one plan and one write; the driver sees matrices of dims + 4 rows only. A node's links beyond `split` are dealt over tasks, each with the node's vectors.
 
     Defined results: n nodes give min(dims, n - 2) numbers; two nodes or one give [0.0]; null ends are no links. After `rounds` rounds without convergence
     all values are 0. Vectors of one eigenvalue (as of a graph in pieces) are fixed up to a rotation, which cosines over the whole eigenspace don't see."""
     spark = links.sparkSession
-    matrix = symmetric(links.filter("source_url is not null and target_url is not null"))
+    matrix = folders.written(symmetric(links.filter("source_url is not null and target_url is not null")), "links")
     nodes = matrix.groupBy("node").agg(F.sum("weight").alias("degree"), F.ceil(F.count("*") / split).cast("int").alias("parts"))
     nodes = folders.written(nodes, "nodes")
     n, volume = nodes.agg(F.count("*"), F.sum("degree")).first()
@@ -147,13 +147,13 @@ def spectral(links: DataFrame, dims: int = 8, rounds: int = 40, degree: int = 10
         middle, half = (high - 1) / 2, (high + 1) / 2
         image = [sum((F.col(y) - F.col("root") * float(s)) * float(t) for y, s, t in zip(product, turned[0], column)) for column in turned[1].T]
         first = [((y - middle * q) / half).alias(c) for y, q, c in zip(image, along, now)]
-        x = keep(x.select("node", "root", "parts", *first, *[q.alias(c) for q, c in zip(along, before)]))
+        x = x.select("node", "root", "parts", *first, *[q.alias(c) for q, c in zip(along, before)])
         for _ in range(degree - 1):
             step = [
                 F.sum(F.when(F.col("mine"), F.col(q) * (-2 * middle / half) - F.col(r)).otherwise(F.col("w") * F.col(q) * (2 / half))).alias(q)
                 for q, r in zip(now, before)
             ]
-            x = keep(spread(x, now + before).agg(*fixed, *step, *[mine(q).alias(r) for q, r in zip(now, before)]))
+            x = spread(x, now + before).agg(*fixed, *step, *[mine(q).alias(r) for q, r in zip(now, before)])
     return nodes.select("node", F.array_repeat(F.lit(0.0), wanted).alias("embedding"))
 
 
