@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,12 +16,12 @@ from .folders import written
 from .similarity import Cells, SimilarityJoin, greedy_filter
 
 
-def changes(seen: DataFrame, known: DataFrame) -> DataFrame:
-    """seen: url, text; known: url, content_hash. url, content_hash, change: new, updated or unchanged."""
-    hashed = seen.select("url", tx.content_hash(F.col("text")).alias("content_hash"))
-    old = known.select("url", F.col("content_hash").alias("old"))
+def changes(seen: DataFrame, known: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
+    """seen: keys, text; known: keys (each once), content_hash. keys, content_hash, change: new, updated or unchanged."""
+    hashed = seen.select(*keys, tx.content_hash(F.col("text")).alias("content_hash"))
+    old = known.select(*keys, F.col("content_hash").alias("old"))
     kind = F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("content_hash"), "unchanged").otherwise("updated")
-    return hashed.join(old, "url", "left").select("url", "content_hash", kind.alias("change"))
+    return hashed.join(old, list(keys), "left").select(*keys, "content_hash", kind.alias("change"))
 
 
 def unseen(results: DataFrame, pages: DataFrame) -> DataFrame:
