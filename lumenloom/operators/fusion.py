@@ -65,9 +65,9 @@ def best_of(results: DataFrame) -> DataFrame:
     return results.withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
-def expand_to_parents(results: DataFrame, chunks: DataFrame, k: int, backfill: bool = False) -> DataFrame:
+def expand_to_parents(results: DataFrame, chunks: DataFrame, k: int | None, backfill: bool = False) -> DataFrame:
     """results: chunk_id, parent_chunk_id, text, position (rank). Children become their parent (or stay if it is missing), the first of
-    each parent wins; with backfill its other children fill up to k behind."""
+    each parent wins; with backfill its other children fill up to k behind. Without k all rows, in no order."""
     parents = chunks.select(F.col("chunk_id").alias("p_id"), F.col("text").alias("p_text"))
     joined = results.join(parents, results["parent_chunk_id"] == parents["p_id"], "left")
     unit = F.coalesce("parent_chunk_id", "chunk_id")
@@ -79,7 +79,7 @@ def expand_to_parents(results: DataFrame, chunks: DataFrame, k: int, backfill: b
     )
     if not backfill:
         rows = rows.filter("is_first")
-    return rows.orderBy(F.desc("is_first"), "position", "chunk_id").limit(k).drop("is_first")
+    return (rows if k is None else rows.orderBy(F.desc("is_first"), "position", "chunk_id").limit(k)).drop("is_first")
 
 
 def context(results: DataFrame) -> DataFrame:
