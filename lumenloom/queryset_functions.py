@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions import urls
 from .functions import vectors as vx
+from .functions.numbers import rounded
 from .operators import store
 from .queryset import T, query
 
@@ -129,7 +130,7 @@ def finite_values(spark, d):
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT vec_id, round(sqrt(list_dot_product(e[:16], e[:16])), 6) AS length, list_transform(e[:16], lambda x: round(x / sqrt(list_dot_product(e[:16], e[:16])), 6)) AS head FROM v")
 def truncated_vectors(spark, d):
     e = F.col("embedding")
-    return T(spark, d, "embeddings").select("vec_id", F.round(vx.norm(F.slice(e, 1, 16)), 6).alias("length"), F.transform(vx.truncate(e, 16), lambda x: F.round(x, 6)).alias("head"))
+    return T(spark, d, "embeddings").select("vec_id", rounded(vx.norm(F.slice(e, 1, 16)), 6).alias("length"), F.transform(vx.truncate(e, 16), lambda x: rounded(x, 6)).alias("head"))
 
 
 @query("SELECT source AS url, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang, count(*) AS versions FROM documents GROUP BY source")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import text as tx
 from lumenloom.functions import urls
+from lumenloom.functions.numbers import rounded
 
 
 def one(spark, column, **values):
@@ -113,3 +114,8 @@ def test_safety():
 def test_widest_source(spark):
     assert one(spark, urls.widest_source(F.col("s")), s="a.jpg 320w, b.jpg 1024w, c.jpg 640w") == "b.jpg"
     assert one(spark, urls.widest_source(F.col("s")), s="a.jpg 1x, b.jpg 2x") == "b.jpg"
+
+
+@pytest.mark.parametrize(("value", "shown"), [(-1e-7, "-0.0"), (1e-7, "0.0"), (-0.0, "-0.0"), (0.1234565, "0.123457"), (-2.5e-6, "-3e-06"), (float("nan"), "nan"), (float("-inf"), "-inf"), (3.0, "3.0")])
+def test_rounded_as_in_sql(spark, value, shown):
+    assert repr(one(spark, rounded(F.col("v"), 6), v=value)) == shown
