@@ -90,10 +90,10 @@ def mark_stale(pages: DataFrame, domain: str) -> DataFrame:
     return pages.withColumn("crawl_status", F.when(on_domain(domain), "stale").otherwise(F.col("crawl_status")))
 
 
-def mark_active(pages: DataFrame, seen: DataFrame) -> DataFrame:
-    """seen: url."""
-    hit = seen.select("url").distinct().withColumn("_seen", F.lit(True))
-    return pages.join(hit, "url", "left").withColumn("crawl_status", F.when(F.col("_seen"), "active").otherwise(F.col("crawl_status"))).select(*pages.columns)
+def mark_active(pages: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
+    """seen: the key of the pages that were found again."""
+    hit = seen.select(key).distinct().withColumn("_seen", F.lit(True))
+    return pages.join(hit, key, "left").withColumn("crawl_status", F.when(F.col("_seen"), "active").otherwise(F.col("crawl_status"))).select(*pages.columns)
 
 
 def stale_pages(pages: DataFrame, domain: str) -> DataFrame:
