@@ -82,6 +82,59 @@ def centrality_of(pairs: list[tuple[str, str]], iterations: int = 100) -> dict[s
     return {v: float(x[i] / top) if top else 0.0 for v, i in at.items()}
 
 
+def pieces(e: DataFrame) -> DataFrame:
+    """e: node, other, each link both ways. node, piece: the smallest node that it is joined with over any number of links.
+
+    Each round every node points its neighbours at the smallest it knows of, and pointers are shortened, so that rounds grow with the logarithm of a piece's width."""
+    spark, held = e.sparkSession, []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(folders.shared_folder(spark, "pieces"))
+        df.write.parquet(held[-1])
+        return spark.read.schema(df.schema).parquet(held[-1])
+
+    now = keep(e.filter("node > other").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct())
+    while True:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        # The larger neighbours of each node are linked to the smallest there is around it, then its smaller neighbours to the smallest of them.
+        larger = now.select(F.col("v").alias("c"), F.col("u").alias("w")).join(low, "c").select(F.col("w").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        larger = keep(larger)
+        least = larger.groupBy("u").agg(F.min("v").alias("m"))
+        fresh = keep(larger.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        most = fresh.groupBy("u").count().agg(F.max("count")).first()[0]
+        # A star forest: each u has one v, and no v is a u.
+        done = most is None or (most == 1 and fresh.join(fresh.select(F.col("u").alias("v")), "v", "left_semi").isEmpty())
+        now = fresh
+        for path in held[:-1]:
+            folders.remove(spark, path)
+        del held[:-1]
+        if done:
+            break
+    return e.select("node").distinct().join(now.withColumnsRenamed({"u": "node", "v": "piece"}), "node", "left").select("node", F.coalesce("piece", "node").alias("piece"))
+
+
+def _spectral_of_pieces(nodes: DataFrame, placed: DataFrame, volume: float, wanted: int) -> DataFrame:
+    """The places where there are more pieces than `wanted`. Each piece gives the eigenvalue 1 of the scaled links once, with square roots of degrees within the piece as its vector, so
+    the vectors wanted are combinations of these: random ones, made orthogonal to the trivial one and to each other. All nodes of a piece have one place."""
+    sizes = folders.written(nodes.join(placed, "node").groupBy("piece").agg(F.sum("degree").alias("volume")), "volumes")
+    shares = [(F.pmod(F.xxhash64("piece", F.lit(j)), F.lit(1 << 20)) / (1 << 19) - 1.0) for j in range(wanted)]
+    root = F.sqrt(F.col("volume") / F.lit(float(volume)))
+    pairs = [(i, j) for i in range(wanted) for j in range(i, wanted)]
+    got = sizes.agg(*[F.sum(root * a) for a in shares], *[F.sum(shares[i] * shares[j]) for i, j in pairs]).first()
+    along = np.array(got[:wanted])
+    gram = np.zeros((wanted, wanted))
+    for (i, j), v in zip(pairs, got[wanted:]):
+        gram[i, j] = gram[j, i] = v - along[i] * along[j]
+    weights, basis = np.linalg.eigh(gram)
+    turn = basis / np.sqrt(weights)
+    free = [a - root * float(s) for a, s in zip(shares, along)]
+    embedding = F.array(*[sum(f * float(t) for f, t in zip(free, column)) for column in turn.T])
+    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda total, v: total + v * v))
+    unit = F.when(length > 1e-12, F.transform("e", lambda v: v / length)).otherwise(F.transform("e", lambda v: F.lit(0.0)))
+    return placed.join(sizes.select("piece", embedding.alias("e")).select("piece", unit.alias("embedding")), "piece").select("node", "embedding")
+
+
 def spectral(links: DataFrame, dims: int = 8, rounds: int = 40, degree: int = 10, tolerance: float = 1e-6, split: int = 200_000) -> DataFrame:
     """links: source_url, target_url. node, embedding (array<double>): places of unit length from the `dims` smallest eigenvectors of the
     normalised Laplacian after the trivial one, square roots of degrees; links count both ways and as often as they occur.
@@ -90,6 +143,8 @@ def spectral(links: DataFrame, dims: int = 8, rounds: int = 40, degree: int = 10
     its eigenvectors by its Gram matrices (Rayleigh-Ritz) until the residuals are below `tolerance`. Each polynomial step is one join and one
     sum, and reads the step before once, so that a round is one plan and one write; the driver sees matrices of dims + 4 rows only. A node's links beyond `split` are dealt over tasks, each with the node's vectors.
 
+    A graph of more than `dims` pieces needs none of this: its vectors are known from the pieces.
+
     Defined results: n nodes give min(dims, n - 2) numbers; two nodes or one give [0.0]; null ends are no links. After `rounds` rounds without convergence
     all values are 0. Vectors of one eigenvalue (as of a graph in pieces) are fixed up to a rotation, which cosines over the whole eigenspace don't see."""
     spark = links.sparkSession
@@ -100,6 +155,9 @@ def spectral(links: DataFrame, dims: int = 8, rounds: int = 40, degree: int = 10
     if n <= 2:
         return nodes.select("node", F.array(F.lit(0.0)).alias("embedding"))
     wanted, p = min(dims, n - 2), min(dims + 4, n - 1)
+    placed = folders.written(pieces(matrix), "placed")
+    if placed.select("piece").distinct().count() > wanted:
+        return _spectral_of_pieces(nodes, placed, volume, wanted)
     ends = nodes.select(F.col("node").alias("other"), F.col("degree").alias("other_degree"), "parts")
     edges_ = matrix.join(nodes.drop("parts"), "node").join(ends, "other")
     scaled = edges_.select("node", "other", (F.col("weight") / F.sqrt(F.col("degree") * F.col("other_degree"))).alias("w"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))

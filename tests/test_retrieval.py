@@ -188,3 +188,25 @@ def test_spectral_in_pieces_and_small(spark):
 def test_reach(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 1)], "src int, dst int")
     assert {r.node: r.depth for r in graph.reach(e, spark.createDataFrame([(1,)], "node int")).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
+
+
+def test_spectral_of_many_pieces(spark):
+    """More pieces than dimensions: rows lie in the eigenspace of the largest eigenvalue, without the trivial vector, after no round at all."""
+    pairs = [(f"{c}{i:02}", f"{c}{j:02}") for k, c in enumerate("abcdefg") for i in range(2 + k) for j in range(i)] + [("b00", "b00"), ("h00", "h01"), ("h01", "h02"), ("h02", "h03"), ("i00", "i00")]
+    got = {r.node: np.array(r.embedding) for r in graph.spectral(spark.createDataFrame(pairs, "source_url string, target_url string"), 4, rounds=0).collect()}
+    names, values, _ = dense_spectrum(pairs)
+    assert sorted(got) == names and (values > 1 - 1e-9).sum() == 9
+    assert all(np.linalg.norm(v) == pytest.approx(1) and len(v) == 4 and v == pytest.approx(got[f"{k[0]}00"]) for k, v in got.items())
+    # The lengths that the rows had make the columns orthonormal, and orthogonal to square roots of degrees.
+    degree = {x: sum(p.count(x) for p in pairs) for x in names}
+    volume = {c: sum(d for x, d in degree.items() if x[0] == c) for c in "abcdefghi"}
+    rows, root = np.array([got[f"{c}00"] for c in volume]), np.sqrt(list(volume.values()))
+    scale = np.linalg.lstsq(np.concatenate([np.einsum("ci,cj->ijc", rows, rows).reshape(16, -1)]), np.eye(4).ravel(), rcond=None)[0]
+    assert np.abs(np.einsum("ci,cj,c->ij", rows, rows, scale) - np.eye(4)).max() < 1e-8 and len(root) == 9
+
+
+def test_pieces(spark):
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40) if i != 20] + [("x", "x")]
+    both = spark.createDataFrame(chain + [(b, a) for a, b in chain], "node string, other string")
+    got = {r.node: r.piece for r in graph.pieces(both).collect()}
+    assert got == {f"n{i:03}": "n000" if i <= 20 else "n021" for i in range(41)} | {"x": "x"}
