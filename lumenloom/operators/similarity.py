@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .folders import written
 
+#: Vectors of a side that are multiplied at once.
+STEP = 512
+
 #: Angles that single precision can make wrong.
 SLACK = 2e-3
 
@@ -59,16 +62,38 @@ def _pick(mode: str, threshold: float, left: pa.Table, right: pa.Table) -> pa.Ta
     order = right.column("n").to_numpy()
     right = right.take(np.argsort(order, kind="stable"))
     order = np.sort(order, kind="stable")
-    scores = np.round(matrix(left.column("embedding")) @ matrix(right.column("embedding")).T, 9)
-    if mode in ("first before", "best before"):
-        scores[order[None, :] >= left.column("n").to_numpy()[:, None]] = -np.inf
-    over = scores > threshold
-    if mode == "all":
-        r, c = np.nonzero(over)
-    else:
-        r = np.flatnonzero(over.any(axis=1))
-        c = (over if mode == "first before" else np.where(over, scores, -np.inf))[r].argmax(axis=1)
-    return pa.Table.from_arrays([left.column("id").take(pa.array(r)), right.column("id").take(pa.array(c)), pa.array(order[c]), pa.array(scores[r, c])], schema=kind)
+    before = np.searchsorted(order, left.column("n").to_numpy()) if mode in ("first before", "best before") else np.full(len(left), len(order))
+    # By squares of a side of STEP, so that a task holds one of them and not its whole part.
+    a, b = matrix(left.column("embedding")), matrix(right.column("embedding"))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(0, len(a), STEP):
+        rows, best, at = np.arange(i, min(i + STEP, len(a))), np.full(min(STEP, len(a) - i), -np.inf), np.zeros(min(STEP, len(a) - i), int)
+        open_ = np.arange(len(rows))
+        for j in range(0, len(b), STEP):
+            open_ = open_[before[rows[open_]] > j]
+            if not len(open_):
+                break
+            scores = a[rows[open_]] @ b[j : j + STEP].T
+            scores[np.arange(j, j + scores.shape[1])[None, :] >= before[rows[open_], None]] = -np.inf
+            over = scores > threshold - 1e-8
+            r = np.flatnonzero(over.any(axis=1))
+            scores = np.where(over[r], np.round(scores[r], 9), -np.inf)
+            if mode == "all":
+                p, c = np.nonzero(scores > threshold)
+                found.append((rows[open_[r[p]]], c + j, scores[p, c]))
+                continue
+            c = (scores > threshold if mode == "first before" else scores).argmax(axis=1)
+            value = scores[np.arange(len(r)), c]
+            better = (value > threshold) & (value > best[open_[r]])
+            hit = open_[r[better]]
+            best[hit], at[hit] = value[better], c[better] + j
+            if mode == "first before":  # what has one needs no later ones
+                open_ = open_[best[open_] == -np.inf]
+        if mode != "all":
+            hit = np.flatnonzero(best > threshold)
+            found.append((rows[hit], at[hit], best[hit]))
+    r, c, value = (np.concatenate([f[k] for f in found]) for k in range(3))
+    return pa.Table.from_arrays([left.column("id").take(pa.array(r)), right.column("id").take(pa.array(c)), pa.array(order[c]), pa.array(value)], schema=kind)
 
 
 def _numbered(rows: DataFrame) -> DataFrame:

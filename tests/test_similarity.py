@@ -83,3 +83,34 @@ def test_odd_tables(spark):
     assert {tuple(r) for r in SimilarityJoin(some, some, 0.5).pairs().select("id", "match").collect()} == {(1, 1), (1, 4), (4, 1), (4, 4)}
     assert greedy_filter(empty, 0.5).collect() == []
     assert {r.id: r.duplicate_of for r in greedy_filter(some, 0.5).collect()} == {1: None, 3: None, 4: 1}
+
+
+@pytest.mark.parametrize("mode", ["all", "best", "first before", "best before"])
+def test_parts_are_compared_by_squares(mode):
+    """As with the whole matrix of scores; the memory is that of one square."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lumenloom.operators.similarity import _pick
+
+    random = np.random.RandomState(4)
+    v = random.randn(2600, 16)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[1300:1310] = v[:10]  # equal ones tie
+    order = random.permutation(2600)
+    side = lambda rows: pa.table({"id": pa.array(rows), "n": pa.array(order[rows]), "embedding": pa.array(v[rows].tolist(), pa.list_(pa.float64()))})
+    left, right = np.arange(0, 2600), np.arange(100, 2600)
+    tracemalloc.start()
+    got = _pick(mode, 0.6, side(left), side(right)).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    right = right[np.argsort(order[right])]
+    scores = np.round(v[left] @ v[right].T, 9)
+    if "before" in mode:
+        scores[order[right][None, :] >= order[left][:, None]] = -np.inf
+    over = scores > 0.6
+    want = {(int(left[i]), int(right[j])) for i, j in zip(*np.nonzero(over))} if mode == "all" else {(int(left[i]), int(right[(over[i] if mode == "first before" else scores[i]).argmax()])) for i in np.flatnonzero(over.any(axis=1))}
+    assert set(zip(got["id"], got["match"])) == want and len(got["id"]) == len(want) and want
+    assert all(m == order[x] and s > 0.6 for m, x, s in zip(got["m"], got["match"], got["similarity"]))
+    assert peak < 40e6
