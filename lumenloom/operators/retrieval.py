@@ -4,6 +4,7 @@ depends on them (terms, vectors, document frequencies of a few terms) is a liter
 from __future__ import annotations
 
 from collections import Counter, deque
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..functions.counting import TermCounter
 from ..plans.settings import Settings
+from ..shipping import ship
+from .folders import written
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -71,12 +75,9 @@ def bm25(chunks: DataFrame, tokens: Counter, s: Settings = Settings(), limit: in
     terms = sorted(tokens)
     if not terms:
         return chunks.select("chunk_id", F.lit(0.0).alias("raw")).limit(0)
-    # One generated row, so that tokens are made once and not again for each use.
-    found = chunks.select("chunk_id", F.explode(F.array(tx.tokenize(F.col("text")))).alias("tokens"))
-    same = lambda t: lambda x: x == F.lit(t)
-    tf = [F.size(F.filter("tokens", same(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     # A few numbers for each chunk, kept for the passes over them; lost parts are made again.
-    counted = _keep(found.select("chunk_id", F.size("tokens").alias("dl"), *tf))
+    times = [F.coalesce(F.element_at("hits", F.lit(i)), F.lit(0)).alias(f"tf{i}") for i in range(len(terms))]
+    counted = _keep(term_hits(chunks, terms).select("chunk_id", "dl", *times))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.filter(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # one row
     raw = F.lit(0.0)
@@ -91,6 +92,109 @@ def bm25(chunks: DataFrame, tokens: Counter, s: Settings = Settings(), limit: in
     return scored.crossJoin(F.broadcast(top)).select("chunk_id", (F.col("raw") / F.col("top")).alias("raw"))
 
 
+def term_hits(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """chunk_id, dl, hits (map of a term's number in `terms` to its count): one pass over the texts (null: no terms), and nothing of them moves."""
+    ship(chunks.sparkSession)
+    kind, numbers = chunks.schema["chunk_id"].dataType.simpleString(), {t.encode(): i for i, t in enumerate(terms)}
+    shared = chunks.sparkSession.sparkContext.broadcast(numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TermCounter(shared.value)
+        for batch in batches:
+            found = [counter.of(t) for t in batch.column(1).to_pylist()]
+            hits = pa.array([list(h.items()) for _, h in found], pa.map_(pa.int32(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), hits], names=["chunk_id", "dl", "hits"])
+
+    return chunks.select("chunk_id", F.col("text").cast("binary")).mapInArrow(run, f"chunk_id {kind}, dl long, hits map<int,int>")
+
+
+def bm25_many(chunks: DataFrame, queries: DataFrame, s: Settings = Settings(), k: int | None = None, places: int | None = None, most: int = 1_000_000) -> DataFrame:
+    """query_id, chunk_id, raw (not over the best) for a stated set of queries (query_id, term, qtf) over chunks (chunk_id, each once, text): the same as bm25_batch.
+
+    The texts are read once, for the queries' terms; what is kept of a chunk are its counts of these. Scores are made from them in the tasks, with `places` rounded, and with k each task keeps k rows of a query,
+    so no postings move. The weights of the queries' terms, at most `most`, are held in the driver and each worker; more are an error, to be put in several calls."""
+    spark = chunks.sparkSession
+    asked = queries.groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf")).limit(most + 1).toArrow()
+    if len(asked) > most:
+        raise ValueError(f"more than {most} terms: put the queries in several calls")
+    terms = sorted(set(asked.column("term").to_pylist()) - {None})
+    counted = written(term_hits(chunks, terms), "hits")
+    n, mean = counted.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(1.0))).first()
+    df = {r["key"]: r["n"] for r in counted.select(F.explode("hits")).groupBy("key").agg(F.count("*").alias("n")).collect()}  # a row a term
+    number = {t: i for i, t in enumerate(terms)}
+    ids = sorted(set(asked.column("query_id").to_pylist()))
+    place = {q: i for i, q in enumerate(ids)}
+    rows = [(place[q], number[t], qtf * float(np.log((n - df[number[t]] + 0.5) / (df[number[t]] + 0.5) + 1))) for q, t, qtf in zip(*(asked.column(c).to_pylist() for c in ("query_id", "term", "qtf"))) if number.get(t) in df]
+    by_term: dict[int, list[tuple[int, float]]] = {}
+    for q, t, w in rows:
+        by_term.setdefault(t, []).append((q, w))
+    shared = spark.sparkContext.broadcast((ids, {t: (np.array([q for q, _ in x]), np.array([w for _, w in x])) for t, x in by_term.items()}))
+    kinds = [queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()]
+    query_type = asked.schema.field("query_id").type
+
+    def scored(batch: pa.RecordBatch, many: int, weights: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, raw) of all that have one of a query's terms."""
+        hits = batch.column(2)
+        sizes = np.diff(hits.offsets.to_numpy())
+        at = np.repeat(np.arange(batch.num_rows), sizes)
+        term, tf = (x.to_numpy(zero_copy_only=False)[hits.offsets[0].as_py() : hits.offsets[-1].as_py()] for x in (hits.keys, hits.items))
+        part = tf * (s.bm25_k1 + 1) / (tf + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * batch.column(1).to_numpy()[at] / (mean or 1.0)))
+        raw = np.zeros((batch.num_rows, many))
+        order = np.argsort(term, kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(term[order])) + 1):
+            if len(run):
+                q, w = weights[int(term[run[0]])]
+                raw[at[run][:, None], q] += part[run][:, None] * w
+        raw = raw if places is None else np.round(raw, places)
+        row, query = np.nonzero(raw > 0)
+        return query, row, raw[row, query]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, weights = shared.value
+        held: list[pa.Table] = []
+        made = lambda q, c, v: pa.table({"q": pa.array(q, pa.int32()), "chunk_id": c, "raw": pa.array(v, pa.float64())})
+
+        def best() -> pa.Table:
+            table = pa.concat_tables(held).combine_chunks().sort_by([("q", "ascending"), ("raw", "descending"), ("chunk_id", "ascending")])
+            q = table.column("q").to_numpy()
+            return table.take(pa.array(np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) < k)))
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            named = pa.array(names, query_type).take(table.column("q").combine_chunks())
+            for b in pa.table({"query_id": named, "chunk_id": table.column("chunk_id"), "raw": table.column("raw")}).to_batches():
+                yield b
+
+        for whole in batches:
+            step = max(1, 2_000_000 // max(len(names), 1))
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
+                query, row, raw = scored(batch, len(names), weights)
+                if k is not None and len(query):
+                    # The k-th best of each query in this batch is a floor; ties stay.
+                    order = np.lexsort((-raw, query))
+                    first = np.searchsorted(query[order], query[order])
+                    nth = np.minimum(first + k, np.searchsorted(query[order], query[order], "right")) - 1
+                    keep = order[raw[order] >= raw[order][nth]]
+                    query, row, raw = query[keep], row[keep], raw[keep]
+                table = made(query, batch.column(0).take(pa.array(row)), raw)
+                if k is None:
+                    yield from out(table)
+                else:
+                    held.append(table)
+                    if sum(map(len, held)) > 4 * k * len(names):
+                        held[:] = [best()]
+        if k is not None and held:
+            yield from out(best())
+
+    return counted.mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, raw double")
+
+
+def over_best(scored: DataFrame) -> DataFrame:
+    """raw over the best of its query."""
+    top = scored.groupBy("query_id").agg(F.max("raw").alias("top"))
+    return scored.join(F.broadcast(top), "query_id").select("query_id", "chunk_id", (F.col("raw") / F.col("top")).alias("raw"))  # a row a query
+
+
 def bm25_batch(posted: DataFrame, lengths: DataFrame, queries: DataFrame, s: Settings = Settings(), over_best: bool = True) -> DataFrame:
     """query_id, chunk_id, raw for many queries (query_id, term, qtf): postings join on the term. The scores are over their query's best unless told otherwise."""
     stats = corpus_stats(lengths)

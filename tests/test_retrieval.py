@@ -210,3 +210,22 @@ def test_pieces(spark):
     both = spark.createDataFrame(chain + [(b, a) for a, b in chain], "node string, other string")
     got = {r.node: r.piece for r in graph.pieces(both).collect()}
     assert got == {f"n{i:03}": "n000" if i <= 20 else "n021" for i in range(41)} | {"x": "x"}
+
+
+def test_many_queries_in_one_pass_equal_postings(spark, chunks):
+    """The same scores as by joins of postings, and the best k of each; counts in batches are those of the token column."""
+    asked = spark.createDataFrame([(1, "the", 1), (1, "the", 1), (2, "status", 2), (2, "http", 1), (3, "nowhere", 1)], "query_id int, term string, qtf int")
+    texts = ["The TaskStatus of the HTTPServer2", "", None, "the the http-status max_items", "ÉTÉ İthe 1abc K9_x-", "status status Status"] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    filled = rows.fillna("")
+    want = {(r.query_id, r.chunk_id): r.raw for r in retrieval.bm25_batch(retrieval.postings(filled), retrieval.chunk_lengths(filled), asked).collect()}
+    got = {(r.query_id, r.chunk_id): r.raw for r in retrieval.over_best(retrieval.bm25_many(rows.repartition(3), asked)).collect()}
+    assert got.keys() == want.keys() and want and all(got[x] == pytest.approx(want[x]) for x in want)
+    plain = {(r.query_id, r.chunk_id): r.raw for r in retrieval.bm25_many(rows, asked, places=9).collect()}
+    best = {(r.query_id, r.chunk_id) for r in retrieval.bm25_many(rows.coalesce(1), asked, k=2, places=9).collect()}
+    assert best == {(q, c) for q in (1, 2) for _, c in sorted((-v, c) for (p, c), v in plain.items() if p == q)[:2]}
+    sizes = {r.chunk_id: r.dl for r in retrieval.term_hits(rows, ["the"]).collect()}
+    assert sizes == {r.chunk_id: r.dl for r in retrieval.chunk_lengths(filled).collect()}
+    # The texts are read by one Python pass, and nothing but results is shuffled.
+    plan = retrieval.bm25_many(rows, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
