@@ -23,6 +23,8 @@ however long. Extra columns are ignored by `score`; an empty table gives an empt
 from __future__ import annotations
 
 import itertools
+import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -316,11 +318,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, how: To
             terms, counts = pa.array([t.view(np.int64) for t, _ in found], pa.list_(pa.int64())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, terms, counts], names=["doc_id", "toxic", "key", "terms", "counts"])
 
-    held = sample.mapInArrow(run, "doc_id long, toxic int, key binary, terms array<long>, counts array<int>").toArrow()
-    column = lambda name: held.column(name).combine_chunks()
-    arrays = lambda name: [x.values.to_numpy(zero_copy_only=False) for x in column(name)]
-    terms = [x.view(np.uint64) for x in arrays("terms")]
-    return build(how, list(zip(column("doc_id").to_pylist(), column("toxic").to_pylist(), map(bytes, column("key").to_pylist()), terms, arrays("counts"))), share, total)
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            ids, toxic, keys = (batch.column(i).to_pylist() for i in range(3))
+            terms, counts = ([x.values.to_numpy(zero_copy_only=False) for x in batch.column(i)] for i in (3, 4))
+            rows += zip(ids, toxic, map(bytes, keys), (t.view(np.uint64) for t in terms), counts)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(build(how, rows, share, total), pickle.HIGHEST_PROTOCOL), 1)], pa.binary())], names=["model"])
+
+    # One task puts the bounded examples together: the driver gets the finished model, and holds neither the examples nor what building takes.
+    examples = sample.mapInArrow(run, "doc_id long, toxic int, key binary, terms array<long>, counts array<int>")
+    return pickle.loads(zlib.decompress(examples.repartition(1).mapInArrow(built, "model binary").first()["model"]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

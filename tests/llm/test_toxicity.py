@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -6,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from lumenloom.llm import toxicity
 from lumenloom.llm.toxicity import Terms, Toxicity, fit, held_out, isotonic, reject, score, terms_of
 
 
@@ -97,6 +99,18 @@ def test_repeated_documents_of_a_label_are_one_example(spark):
     assert len(model.ids) == len(set(model.ids)) <= 25
 
 
+def test_the_model_is_not_built_in_the_driver(spark, monkeypatch):
+    docs, labels = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    driver, build = os.getpid(), toxicity.build
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return build(*args)
+
+    monkeypatch.setattr(toxicity, "build", elsewhere)
+    assert fit(docs, labels).ids == [1, 2]
+
+
 def test_terms_are_counted_over_a_full_memo():
     memo, small = Terms(), Terms(limit=7)
     for text in ("a b a ccc cccd cccd, Ünï", "x y z x", None, "", "?? a", "a b a ccc cccd cccd, Ünï"):
