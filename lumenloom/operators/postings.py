@@ -33,6 +33,9 @@ from . import folders
 #: The block number of rows that only correct frequencies.
 CORRECTION = -1
 
+#: Repeated ids that are broadcast; with more of them all texts move.
+FEW = 100_000
+
 
 def term_counts(text: Column) -> Column:
     """array<struct<term, tf>>: the tokens sorted, and each run of equal ones counted; within the row."""
@@ -74,6 +77,8 @@ class Postings:
         if among is not None:
             wanted = [r[0] for r in among.select(self._bucket(F.col("chunk_id"))).distinct().collect()]  # at most `buckets`
             rows = rows.filter(F.col("bucket").isin(wanted)).join(among, "chunk_id", "left_semi")
+        if len(parts) == 1:  # a segment has a chunk once
+            return rows.select("chunk_id", "live", "dl", "terms")
         last = rows.groupBy("chunk_id").agg(F.max_by(F.struct("live", "dl", "terms"), "seq").alias("v"))
         return last.select("chunk_id", "v.*")
 
@@ -83,17 +88,18 @@ class Postings:
         top = f"{self.folder}/{name}"
         bin_ = F.floor(F.log2(F.col("dl") + 1.0) * 4).cast("long")
         kept = rows.withColumn("bucket", self._bucket(F.col("chunk_id"))).withColumn("bin", bin_)
-        kept.repartition("bucket", F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(16))).write.partitionBy("bucket").parquet(f"{top}/chunks")
+        kept.write.partitionBy("bucket").parquet(f"{top}/chunks")
         stored = self.spark.read.schema(kept.schema).parquet(f"{top}/chunks")
         live = stored.filter("live")
         # Lengths by quarters of a doubling: at most 128 bins.
         sizes = {r["bin"]: -(-r["n"] // self.block) for r in live.groupBy("bin").agg(F.count("*").alias("n")).collect()}
         splits = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("bin")] if sizes else F.lit(1)
         block = F.col("bin") * F.lit(1 << 40) + F.pmod(F.xxhash64("chunk_id"), splits)
-        entries = live.select("chunk_id", "dl", block.alias("block"), F.explode("terms").alias("t"))
-        made = entries.groupBy(F.col("t.term").alias("term"), "block").agg(
-            F.count("*").alias("n"), F.max("t.tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("chunk_id", F.col("t.tf").alias("tf"), "dl")).alias("hits")
-        )
+        entries = live.select("chunk_id", "dl", block.alias("block"), F.explode("terms").alias("t")).select("chunk_id", "dl", "block", "t.term", "t.tf")
+        # Dealt once, by what they are written and grouped by: postings move one time.
+        dealt = entries.withColumns({"bucket": self._bucket(F.col("term")), "part": F.pmod("block", F.lit(32))}).repartition("bucket", "part")
+        made = dealt.groupBy("bucket", "part", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("hits"))
+        made = made.select("term", "block", "n", "max_tf", "min_dl", "hits", "bucket")
         total = live.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
         n, dl = total["n"], total["dl"]
         if base:
@@ -101,10 +107,9 @@ class Postings:
             gone = before.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
             n, dl = n - gone["n"], dl - gone["dl"]
             fewer = before.select(F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg((-F.count("*")).alias("n"))
+            fewer = fewer.withColumn("bucket", self._bucket(F.col("term")))
             made = made.unionByName(fewer.withColumns({"block": F.lit(CORRECTION).cast("long"), "max_tf": F.lit(0), "min_dl": F.lit(0), "hits": F.array().cast(made.schema["hits"].dataType)}))
-        made = made.withColumn("bucket", self._bucket(F.col("term")))
-        spread = made.repartition("bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "term", "block")
-        spread.write.partitionBy("bucket").parquet(f"{top}/postings")
+        made.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{top}/postings")
         # A later segment that has a chunk again replaces what earlier ones have of it.
         self._publish([*base, {"name": name, "n": n, "dl": dl, "chunks": kept.schema.jsonValue(), "postings": made.schema.jsonValue()}])
 
@@ -112,12 +117,22 @@ class Postings:
 
     def add(self, chunks: DataFrame) -> None:
         """New chunks (chunk_id, text), and new texts of known ones."""
-        rows = chunks.filter("chunk_id is not null").groupBy("chunk_id").agg(F.min("text").alias("text"))
+        rows = self._single(chunks.filter("chunk_id is not null").select("chunk_id", "text"))
         terms = rows.select("chunk_id", term_counts(F.coalesce("text", F.lit(""))).alias("terms"))
         dl = F.aggregate("terms", F.lit(0), lambda s, t: s + t["tf"])
         self._append(terms.select("chunk_id", F.lit(True).alias("live"), dl.alias("dl"), "terms"), self._segments())
         self._settle()
 
+    @staticmethod
+    def _single(rows: DataFrame) -> DataFrame:
+        """One row of each chunk_id, of the smallest text; texts of ids that come once don't move."""
+        least = lambda of: of.groupBy("chunk_id").agg(F.min("text").alias("text"))
+        repeated = folders.written(rows.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id"), "repeated")
+        n = repeated.count()
+        if n > FEW:
+            return least(rows)
+        return rows.join(F.broadcast(repeated), "chunk_id", "left_anti").unionByName(least(rows.join(F.broadcast(repeated), "chunk_id", "left_semi"))) if n else rows
+
     def delete(self, ids: DataFrame) -> None:
         """ids: chunk_id. Those that the index hasn't are ignored."""
         base = self._segments()

@@ -105,3 +105,14 @@ def test_term_counts(spark):
     rows = [("b a b HTTPServer",), ("",), ("x",)]
     got = spark.createDataFrame(rows, "t string").select(postings.term_counts(F.col("t"))).collect()
     assert [{x.term: x.tf for x in r[0]} for r in got] == [{"b": 2, "a": 1, "httpserver": 1, "http": 1, "server": 1}, {}, {"x": 1}]
+
+
+def test_texts_stay_and_postings_move_once(spark, index, monkeypatch):
+    """No text is shuffled where ids come once; repeated ids give the smallest text, whether few or many."""
+    once = spark.createDataFrame([(i, "alpha beta") for i in range(20)], "chunk_id long, text string")
+    assert "Exchange" not in index._single(once)._jdf.queryExecution().executedPlan().toString()
+    twice = once.unionByName(spark.createDataFrame([(3, "a"), (4, None), (4, "zeta")], "chunk_id long, text string"))
+    rows = {i: "alpha beta" for i in range(20)} | {3: "a"}
+    assert dict(index._single(twice).collect()) == rows
+    monkeypatch.setattr(postings, "FEW", 0)
+    assert dict(index._single(twice).collect()) == rows
