@@ -107,7 +107,7 @@ def test_term_counts(spark):
     assert [{x.term: x.tf for x in r[0]} for r in got] == [{"b": 2, "a": 1, "httpserver": 1, "http": 1, "server": 1}, {}, {"x": 1}]
 
 
-def test_texts_stay_and_postings_move_once(spark, index, monkeypatch):
+def test_texts_of_single_ids_stay(spark, index, monkeypatch):
     """No text is shuffled where ids come once; repeated ids give the smallest text, whether few or many."""
     once = spark.createDataFrame([(i, "alpha beta") for i in range(20)], "chunk_id long, text string")
     assert "Exchange" not in index._single(once)._jdf.queryExecution().executedPlan().toString()
