@@ -22,9 +22,10 @@ however long. Extra columns are ignored by `score`; an empty table gives an empt
 
 from __future__ import annotations
 
+import gzip
+import io
 import itertools
 import pickle
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
+#: Bytes of the model in a row on its way to the driver: below what the JVM's collector treats as huge.
+PIECE = 1 << 18
+
 _AROUND = ".,;:!?|\"'()[]{}<>*#-_…«»“”„¡¿&$%"
 
 
@@ -237,49 +241,60 @@ def by_similarity(points: np.ndarray, block: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def build(how: Toxicity, rows: list[tuple], share: float, total: dict[int, int]) -> Model:
-    """rows: (doc_id, toxic, text key, terms, counts) of the examples; total: label -> training rows."""
-    model = Model(how, share=share, without=share)
-    rows = sorted(rows, key=lambda r: (r[0], r[2]))
-    toxic = np.array([r[1] for r in rows], np.int8)
-    if not rows or toxic.all() or not toxic.any():
-        return model
-    weight = {y: total[y] / int((toxic == y).sum()) for y in (0, 1)}
-    sizes = np.array([len(r[3]) for r in rows])
-    model.terms, term = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
-    example = np.repeat(np.arange(len(rows)), sizes)
+def index(model: Model, rows: list[tuple]) -> None:
+    """Terms, their weights and their postings. What it takes on the way is kept to a few numbers of an entry (a term of an example), as other workers' memory lies beside it."""
+    how, toxic, n = model.how, model.toxic, len(rows)
+    model.terms = np.unique(np.concatenate([r[3] for r in rows]))
+    term = np.concatenate([np.searchsorted(model.terms, r[3]).astype(np.int32) for r in rows])
+    example = np.repeat(np.arange(n, dtype=np.int32), [len(r[3]) for r in rows])
     df, a = np.bincount(term, minlength=len(model.terms)), np.bincount(term, toxic[example], len(model.terms))
     relevance = lambda a, c: np.log2(2 + a / np.maximum(1, c)) - 0.9
-    n = len(rows)
     model.term_weights = (np.log((n + 1) / (df + 1)) + 1) * relevance(a, df - a)
     model.unknown = float((np.log(n + 1) + 1) * relevance(0, 0))
-    model.ids, model.toxic = [r[0] for r in rows], toxic
-    same: dict[bytes, list[int]] = {}
-    for number, r in enumerate(rows):
-        same.setdefault(r[2], []).append(number)
-    model.same_text = {k: tuple(v) for k, v in same.items()}
-    w = (1 + np.log(np.concatenate([r[4] for r in rows]))) * model.term_weights[term]
+    w = np.log(np.concatenate([r[4] for r in rows]))
+    w += 1
+    w *= model.term_weights[term]
     norms = np.sqrt(np.bincount(example, w * w, n))
     w /= np.maximum(norms, 1e-300)[example]
-    # A term's sign pattern over 48 directions: enough to tell which examples are alike.
-    signs = np.random.RandomState(5).choice([-1.0, 1.0], (len(model.terms), 48)).astype(np.float32)
+    # A term's sign pattern over 48 directions: enough to tell which examples are alike. Drawn by pieces, as drawing takes 16 bytes a sign.
+    draw, ends = np.random.RandomState(5), range(0, len(model.terms), 4096)
+    signs = np.concatenate([draw.choice(np.array([-1, 1], np.int8), (min(4096, len(model.terms) - s), 48)) for s in ends])
     points = np.stack([np.bincount(example, w * signs[term, d], n) for d in range(48)], axis=1)
+    del signs
     order = by_similarity(points, how.block)
     blocks = -(-n // how.block)
     model.number = np.full(blocks * how.block, -1)
     model.number[:n] = order
-    place = np.empty(n, np.int64)
+    place = np.empty(n, np.int32)
     place[order] = np.arange(n)
-    at = np.lexsort((place[example], term))
-    term, places, w = term[at], place[example][at], w[at].astype(np.float32)
+    places, w = place[example], w.astype(np.float32)
+    at = np.lexsort((places, term))
+    term, places, w = term[at], places[at], w[at]
+    del at, example
     wide = df > how.wide * n
     model.column = np.where(wide, np.cumsum(wide) - 1, -1).astype(np.int32)
     in_column = wide[term]
     model.columns = np.zeros((len(model.number), int(wide.sum())), np.float32)
     model.columns[places[in_column], model.column[term[in_column]]] = w[in_column]
     model.column_max = model.columns.reshape(blocks, how.block, -1).max(axis=1)
-    model.posting_place, model.posting_weight = places[~in_column].astype(np.int32), w[~in_column]
-    model.first = np.searchsorted(term[~in_column], np.arange(len(model.terms) + 1))
+    model.posting_place, model.posting_weight = places[~in_column], w[~in_column]
+    model.first = np.searchsorted(term[~in_column], np.arange(len(model.terms) + 1, dtype=np.int32))
+
+
+def build(how: Toxicity, rows: list[tuple], share: float, total: dict[int, int]) -> Model:
+    """rows: (doc_id, toxic, text key, terms, counts) of the examples; total: label -> training rows."""
+    model = Model(how, share=share, without=share)
+    rows = sorted(rows, key=lambda r: (r[0], r[2]))
+    toxic, n = np.array([r[1] for r in rows], np.int8), len(rows)
+    if not rows or toxic.all() or not toxic.any():
+        return model
+    weight = {y: total[y] / int((toxic == y).sum()) for y in (0, 1)}
+    model.ids, model.toxic = [r[0] for r in rows], toxic
+    same: dict[bytes, list[int]] = {}
+    for number, r in enumerate(rows):
+        same.setdefault(r[2], []).append(number)
+    model.same_text = {k: tuple(v) for k, v in same.items()}
+    index(model, rows)
     votes, alone = np.full(n, np.nan), np.ones(n, bool)
     for start in range(0, n, 64):
         some = rows[start : start + 64]
@@ -324,11 +339,27 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, how: To
             ids, toxic, keys = (batch.column(i).to_pylist() for i in range(3))
             terms, counts = ([x.values.to_numpy(zero_copy_only=False) for x in batch.column(i)] for i in (3, 4))
             rows += zip(ids, toxic, map(bytes, keys), (t.view(np.uint64) for t in terms), counts)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(build(how, rows, share, total), pickle.HIGHEST_PROTOCOL), 1)], pa.binary())], names=["model"])
+        packed = packed_model(build(how, rows, share, total))
+        for start in range(0, len(packed), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([packed[start : start + PIECE]], pa.binary())], names=["start", "piece"])
 
     # One task puts the bounded examples together: the driver gets the finished model, and holds neither the examples nor what building takes.
     examples = sample.mapInArrow(run, "doc_id long, toxic int, key binary, terms array<long>, counts array<int>")
-    return pickle.loads(zlib.decompress(examples.repartition(1).mapInArrow(built, "model binary").first()["model"]))
+    pieces = examples.repartition(1).mapInArrow(built, "start long, piece binary").collect()
+    return unpacked_model(b"".join(r["piece"] for r in sorted(pieces, key=lambda r: r["start"])))
+
+
+def packed_model(model: Model) -> memoryview:
+    """Compressed as it is pickled, without the whole pickle beside it."""
+    out = io.BytesIO()
+    with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=1, mtime=0) as file:
+        pickle.dump(model, file, pickle.HIGHEST_PROTOCOL)
+    return out.getbuffer()
+
+
+def unpacked_model(packed: bytes) -> Model:
+    with gzip.GzipFile(fileobj=io.BytesIO(packed)) as file:
+        return pickle.load(file)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -111,6 +112,27 @@ def test_the_model_is_not_built_in_the_driver(spark, monkeypatch):
     assert fit(docs, labels).ids == [1, 2]
 
 
+def test_building_takes_little_beside_the_examples():
+    r = np.random.RandomState(1)
+    rows = [(i, i % 2, bytes([i]), np.unique(r.randint(0, 60_000, 500)).astype(np.uint64)) for i in range(200)]
+    rows = [(*x, np.ones(len(x[3]), np.int32)) for x in rows]
+    tracemalloc.start()
+    model = toxicity.build(Toxicity(), rows, 0.5, {0: 100, 1: 100})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.terms) > 40_000 and peak < 400 * len(model.terms)  # drawing all signs at once took over 800 bytes a term
+
+
+def test_a_model_of_many_pieces_comes_whole(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join("".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(1500)), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    packed = toxicity.packed_model(model)
+    assert len(packed) > 3 * toxicity.PIECE and toxicity.unpacked_model(packed).terms.tolist() == model.terms.tolist()
+    assert len(model.terms) == len({t for _, text, _ in rows for w in text.split() for t in terms_of(w)}) and model.ids == list(range(40))
+
+
 def test_terms_are_counted_over_a_full_memo():
     memo, small = Terms(), Terms(limit=7)
     for text in ("a b a ccc cccd cccd, Ünï", "x y z x", None, "", "?? a", "a b a ccc cccd cccd, Ünï"):
