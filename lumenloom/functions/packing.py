@@ -20,9 +20,9 @@ PARAGRAPH = rf"\n{SPACE}*\n"
 
 
 def token_count(text: Column) -> Column:
-    """As many as text.token_count says, without an array of them: each token with what is before it becomes an x, and the rest has no letters."""
-    marked = F.regexp_replace(text, "[^a-zA-Z]*+[a-zA-Z][a-zA-Z0-9_-]*+", "x")
-    return _with(marked, lambda m: F.length(m) - F.length(F.ltrim(m, F.lit("x"))))
+    """As many as text.token_count says, without an array of them: each token with what is before it becomes its first letter. What is behind the
+    last one goes in one match too, so that long text without letters isn't searched again from each of its places."""
+    return F.length(F.regexp_replace(text, r"\P{Alpha}*+(?:(\p{Alpha})[\w-]*|\z)", "$1"))
 
 
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -39,26 +39,38 @@ def _counted(parts: Column) -> Column:
     return F.transform(parts, lambda t: F.struct(t.alias("t"), token_count(t).alias("n")))
 
 
-def _atoms(parts: Column, limit: int, key: Column, finer: Callable[[Column, Column], Column]) -> Column:
+def _atom(p: Column, key: Column) -> Column:
+    return F.struct(p["t"].alias("t"), p["n"].alias("n"), key.alias("k"))
+
+
+def _atoms(counted: Column, limit: int, key: Column, finer: Callable[[Column, Column], Column]) -> Column:
     """Atoms of counted parts under a key; a part over the limit gives way to its finer atoms, under a key of its own."""
-    atom = lambda p: F.array(F.struct(p["t"].alias("t"), p["n"].alias("n"), key.alias("k")))
-    return F.flatten(F.transform(_counted(parts), lambda p, i: F.when(p["n"] <= limit, atom(p)).otherwise(finer(p["t"], F.concat(key, F.lit("."), i.cast("string"))))))
+    return F.flatten(F.transform(counted, lambda p, i: F.when(p["n"] <= limit, F.array(_atom(p, key))).otherwise(finer(p["t"], F.concat(key, F.lit("."), i.cast("string"))))))
 
 
 def _words(text: Column, key: Column) -> Column:
     words = F.filter(F.split(text, rf"{SPACE}+", -1), lambda w: w != "")
-    return F.transform(_counted(words), lambda p: F.struct(p["t"].alias("t"), p["n"].alias("n"), key.alias("k")))
+    return F.transform(_counted(words), lambda p: _atom(p, key))
 
 
 def _clauses(text: Column, key: Column, limit: int) -> Column:
     """By clauses if there are several, else by words."""
-    return _with(F.split(text, CLAUSE, -1), lambda parts: F.when(F.size(parts) > 1, _atoms(parts, limit, key, _words)).otherwise(_words(text, key)))
+    return _with(F.split(text, CLAUSE, -1), lambda parts: F.when(F.size(parts) > 1, _atoms(_counted(parts), limit, key, _words)).otherwise(_words(text, key)))
 
 
-def _sentences(text: Column, key: Column, limit: int) -> Column:
+def _sentences(counted: Column, key: Column, limit: int) -> Column:
     """By sentences if there are several, else by clauses."""
     finer = lambda t, k: _clauses(t, k, limit)
-    return _with(F.split(text, SENTENCE, -1), lambda parts: F.when(F.size(parts) > 1, _atoms(parts, limit, key, finer)).otherwise(_clauses(text, key, limit)))
+    return F.when(F.size(counted) > 1, _atoms(counted, limit, key, finer)).otherwise(_clauses(counted[0]["t"], key, limit))
+
+
+def _paragraph(text: Column, i: Column, limit: int) -> Column:
+    """Atoms of a paragraph. Its tokens are counted once, by sentences where there can be too many: cuts at white space part no token, so the counts add up."""
+    parts = F.when(F.length(text) > 2 * limit, F.split(text, SENTENCE, -1)).otherwise(F.array(text))
+    whole = lambda n: F.array(F.struct(text.alias("t"), n.alias("n"), F.lit("").alias("k")))
+    total = lambda counted: F.aggregate(counted, F.lit(0), lambda n, p: n + p["n"])
+    key = F.concat(F.lit("."), i.cast("string"))
+    return _with(_counted(parts), lambda counted: _with(total(counted), lambda n: F.when(n <= limit, whole(n)).otherwise(_sentences(counted, key, limit))))
 
 
 def _fold(atoms: Column, limit: int) -> Column:
@@ -81,4 +93,4 @@ def _fold(atoms: Column, limit: int) -> Column:
 def paragraphs(text: Column, limit: int = 400) -> Column:
     """array<string>: the paragraphs (between blank lines) packed into pieces of at most `limit` tokens."""
     parts = F.filter(F.transform(F.split(stripped(F.coalesce(text, F.lit(""))), PARAGRAPH, -1), stripped), lambda p: p != "")
-    return _fold(_atoms(parts, limit, F.lit(""), lambda t, k: _sentences(t, k, limit)), limit)
+    return _fold(F.flatten(F.transform(parts, lambda t, i: _paragraph(t, i, limit))), limit)

@@ -1,6 +1,9 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
-from lumenloom.functions import dom
+from lumenloom.functions import dom, packing
 from lumenloom.operators import chunking as ch
 
 
@@ -152,3 +155,22 @@ def test_references_that_were_cut(spark):
 
     rows = html_text(spark.createDataFrame([("u", page)], "page_url string, html string"), closed=True).collect()
     assert rows[0].title == "A &amp"
+
+
+def test_texts_without_letters_are_counted_in_one_go(spark):
+    texts = ["12 345. " * 60_000, "漢字。" * 100_000, "a1-b_c 7x é " * 150 + "9" * 300_000]
+    began = time.monotonic()
+    got = {r.i: r.made for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", packing.paragraphs(F.col("text"), 200).alias("made")).collect()}
+    assert time.monotonic() - began < 20  # each place of a text without letters was searched to its end
+    for i, text in enumerate(texts):
+        assert got[i] == ch.paragraphs(text, 200)
+
+
+def test_tokens_are_counted_by_sentences_as_in_the_whole(spark):
+    r = random.Random(11)
+    bits = ["a", "B2", "c-d", "_e", "7f", "-", "9", "é", "x.y", "e.g.", "end.", "so!", "why?", "part,", "then;", "𝒳z", "　", "\n", "\n\n"]
+    rows = [(i, r.choice(["", " "]).join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randrange(0, 120)))) for i in range(300)]
+    made = spark.createDataFrame(rows, "i int, text string").select("text", *[packing.paragraphs(F.col("text"), n).alias(f"p{n}") for n in (1, 5, 20)])
+    for row in made.collect():
+        for n in (1, 5, 20):
+            assert row[f"p{n}"] == ch.paragraphs(row.text, n)
