@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,18 +138,20 @@ def _spectral_of_pieces(nodes: DataFrame, placed: DataFrame, volume: float, want
     return placed.join(sizes.select("piece", embedding.alias("e")).select("piece", unit.alias("embedding")), "piece").select("node", "embedding")
 
 
-def spectral(links: DataFrame, dims: int = 8, rounds: int = 40, degree: int = 10, tolerance: float = 1e-6, split: int = 200_000) -> DataFrame:
+def spectral(links: DataFrame, dims: int = 8, rounds: int | None = None, degree: int = 10, tolerance: float = 1e-6, split: int = 200_000, patience: int = 50) -> DataFrame:
     """links: source_url, target_url. node, embedding (array<double>): places of unit length from the `dims` smallest eigenvectors of the
     normalised Laplacian after the trivial one, square roots of degrees; links count both ways and as often as they occur.
 
     A block of a few more vectors is filtered by Chebyshev polynomials of the edge table, which damp the far end of the spectrum, and turned to
-    its eigenvectors by its Gram matrices (Rayleigh-Ritz) until the residuals are below `tolerance`. Each polynomial step is one join and one
-    sum, and reads the step before once, so that a round is one plan and one write; the driver sees matrices of dims + 4 rows only. A node's links beyond `split` are dealt over tasks, each with the node's vectors.
+    its eigenvectors by its Gram matrices (Rayleigh-Ritz) until the residuals are below `tolerance`, and below 1e-4 of the last eigenvalue wanted, as
+    vectors of eigenvalues that lie closer together than the residuals are mixed. The closer the block comes to the end of the spectrum, the more steps
+    a round's polynomial has. Each step is one join and one sum, and reads the step before once; `degree` of them are one plan and one write; the
+    driver sees matrices of dims + 4 rows only. A node's links beyond `split` are dealt over tasks, each with the node's vectors.
 
     A graph of more than `dims` pieces needs none of this: its vectors are known from the pieces.
 
-    Defined results: n nodes give min(dims, n - 2) numbers; two nodes or one give [0.0]; null ends are no links. After `rounds` rounds without convergence
-    all values are 0. Vectors of one eigenvalue (as of a graph in pieces) are fixed up to a rotation, which cosines over the whole eigenspace don't see."""
+    Defined results: n nodes give min(dims, n - 2) numbers; two nodes or one give [0.0]; null ends are no links. Rounds go on until all is found; if
+    `patience` of them don't lower the residuals by a tenth, a RuntimeError is raised. Only a caller that sets `rounds` gets values of 0, and a warning, where these don't suffice. Vectors of one eigenvalue (as of a graph in pieces) are fixed up to a rotation, which cosines over the whole eigenspace don't see."""
     spark = links.sparkSession
     matrix = folders.written(symmetric(links.filter("source_url is not null and target_url is not null")), "links")
     nodes = matrix.groupBy("node").agg(F.sum("weight").alias("degree"), F.ceil(F.count("*") / split).cast("int").alias("parts"))
@@ -184,60 +189,71 @@ def spectral(links: DataFrame, dims: int = 8, rounds: int = 40, degree: int = 10
 
     mine = lambda c: F.max(F.when(F.col("mine"), F.col(c)))
     fixed = [mine("root").alias("root"), mine("parts").alias("parts")]
-    start = [(F.pmod(F.xxhash64("node", F.lit(j)), F.lit(1 << 20)) / (1 << 19) - 1.0).alias(c) for j, c in enumerate(now)]
-    x = nodes.select("node", F.sqrt(F.col("degree") / volume).alias("root"), "parts", *start)
-    for turn in range(rounds):
+    draws = itertools.count()
+    drawn = lambda: F.pmod(F.xxhash64("node", F.lit(next(draws))), F.lit(1 << 20)) / (1 << 19) - 1.0
+    x = nodes.select("node", F.sqrt(F.col("degree") / volume).alias("root"), "parts", *[drawn().alias(c) for c in now])
+    worst: list[float] = []
+    for turn in itertools.count() if rounds is None else range(rounds):
         x = keep(spread(x, now).agg(*fixed, *[mine(c).alias(c) for c in now], *[F.sum(F.when(~F.col("mine"), F.col("w") * F.col(c))).alias(y) for c, y in zip(now, product)]))
-        turned, values, residuals = _ritz(x, now, product)
-        found = len(values) >= wanted and bool((residuals[:wanted] <= tolerance).all())
-        along = [sum((F.col(c) - F.col("root") * float(s)) * float(t) for c, s, t in zip(now, turned[0], column)) for column in turned[1].T]
+        turned, values = _ritz(x, now, product)
+        along, image = ([sum((F.col(c) - F.col("root") * float(s)) * float(t) for c, s, t in zip(names, turned[0], column)) for column in turned[1].T] for names in (now, product))
+        residuals = np.sqrt(x.agg(*[F.sum((y - q * float(v)) ** 2) for y, q, v in zip(image, along, values)]).first()[:wanted])
+        found = len(values) == p and bool((residuals <= min(tolerance, 1e-4 * (1 - values[wanted - 1]))).all())
         if found:
             length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda total, v: total + v * v))
             unit = F.when(length > 1e-12, F.transform("e", lambda v: v / length)).otherwise(F.transform("e", lambda v: F.lit(0.0)))
             # As the vectors have length 1, an average entry is 1 / sqrt(n).
             return x.select("node", F.array(*[v * float(np.sqrt(n)) for v in along[:wanted]]).alias("e")).select("node", unit.alias("embedding"))
-        if turn == rounds - 1:
+        if rounds is not None and turn == rounds - 1:
             break
-        p = len(values)
-        now, before, product = now[:p], before[:p], product[:p]
-        # What lies between -1 and `high` is damped; the margin below the block's last value shrinks with the rounds. The first block is random.
-        high = float(np.clip(values[-1] - 0.1 * (1 + values[-1]) * 0.5**turn if turn else values[0], -0.9, 1 - 1e-9))
+        worst.append(float(residuals.max()))
+        if turn >= patience and not min(worst[-patience:]) <= 0.9 * min(worst[:-patience]):
+            raise RuntimeError(f"spectral: no eigenvectors of {n} nodes: residuals stay at {min(worst)} after {turn + 1} rounds")
+        if len(values) < p:
+            # Vectors that others span are drawn anew, as a smaller block can miss an eigenvector.
+            x = x.select("node", "root", "parts", *[q.alias(c) for q, c in zip(along + [drawn() for _ in now[len(values) :]], now)])
+            continue
+        # What lies between -1 and `high` is damped. As the block's last value is never above its eigenvalue, nothing wanted is.
+        high = float(np.clip(values[-1], -0.9, 1 - 1e-12))
         middle, half = (high - 1) / 2, (high + 1) / 2
-        image = [sum((F.col(y) - F.col("root") * float(s)) * float(t) for y, s, t in zip(product, turned[0], column)) for column in turned[1].T]
+        # Of the vectors none may grow so much beyond the others that these are lost: by e^14 (once the first ones are found, by what these have, and e^25 at the trivial one).
+        far = float(np.arccosh((1 - middle) / half))
+        steps = 14 / far if turn < 3 else min(25 / far, 14 / max(float(np.arccosh(max((values[0] - middle) / half, 1.0))), 1e-9))
         first = [((y - middle * q) / half).alias(c) for y, q, c in zip(image, along, now)]
         x = x.select("node", "root", "parts", *first, *[q.alias(c) for q, c in zip(along, before)])
-        for _ in range(degree - 1):
+        for k in range(1, max(int(steps), 2)):
             step = [
                 F.sum(F.when(F.col("mine"), F.col(q) * (-2 * middle / half) - F.col(r)).otherwise(F.col("w") * F.col(q) * (2 / half))).alias(q)
                 for q, r in zip(now, before)
             ]
             x = spread(x, now + before).agg(*fixed, *step, *[mine(q).alias(r) for q, r in zip(now, before)])
+            if k % degree == 0:
+                x = keep(x)
+    warnings.warn(f"spectral: all values are 0, as {rounds} rounds don't suffice for {n} nodes", RuntimeWarning, stacklevel=2)
     return nodes.select("node", F.array_repeat(F.lit(0.0), wanted).alias("embedding"))
 
 
-def _ritz(x: DataFrame, now: list[str], product: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
-    """(shares of the trivial vector, turn to Ritz vectors), Ritz values from the largest, their residuals."""
+def _ritz(x: DataFrame, now: list[str], product: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(shares of the trivial vector, turn to Ritz vectors), Ritz values from the largest."""
     p = len(now)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = [F.sum(F.col("root") * F.col(c)) for c in now] + [F.sum(F.col(a[i]) * F.col(b[j])) for a, b in ((now, now), (now, product), (product, product)) for i, j in pairs]
+    sums = [F.sum(F.col("root") * F.col(c)) for c in now] + [F.sum(F.col(a[i]) * F.col(b[j])) for a, b in ((now, now), (now, product)) for i, j in pairs]
     got = x.agg(*[c.alias(f"s{k}") for k, c in enumerate(sums)]).first()
     share = np.array(got[:p])
     grams = []
-    for k in range(3):
+    for k in range(2):
         m = np.zeros((p, p))
         for (i, j), v in zip(pairs, got[p + k * len(pairs) : p + (k + 1) * len(pairs)]):
             m[i, j] = m[j, i] = v
         grams.append(m - np.outer(share, share))
     size = np.sqrt(np.maximum(np.diag(grams[0]), 1e-300))
-    g, h, k = (m / np.outer(size, size) for m in grams)
+    g, h = (m / np.outer(size, size) for m in grams)
     weights, basis = np.linalg.eigh(g)
     use = weights > 1e-13 * weights.max()
     white = basis[:, use] / np.sqrt(weights[use])
     values, mixed = np.linalg.eigh(white.T @ h @ white)
     turn = (white @ mixed)[:, ::-1]
-    values = values[::-1]
-    residuals = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", turn, k, turn) - values**2, 0))
-    return (share, turn / size[:, None]), values, residuals
+    return (share, turn / size[:, None]), values[::-1]
 
 
 def reach(e: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:

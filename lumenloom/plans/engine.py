@@ -142,6 +142,8 @@ class QueryEngine:
 def refresh_graph(store: Store, settings: Settings = Settings()) -> None:
     """Centrality and spectral places of pages by links; chunks of pages that rose are corroborated."""
     before, links = store.read("pages"), store.read("page_links")
+    # Places come first, as nothing may be written where they aren't found.
+    places = graph.spectral(links, settings.spectral_dims).select(F.col("node").alias("url"), F.col("embedding").cast("array<float>").alias("graph_embedding"))
     scores = graph.centrality(links, settings).withColumnsRenamed({"node": "url", "score": "authority_score"})
     after = before.select("url").join(scores, "url", "left").select("url", F.coalesce("authority_score", F.lit(0.0)).alias("authority_score"))
     risen = incremental.authority_increases(before, after)
@@ -149,7 +151,6 @@ def refresh_graph(store: Store, settings: Settings = Settings()) -> None:
     hits = chunks.join(risen.select(F.col("url").alias("page_url")), "page_url", "left_semi").select("chunk_id")
     updated = corroborate(chunks, hits, F.current_timestamp(), settings.graph_increment)
     store.write("chunks", updated)
-    places = graph.spectral(links, settings.spectral_dims).select(F.col("node").alias("url"), F.col("embedding").cast("array<float>").alias("graph_embedding"))
     store.write("pages", store_graph(before, after.join(places, "url", "left"), settings.spectral_dims))
 
 

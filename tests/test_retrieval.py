@@ -185,6 +185,21 @@ def test_spectral_in_pieces_and_small(spark):
     assert {tuple(r.embedding) for r in graph.spectral(links(grid(9, 3)), 2, rounds=1).collect()} == {(0.0, 0.0)}
 
 
+def test_spectral_goes_on_until_found(spark):
+    """A long chain, where forty rounds of one step each gave zeros; what isn't found is an error, or where the caller sets rounds, a warning."""
+    links = lambda pairs: spark.createDataFrame(pairs, "source_url string, target_url string")
+    pairs = [(f"n{i:02}", f"n{i + 1:02}") for i in range(29)]
+    names, _, vectors = dense_spectrum(pairs)
+    want = vectors[:, 1:3] / np.linalg.norm(vectors[:, 1:3], axis=1, keepdims=True)
+    got = {r.node: r.embedding for r in graph.spectral(links(pairs), 2, degree=1).collect()}
+    found = np.array([got[x] for x in names])
+    assert np.abs(found @ found.T - want @ want.T).max() < 1e-4
+    with pytest.raises(RuntimeError, match="no eigenvectors of 5 nodes"):
+        graph.spectral(links(pairs[:4]), 2, tolerance=-1.0, patience=1)
+    with pytest.warns(RuntimeWarning, match="0 rounds"):
+        assert {tuple(r.embedding) for r in graph.spectral(links(pairs[:4]), 2, rounds=0).collect()} == {(0.0, 0.0)}
+
+
 def test_reach(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 1)], "src int, dst int")
     assert {r.node: r.depth for r in graph.reach(e, spark.createDataFrame([(1,)], "node int")).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
